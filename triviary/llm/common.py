@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 8 <
         start, size = 0, 0
         # a string array's offsets tell each row's bytes without reading it
         col = batch.column(column)
-        lens = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        lens = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         for i, n in enumerate(lens):
             size += n
             if size >= most:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, warc
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,6 +23,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.round_trip(table(spark, sf_dir, "pages"))
+    return got.selectExpr("key as page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
