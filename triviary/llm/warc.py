@@ -107,7 +107,7 @@ def write(df: DataFrame, folder: str, key: str, url: str, html: str, least: int
             for k, u, p, r in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-                    path, size, n, out = f"{folder}/{name}", 0, 0, fs.open_output_stream(f"{root}/{name}")
+                    path, size, n, out = f"{folder}/{name}", 0, 0, fs.open_output_stream(f"{root}/{name}", compression=None)
                 member = gzip.compress(record(k, u, p, r, date), level, mtime=0)
                 out.write(member)
                 size, n = size + len(member), n + 1
