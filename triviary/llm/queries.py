@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, warc
+from . import bpe, chat, decontaminate, langid, topk, warc
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +29,33 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.selectExpr("key as page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    nodes = chat.chain(rows.unionByName(more), "conv_id", ["turn"], "role", "text")
+    return chat.read_back(chat.conversations(chat.paths(nodes)))
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.learn(docs, ~F.coalesce(held_out(), F.lit(False)))
+    return langid.identify(docs.select("doc_id", "text"), samples).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
