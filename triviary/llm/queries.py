@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, topk, warc
+from . import bpe, chat, decontaminate, extract, langid, topk, warc
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,6 +29,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.selectExpr("key as page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
