@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package's code, once per application; they need no installation."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        with tempfile.NamedTemporaryFile(prefix=f"{top.name}-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        spark.sparkContext.addPyFile(f.name)
+        _shipped.add(app)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one if that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -54,7 +72,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 8 <
                 start, size = i + 1, 0
         if start < len(lens):
             yield batch.slice(start)
-
-
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)

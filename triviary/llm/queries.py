@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, langid, topk, warc
+from . import bpe, chat, decontaminate, extract, langid, neardup, topk, warc
+from .common import ship
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -17,7 +18,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
