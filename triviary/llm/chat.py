@@ -85,25 +85,27 @@ def paths(nodes: DataFrame, best: int = 1, most_joins: int = 40) -> DataFrame:
         links.join(p, links.tree.eqNullSafe(p.t) & (links.parent == p.n), "left").select("tree", "node", F.col("n").alias("jump"), F.col("score").alias("total"), F.when(F.col("n").isNotNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")).alias("depth"), F.col("n").alias("parent")),
         "jumps",
     )
-    jumps = [state.select("tree", "node", "jump")]
-    for _ in range(most_joins):
-        if state.where("jump is not null").isEmpty():
+    jumps, done, active = [], state.where("jump is null"), state.where("jump is not null")
+    for _ in range(most_joins):  # only nodes that haven't reached their root are joined again
+        if active.isEmpty():
             break
-        up = state.select(F.col("tree").alias("t"), F.col("node").alias("j"), F.col("jump").alias("further"), F.col("total").alias("above"), F.col("depth").alias("more"))
+        jumps.append(active.select("tree", "node", "jump"))
+        up = active.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("j"), F.col("jump").alias("further"), F.col("total").alias("above"), F.col("depth").alias("more"))
         state = written(
-            state.join(up, state.tree.eqNullSafe(up.t) & (state.jump == up.j), "left").select("tree", "node", F.col("further").alias("jump"), (F.col("total") + F.coalesce("above", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "parent"),
+            active.join(up, active.tree.eqNullSafe(up.t) & (active.jump == up.j)).select("tree", "node", F.col("further").alias("jump"), (F.col("total") + F.col("above")).alias("total"), (F.col("depth") + F.col("more")).alias("depth"), "parent"),
             "jumps",
         )
-        jumps.append(state.select("tree", "node", "jump"))
-    state = state.where("jump is null")  # what is left lies on a cycle
+        done, active = done.unionByName(state.where("jump is null")), state.where("jump is not null")
+    state = done  # what is left in active lies on a cycle
     c = state.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("c")).distinct()
     leaves = state.join(c, state.tree.eqNullSafe(c.t) & (state.node == c.c), "left_anti")
     w = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), "node")
     chosen = leaves.withColumn("path", F.row_number().over(w)).where(F.col("path") <= best).select("tree", "path", "node")
-    for k, step in enumerate(reversed(jumps)):
-        j = step.where("jump is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
+    chosen = written(chosen, "paths")
+    for step in reversed(jumps):
+        j = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
         above = chosen.join(j, chosen.tree.eqNullSafe(j.t) & (chosen.node == j.n)).select("tree", "path", F.col("jump").alias("node"))
-        chosen = written(chosen.unionByName(above), "paths") if k % 4 == 3 else chosen.unionByName(above)
+        chosen = written(chosen.unionByName(above), "paths")
     depth = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), "depth")
     placed = chosen.join(depth, chosen.tree.eqNullSafe(depth.t) & (chosen.node == depth.n)).select("tree", "path", "node", "depth")
     full = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
