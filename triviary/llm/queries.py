@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, langid, neardup, topk, warc
+from . import bpe, chat, decontaminate, extract, langid, neardup, substrings, topk, warc
 from .common import ship
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
@@ -43,6 +43,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
