@@ -392,23 +392,29 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes every text and decodes its ids in one pass; returns the key, the number of ids and digests of both results.
+def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes every text and decodes its ids in one pass; returns the key, the number of ids and digests of both results, and perhaps the ids.
 
     One pass over the rows, no shuffle: a task holds about 8 MB of text and the chunks it remembers.
     """
     df = df.select(F.col(key), F.col(text))
+    schema = T.StructType([df.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches):
         gc.disable()  # many small tuples and no cycles
         bpe = model(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in slices(batches, 1):
-            n, a, d = [], [], []
+        for b in slices(batches, 1, 4 << 20):
+            n, a, d, flat = [], [], [], []
             for ids in bpe.encode_batch(b.column(1).to_pylist()):
                 n.append(len(ids))
                 a.append(sha(" ".join(map(bpe.number.__getitem__, ids))))
                 d.append(sha(bpe.decode(ids)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.mapInArrow(run, T.StructType([df.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+                if with_ids:
+                    flat.append(np.array(ids, np.int32))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(flat))))
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return df.mapInArrow(run, schema)
