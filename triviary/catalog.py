@@ -5,11 +5,388 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scores
+from .functions import text as X
+from .operators import bank, items, markup, play, ratings, signals, views
+from .operators.views import answers, entities, table, with_views
+from .plans import quiz
+from .sources.tables import shared_dir
+from .streaming import mastery
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
+SEED = "triviary|"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+STATS = "stats AS (SELECT profile, category, SUM(point)::BIGINT AS correct, COUNT(*) AS total, CAST(FLOOR(SUM(point) * 100.0 / COUNT(*) + 0.5) AS BIGINT) AS accuracy FROM answers WHERE category <> '' GROUP BY profile, category)"
+STATE = """runs AS (SELECT *, SUM(1 - point) OVER (PARTITION BY profile, qid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM answers),
+streaks AS (SELECT *, SUM(point) OVER (PARTITION BY profile, qid, island ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS streak FROM runs),
+flagged AS (SELECT *, streak >= 2 AND NOT COALESCE(LAG(streak >= 2) OVER (PARTITION BY profile, qid ORDER BY ts, seq), FALSE) AS newly, ROW_NUMBER() OVER (PARTITION BY profile, qid ORDER BY ts DESC, seq DESC) AS back FROM streaks),
+state AS (SELECT profile, qid, COUNT(*) AS seen, SUM(point)::BIGINT AS correct, SUM(1 - point)::BIGINT AS wrong, MAX(CASE WHEN back = 1 THEN streak END)::BIGINT AS streak, BOOL_OR(back = 1 AND streak >= 2) AS mastered, MAX(ts) AS last_seen, SUM(newly::INT)::BIGINT AS times_mastered FROM flagged GROUP BY profile, qid)"""
+
+
+@query(with_views("answers", body=f", {STATS} SELECT * FROM stats"))
+def category_stats(spark, sf_dir):
+    return play.category_stats(answers(spark, sf_dir), ["profile", "category"])
+
+
+@query(with_views("answers", body=f", {STATS} SELECT profile, category AS weakest, accuracy AS weakest_accuracy FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY profile ORDER BY accuracy, category) AS r FROM stats) WHERE r = 1"))
+def weakest_category(spark, sf_dir):
+    return play.weakest(play.category_stats(answers(spark, sf_dir), ["profile", "category"]), ["profile"])
+
+
+@query(with_views("answers", body=f", {STATE} SELECT a.profile, answered, a.correct, m.mastered, ROUND(a.correct * 100 / answered::DOUBLE, 2) AS accuracy FROM (SELECT profile, COUNT(*) AS answered, SUM(point)::BIGINT AS correct FROM answers GROUP BY profile) a JOIN (SELECT profile, SUM(mastered::INT)::BIGINT AS mastered FROM state GROUP BY profile) m ON a.profile = m.profile"))
+def profile_summary(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    return play.summary(a, play.progress(a))
+
+
+@query(with_views("answers", body=f", {STATE} SELECT * FROM state"))
+def mastery_state(spark, sf_dir):
+    return play.progress(answers(spark, sf_dir))
+
+
+@query(with_views("answers", body=f", {STATE} SELECT profile, qid, wrong, last_seen, ROW_NUMBER() OVER (PARTITION BY profile ORDER BY wrong DESC, last_seen, qid)::INT AS place FROM state WHERE wrong > 0 AND NOT mastered"))
+def missed_review_queue(spark, sf_dir):
+    return play.missed(play.progress(answers(spark, sf_dir))).select("profile", "qid", "wrong", "last_seen", "place")
+
+
+@query(
+    with_views(
+        "answers",
+        body=f""", {STATE}, counted AS (SELECT *, COUNT(*) FILTER (NOT mastered) OVER (PARTITION BY profile) AS n_fresh, COUNT(*) OVER (PARTITION BY profile) AS n_all FROM state)
+ SELECT profile, qid, NOT mastered AS fresh, n_all >= 5 AS enough FROM counted WHERE n_fresh < 5 OR NOT mastered""",
+    )
+)
+def unmastered_pool(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    return play.unmastered(a.select("profile", "qid").distinct(), play.progress(a), ["qid"], 5)
+
+
+@query(
+    with_views(
+        "answers",
+        body="""SELECT profile, total, correct, CASE WHEN weak THEN 0.7::DOUBLE WHEN mid THEN 0.25 ELSE 0.1 END AS easy, CASE WHEN weak THEN 0.3::DOUBLE WHEN mid THEN 0.5 ELSE 0.4 END AS medium, CASE WHEN weak THEN 0.0::DOUBLE WHEN mid THEN 0.25 ELSE 0.5 END AS hard
+ FROM (SELECT *, total < 5 OR correct / total::DOUBLE < 0.5 AS weak, correct / total::DOUBLE < 0.8 AS mid FROM (SELECT profile, COUNT(*) AS total, SUM(point)::BIGINT AS correct FROM answers WHERE difficulty IN ('easy', 'medium', 'hard') GROUP BY profile))""",
+    )
+)
+def adaptive_mix(spark, sf_dir):
+    a = answers(spark, sf_dir).where(F.col("difficulty").isin("easy", "medium", "hard")).groupBy("profile").agg(F.count("*").alias("total"), F.sum("point").alias("correct"))
+    return a.withColumn("m", scores.mix(F.col("total"), F.col("correct"))).select("profile", "total", "correct", "m.*")
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, ['easy', 'medium', 'hard'][1 + doc_id % 3] AS difficulty, md5('{SEED}' || doc_id) AS o FROM documents), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY difficulty ORDER BY o, doc_id) AS n FROM b)
+ SELECT doc_id, difficulty, priority FROM (SELECT *, CASE WHEN n <= CASE difficulty WHEN 'easy' THEN 25 WHEN 'medium' THEN 50 ELSE 25 END THEN 0 ELSE 1 END AS priority FROM r WHERE n <= 100) ORDER BY priority, o, doc_id LIMIT 100"""
+)
+def adaptive_sample(spark, sf_dir):
+    b = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, ("easy", "medium", "hard"))), (1 + F.col("doc_id") % 3).cast("int")).alias("difficulty"))
+    return play.sample(b, 100, {"easy": 0.25, "medium": 0.5, "hard": 0.25}, F.col("doc_id"), F.md5(F.concat(F.lit(SEED), F.col("doc_id").cast("string"))))
+
+
+GRADE_SQL = "CASE " + " ".join(f"WHEN trunc(score) >= {low} THEN '{g}'" for low, g in scores.GRADES) + " ELSE 'F' END"
+REMARK_SQL = "CASE " + " ".join(f"WHEN {f'score >= {a}' if b is None else f'score < {b}' if a is None else f'score BETWEEN {a} AND {b}'} THEN '{s.replace(chr(39), chr(39) * 2)}'" for a, b, s in scores.REMARKS) + " END"
+
+
+@query(
+    with_views(
+        "answers",
+        body=f"""SELECT profile, correct, total, score, {GRADE_SQL} AS grade, {REMARK_SQL} AS remarks, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock
+ FROM (SELECT profile, SUM(point)::BIGINT AS correct, COUNT(*) AS total, ROUND(SUM(point) * 100 / COUNT(*)::DOUBLE, 2) AS score, (COUNT(*) * 61)::BIGINT AS s FROM answers GROUP BY profile)""",
+    )
+)
+def grade_report(spark, sf_dir):
+    a = answers(spark, sf_dir).groupBy("profile").agg(F.sum("point").alias("correct"), F.count("*").alias("total"))
+    a = a.withColumn("score", scores.percent(F.col("correct"), F.col("total")))
+    return a.select("profile", "correct", "total", "score", scores.grade(F.col("score")).alias("grade"), scores.remarks(F.col("score")).alias("remarks"), scores.clock(F.col("total") * 61000).alias("clock"))
+
+
+KEY_SQL = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEY_SQL.format('text')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def first_wins_dedupe(spark, sf_dir):
+    return bank.first_wins(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), X.norm_key(F.col("text")), ["doc_id"]).select("doc_id", "lang")
+
+
+K = lambda c: KEY_SQL.format(c)
+NEAR = "({a} = '' OR {b} = '' OR contains({a}, {b}) OR contains({b}, {a}))"
+PAIRS = " OR ".join(NEAR.format(a=f"k[{i}]", b=f"k[{j}]") for i in range(1, 5) for j in range(i + 1, 5))
+NOISE_SQL = "(" + ", ".join(f"'{w}'" for w in X.META_NOISE) + ")"
+EACH = f"list_filter(list_transform(options, lambda x: CASE WHEN {K('x')} IN {NOISE_SQL} THEN 'noise option: ' || x WHEN contains(x, ', ') AND NOT contains(x, ', Model:') THEN 'comma in option: ' || x END), lambda e: e IS NOT NULL)"
+
+
+@query(
+    f"""WITH {quiz.SQL}, q AS (SELECT *, list_transform(options, lambda x: {K('x')}) AS k, {EACH} AS each FROM quiz)
+ SELECT reason, COUNT(*) AS n, MIN(id) AS first FROM (SELECT id, CASE
+ WHEN correct_answer IS NULL THEN 'missing: correct_answer' WHEN type <> 'multiple' THEN 'type' WHEN difficulty NOT IN ('easy', 'medium', 'hard') THEN 'difficulty' WHEN category = 'Other' THEN 'category' WHEN trim(question) = '' THEN 'blank question'
+ WHEN NOT regexp_matches(source, '^https://[a-z0-9.-]+/wiki/\\S+$') THEN 'source' WHEN len(options) <> 4 THEN 'not four options' WHEN len(list_filter(options, lambda x: trim(x) = '')) > 0 THEN 'blank option'
+ WHEN len(list_filter(options, lambda x: x = correct_answer)) <> 1 THEN 'answer not once among options' WHEN len(incorrect_answers) <> 3 THEN 'not three incorrect answers'
+ WHEN list_contains(list_transform(incorrect_answers, lambda x: {K('x')}), {K('correct_answer')}) THEN 'answer among incorrect' WHEN {PAIRS} THEN 'near-duplicate options'
+ WHEN explainer IS NOT NULL AND trim(explainer) = '' THEN 'blank explainer' WHEN image IS NOT NULL AND NOT starts_with(image, 'http') THEN 'image' WHEN len(each) > 0 THEN each[1] END AS reason FROM q) WHERE reason IS NOT NULL GROUP BY reason"""
+)
+def validate_cascade(spark, sf_dir):
+    q = quiz.questions(spark, sf_dir)
+    return bank.faults(q, bank.fault(q), "id")
+
+
+AUTHORED = "['easy', 'medium', 'hard'][1 + doc_id % 3]"
+
+
+def _authored(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, ("easy", "medium", "hard"))), (1 + F.col("doc_id") % 3).cast("int")).alias("difficulty"))
+
+
+@query(f"SELECT d || ' -> ' || COALESCE(tier, 'kept') AS change, COUNT(*) AS n FROM (SELECT doc_id, {AUTHORED} AS d FROM documents) LEFT JOIN (SELECT doc_id, CASE quality WHEN 1 THEN 'easy' ELSE 'hard' END AS tier FROM labels) USING (doc_id) GROUP BY 1")
+def overlay_join(spark, sf_dir):
+    overlay = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "easy").otherwise("hard").alias("tier"), F.col("quality").alias("score"))
+    return bank.transitions(bank.with_difficulty(_authored(spark, sf_dir), overlay, "doc_id"))
+
+
+@query(
+    f"""WITH bank AS (SELECT k, a FROM (SELECT {K('substring(text, 1, 60)')} AS k, {K('lang')} AS a, ROW_NUMBER() OVER (PARTITION BY {K('substring(text, 1, 60)')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1),
+ facts AS (SELECT {K('substring(text, 1, 60)')} AS k, lang AS a FROM documents UNION ALL SELECT {K('substring(text, 1, 60)')}, 'en' FROM benchmark)
+ SELECT CASE WHEN bank.k IS NULL THEN 'missing' WHEN bank.a <> {K('facts.a')} THEN 'wrong' ELSE 'ok' END AS state, COUNT(*) AS n FROM facts LEFT JOIN bank ON facts.k = bank.k GROUP BY 1"""
+)
+def golden_check(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("question"), F.col("lang").alias("answer"))
+    b = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 60).alias("question"), F.lit("en").alias("answer"))
+    own = bank.first_wins(d, X.norm_key(F.col("question")), ["doc_id"]).select("question", F.col("answer").alias("correct_answer"))
+    return bank.golden(d.select("question", "answer").unionByName(b), own).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT b.item_id AS key, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN d.d IN ('easy', 'medium') THEN 'ok' WHEN o.basis = 'raters' THEN 'failure' ELSE 'pending' END AS state
+ FROM benchmark b LEFT JOIN (SELECT doc_id, {AUTHORED} AS d FROM documents) d ON b.item_id = d.doc_id LEFT JOIN (SELECT doc_id, CASE toxic WHEN 0 THEN 'raters' ELSE 'authored' END AS basis FROM labels) o ON b.item_id = o.doc_id"""
+)
+def anchor_check(spark, sf_dir):
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.array(F.lit("easy"), F.lit("medium")).alias("allowed"))
+    overlay = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 0, "raters").otherwise("authored").alias("basis"))
+    return bank.anchors(wanted, _authored(spark, sf_dir).withColumnRenamed("doc_id", "key"), overlay).select("key", "state")
+
+
+def _cleaned(c: str) -> str:
+    for pattern, new in ((r"(?s)<!--.*?-->", ""), (r"(?i)<\s*br\s*/?\s*>", "\n"), (r"(?i)\[\[(?:File|Image|Category|Media):[^\[\]]*\]\]", ""), *[(r"\[\[(?:[^|\]]*\|)?([^\[\]]+)\]\]", r"\1")] * 2, (r"\[(?:https?:)?//[^\s\]]+\s+([^\]]+)\]", r"\1"), (r"<[^>]+>", ""), (r"\{\{[^{}]*\}\}", "")):
+        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')"
+    for old, new in (("'''", ""), ("''", ""), ("&nbsp;", " "), ("[[", ""), ("]]", "")):
+        c = f"replace({c}, '{old.replace(chr(39), chr(39) * 2)}', '{new}')"
+    line = r"trim(trim(regexp_replace(trim(regexp_replace(s, '[ \t\x{00A0}]+', ' ', 'g')), '^-{2,}\s*', ''), ';,'))"
+    return f"list_filter(list_transform(string_split({c}, chr(10)), lambda s: {line}), lambda s: s <> '')"
+
+
+@query(f"SELECT page_id, len(l)::INT AS n_lines, md5(array_to_string(l, chr(10))) AS digest FROM (SELECT page_id, {_cleaned('html')} AS l FROM pages)")
+def clean_markup(spark, sf_dir):
+    lines = F.coalesce(X.clean_field(F.col("html")), F.array().cast("array<string>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(lines).alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("digest"))
+
+
+@query()
+def lead_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", markup.lead_summary(F.col("text"), bold=False).alias("summary"))
+
+
+DECODED = "replace(url_decode(replace({}, '+', '%2B')), '_', ' ')"
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN instr(url, '.example') > 0 THEN {DECODED.format("substring(url, instr(url, '.example') + 8)")} END AS after_first, trim(string_split({DECODED.format("string_split(url, '/')[-1]")}, '#')[1]) AS after_last,
+ CASE WHEN contains(url, '.example.com') AND NOT regexp_matches(url, '[?&]format=') THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'format=png' ELSE url END AS forced FROM pages"""
+)
+def url_title(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", X.title_after_first(u, ".example").alias("after_first"), X.title_after_last(u, "/").alias("after_last"), X.force_param(u, ".example.com").alias("forced"))
+
+
+def _pool_sql(name: str, value: str, least: int) -> str:
+    return f"SELECT '{name}' AS pool, {value} AS v, {K(value)} AS norm_v, prominence AS tier, saga, ord, COUNT(*) OVER (PARTITION BY {K(value)}) AS c, ROW_NUMBER() OVER (PARTITION BY {K(value)} ORDER BY ord) AS r, {least} AS least FROM entities WHERE {K(value)} NOT IN {NOISE_SQL}"
+
+
+POOLS = [("occupation", "occupation", 2), ("origin", "origin", 2), ("region", "region", 2), ("name", "title", 1)]
+
+
+@query(with_views("entities", body="SELECT pool, v, norm_v, tier::INT AS tier, saga, ord FROM (" + " UNION ALL ".join(_pool_sql(*p) for p in POOLS) + ") WHERE r = 1 AND c >= least"))
+def value_pools(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    out = None
+    for name, value, least in POOLS:
+        p = items.pool(e, name, value, "ord", least if least > 1 else None)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+LEVEL = "CASE WHEN prominence - {d} >= 2 THEN 'easy' WHEN prominence - {d} = 1 THEN 'medium' ELSE 'hard' END"
+SAGA_SQL = "CASE " + " ".join(f"WHEN chapter <= {b} THEN {i}" for i, b in enumerate(scores.SAGAS, 1)) + " ELSE 11 END"
+
+
+@query(with_views("entities", body=f"SELECT title, prominence::INT AS prominence, {LEVEL.format(d=0)} AS headline, {LEVEL.format(d=1)} AS deep, {SAGA_SQL} AS saga_order FROM (SELECT *, ord % 1200 AS chapter FROM entities)"))
+def prominence_difficulty(spark, sf_dir):
+    p = F.col("prominence")
+    return entities(spark, sf_dir).select("title", p, scores.difficulty(p, F.lit(0)).alias("headline"), scores.difficulty(p, F.lit(1)).alias("deep"), scores.saga_of_first(F.concat(F.lit("Chapter "), F.col("ord") % 1200)).alias("saga_order"))
+
+
+def _asked(e):
+    return e.select(F.col("ord").alias("id"), F.lit("origin").alias("pool"), F.col("origin").alias("answer"), F.col("region").alias("leak_ref"), F.col("prominence").alias("tier"), "saga")
+
+
+@query(
+    with_views(
+        "entities",
+        body=f""", pool AS (SELECT v, norm_v, tier AS p_tier, saga AS p_saga FROM (SELECT origin AS v, {K('origin')} AS norm_v, prominence AS tier, saga, ROW_NUMBER() OVER (PARTITION BY {K('origin')} ORDER BY ord) AS r FROM entities) WHERE r = 1),
+ cands AS (SELECT e.ord AS id, v, norm_v, ROW_NUMBER() OVER (PARTITION BY e.ord ORDER BY ABS(p_tier - prominence), GREATEST(0, p_saga - saga), md5('{SEED}' || e.ord || '|' || v)) AS r FROM entities e JOIN pool p ON NOT {NEAR.format(a=K('e.origin'), b='norm_v')}),
+ lists AS (SELECT id, list(v ORDER BY r) AS l FROM cands GROUP BY id)
+ SELECT id, array_to_string(list_reduce(list_transform(l, lambda v: [v]), lambda a, c: CASE WHEN len(a) < 3 AND len(list_filter(a, lambda x: {NEAR.format(a=K('x'), b=K('c[1]'))})) = 0 THEN a || c ELSE a END), '|') AS distractors FROM lists""",
+    )
+)
+def distractor_candidates(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    d = items.distractors(items.candidates(_asked(e), items.pool(e, "origin", "origin", "ord"), SEED))
+    return d.select("id", F.array_join("distractors", "|").alias("distractors"))
+
+
+@query()
+def capped_selection(spark, sf_dir):
+    e = entities(spark, sf_dir).select("ord", "origin", F.concat_ws("|", "occupation", "saga").alias("entity"), F.col("occupation").alias("template"), F.lit(items.ANSWER_CAP).alias("answer_cap"), F.when(F.col("prominence") == 2, 10).when(F.col("prominence") == 1, 5).otherwise(2).alias("entity_cap"), F.lit(items.TEMPLATE_CAP).alias("template_cap"))
+    return items.capped(e, {"origin": "answer_cap", "entity": "entity_cap", "template": "template_cap"}, "ord").select("ord", "origin", "template")
+
+
+@query(with_views("entities", body="SELECT origin, ord, title, article_len FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY origin ORDER BY article_len DESC, ord) AS r FROM entities) WHERE r = 1"))
+def argmax_richest(spark, sf_dir):
+    return items.richest(entities(spark, sf_dir).select("origin", "ord", "title", "article_len"), ["origin"], F.col("article_len"), "ord")
+
+
+@query(with_views("entities", body=f"SELECT {K('origin')} AS crew_key, COUNT(DISTINCT title) AS n, md5(string_agg(DISTINCT title, '|' ORDER BY title)) AS members FROM entities GROUP BY 1"))
+def membership_index(spark, sf_dir):
+    return items.members(entities(spark, sf_dir), "origin", "title").select("crew_key", "n", F.md5(F.array_join("members", "|")).alias("members"))
+
+
+WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z]+'), lambda w: length(w) >= 3 AND NOT list_contains(" + STOP + ", w)))"
+NUM_SQL = "[" + ", ".join(f"'{w}'" for w in X.NUMBER_WORDS + X.ARTICLES) + "]"
+IS_NUM = "(len(regexp_extract_all(lower({x}), '[a-z]+')) > 0 AND len(list_filter(regexp_extract_all(lower({x}), '[a-z]+'), lambda t: NOT list_contains(" + NUM_SQL + ", t))) = 0)"
+
+
+@query(
+    f"""WITH {quiz.SQL}, q AS (SELECT *, {WORDS.format('question')} AS said, {WORDS.format("COALESCE(correct_answer, '')")} AS own, flatten(list_transform(incorrect_answers, lambda x: {WORDS.format('x')})) AS shared FROM quiz),
+ f AS (SELECT *, list_filter(own, lambda w: NOT list_contains(shared, w)) AS mine FROM q)
+ SELECT id, len(mine) > 0 AND len(list_filter(mine, lambda w: NOT list_contains(said, w))) = 0 AS stem_leak, len(list_filter(options, lambda o: NOT {IS_NUM.format(x='o')})) = 0 AS number_words,
+ len(list_filter(options, lambda o: {K('o')} IN {NOISE_SQL})) > 0 AS meta_noise, COALESCE(len(string_split(correct_answer, ' ')) >= 4 AND len(correct_answer) >= 1.6 * list_max(list_transform(incorrect_answers, lambda x: len(x))), FALSE) AS len_outlier FROM f"""
+)
+def signal_flags(spark, sf_dir):
+    q, o, right, wrong = quiz.questions(spark, sf_dir), F.col("options"), F.col("correct_answer"), F.col("incorrect_answers")
+    return q.select("id", X.stem_leak(F.col("question"), right, wrong).alias("stem_leak"), F.forall(o, X.is_number_word).alias("number_words"), F.exists(o, lambda x: X.norm_key(x).isin(X.META_NOISE)).alias("meta_noise"), F.coalesce(X.answer_len_outlier(right, wrong), F.lit(False)).alias("len_outlier"))
+
+
+@query()
+def signal_cascade(spark, sf_dir):
+    q = quiz.questions(spark, sf_dir).where("correct_answer is not null").withColumn("gloss", F.lit(None).cast("string"))
+    e = entities(spark, sf_dir).select("title", F.lit("character").alias("kind"), F.create_map(F.lit("origin"), F.array("origin")).alias("fields"))
+    # titles of the bank attest options, so the answers' own documents count as pages
+    flagged = signals.flags(signals.attested(q, signals.vocabulary(e, q)))
+    return flagged.select("id", F.array_join("flags", ",").alias("flags"), F.array_join("guessability_flags", ",").alias("guessability_flags"))
+
+
+@query()
+def string_similarity(spark, sf_dir):
+    return quiz.questions(spark, sf_dir).select("id", F.bround(signals.option_similarity("options"), 3).alias("similarity"))
+
+
+MERGED = """m AS (SELECT item, COUNT(*) AS raters, CAST(round_even(median(knowledge_score), 0) AS INT) AS median, MAX(knowledge_score) - MIN(knowledge_score) AS spread, COUNT(*) FILTER (guessable) AS votes FROM ratings GROUP BY item),
+scored AS (SELECT *, CAST(round_even(30 * votes / raters::DOUBLE, 0) AS INT) AS penalty FROM m), tiers AS (SELECT *, GREATEST(0, LEAST(100, median - penalty)) AS score FROM scored),
+final AS (SELECT *, CASE WHEN score <= 33 THEN 'easy' WHEN score <= 66 THEN 'medium' ELSE 'hard' END AS tier, ['easy', 'medium', 'hard'][1 + item % 3] AS authored FROM tiers)"""
+
+
+def _scored(spark, sf_dir):
+    m = ratings.merged(views.ratings(spark, sf_dir))
+    m = m.withColumn("score", scores.clamp(F.col("median") - F.col("penalty")))
+    return m.withColumn("tier", scores.tier(F.col("score"))).withColumn("authored", F.element_at(F.array(*map(F.lit, ("easy", "medium", "hard"))), (1 + F.col("item") % 3).cast("int")))
+
+
+@query(with_views("ratings", body=f", {MERGED} SELECT item, raters, median, spread, votes, penalty, score, tier FROM final"))
+def rater_merge(spark, sf_dir):
+    return _scored(spark, sf_dir).select("item", "raters", "median", "spread", "votes", "penalty", "score", "tier")
+
+
+@query(with_views("ratings", body=f", {MERGED} SELECT authored, COUNT(*) FILTER (tier = 'easy') AS easy, COUNT(*) FILTER (tier = 'medium') AS medium, COUNT(*) FILTER (tier = 'hard') AS hard, ROUND(100 * COUNT(*) FILTER (tier <> authored) / COUNT(*)::DOUBLE, 1) AS moved FROM final GROUP BY authored"))
+def tier_crosstab(spark, sf_dir):
+    return ratings.crosstab(_scored(spark, sf_dir))
+
+
+@query(f"WITH {quiz.SQL} SELECT id, substring(sha256('[' || to_json(question)::VARCHAR || ', [' || array_to_string(list_transform(list_sort(options), lambda o: to_json(o)::VARCHAR), ', ') || ']]'), 1, 16) AS hash FROM quiz")
+def content_hash(spark, sf_dir):
+    return quiz.questions(spark, sf_dir).select("id", X.content_hash(F.col("question"), F.col("options")).alias("hash"))
+
+
+@query("SELECT 'b' || CASE WHEN i // 20 < 10 THEN '0' ELSE '' END || (i // 20) AS batch, i % 20 + 1 AS n, conv_id, turn FROM (SELECT conv_id, turn, ROW_NUMBER() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations)")
+def batch_export(spark, sf_dir):
+    return bank.batches(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"]).select("batch", "n", "conv_id", "turn")
+
+
+@query(
+    with_views(
+        "ratings",
+        body=""", pending AS (SELECT i.item, r.rater FROM (SELECT DISTINCT item FROM ratings) i, (SELECT DISTINCT rater FROM ratings) r WHERE NOT EXISTS (SELECT 1 FROM ratings x WHERE x.item = i.item AND x.rater = r.rater))
+ SELECT rater, COUNT(*) AS pending, CAST(CEIL(COUNT(*) / 20.0) AS BIGINT) AS requests, (COUNT(*) * 250 + CEIL(COUNT(*) / 20.0) * 1500)::BIGINT AS tokens_in, COUNT(*) * 60 AS tokens_out FROM pending GROUP BY rater""",
+    )
+)
+def unrated_pairs(spark, sf_dir):
+    r = views.ratings(spark, sf_dir)
+    return ratings.cost(ratings.unrated(r, r, r))
+
+
+@query(
+    """SELECT doc_id, 'q_' || lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(generate_series(1, length(s)), lambda i: unicode(s[i])::BIGINT)), lambda h, u: xor((h * 33) & 4294967295, u)), 36)) AS qid FROM (SELECT doc_id, substring(text, 1, 40) AS s FROM documents)"""
+)
+def question_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.question_id(F.substring("text", 1, 40)).alias("qid"))
+
+
+@query()
+def streaming_mastery(spark, sf_dir):
+    """The events as a stream of files; the last row of each question equals mastery_state."""
+    from uuid import uuid4
+
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    out = f"{shared_dir(spark)}/mastery-{uuid4().hex}"
+    mastery.run_to_table(mastery.progress(views.answers_of(raw)), f"{out}/rows", f"{out}/checkpoint")
+    rows = spark.read.parquet(f"{out}/rows")
+    last = rows.groupBy("profile", "qid").agg(F.max_by(F.struct("seen", "correct", "wrong", "streak", "mastered", "times_mastered", "last_seen"), "batch").alias("x"))
+    return last.select("profile", "qid", "x.*")
+
+
+@query()
+def html_decode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(signals.html_decoded("html")).alias("digest"))
+
+
+@query("SELECT conv_id, role, arg_min(text, turn) AS learn, arg_max(text, turn) AS event, COUNT(*) AS n FROM conversations GROUP BY conv_id, role")
+def first_last_answer(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return t.groupBy("conv_id", "role").agg(F.min_by("text", "turn").alias("learn"), F.max_by("text", "turn").alias("event"), F.count("*").alias("n"))
+
+
+@query("SELECT lang, COUNT(*) AS n, COUNT(*) FILTER (quality IS NOT NULL) AS covered, ROUND(100 * COUNT(*) FILTER (quality IS NOT NULL) / COUNT(*)::DOUBLE, 1) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def coverage_report(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    known = F.count_if(F.col("quality").isNotNull())
+    return d.groupBy("lang").agg(F.count("*").alias("n"), known.alias("covered"), F.round(100 * known / F.count("*"), 1).alias("share"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -124,7 +124,7 @@ def lead_summary(c: Column, window: int = 12000, most: int = 240, bold: bool = T
 
     def summary(p):
         value = F.array_join(X.clean_field(p), " ")
-        sentences = F.filter(F.transform(F.split(value, r"(?<=[.!?])\s+(?=[A-Z\"'])"), tidy), lambda s: s != "")
+        sentences = F.filter(F.transform(F.split(value, r"(?<=[.!?])\s+(?=[A-Z\"'])"), lambda x: tidy(x)), lambda s: s != "")
         first = F.get(sentences, 0)
         return F.when((F.length(first) < 120) & (F.size(sentences) > 1), F.concat(first, F.lit(". "), F.get(sentences, 1))).otherwise(first)
 

@@ -9,6 +9,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -60,7 +61,7 @@ def flags(q: DataFrame) -> DataFrame:
     return q.withColumn("flags", all_).withColumn("guessability_flags", F.array_intersect("flags", X.literals(GUESSABILITY)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def option_similarity(options: pd.Series) -> pd.Series:
     """Mean Ratcliff-Obershelp ratio of all pairs of keys; 0 for fewer than two."""
 
@@ -72,7 +73,7 @@ def option_similarity(options: pd.Series) -> pd.Series:
     return options.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_decoded(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     from html import unescape
 

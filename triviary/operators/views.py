@@ -62,4 +62,5 @@ SQL = {
 
 
 def with_views(*names: str, body: str) -> str:
-    return "WITH " + ", ".join(SQL[n] for n in names) + " " + body
+    """SQL over the views; a body that begins with a comma goes on with further ones."""
+    return "WITH " + ", ".join(SQL[n] for n in names) + ("" if body.startswith(",") else " ") + body
