@@ -33,7 +33,7 @@ from .suffix import common_prefixes, suffix_array
 from .words import mix, powers
 
 LENGTH, GRAM = 400, 200
-SHARD = 2 << 20
+SHARD = 1 << 20
 BUFFER = 2 << 20
 U = np.uint64
 
@@ -190,7 +190,7 @@ class Shard:
 def whole(batches, columns: tuple[str, ...], most: int):
     """Tables of sorted rows of about `most` bytes that hold every group of equal `columns` whole."""
     held, size = None, 0
-    for b in batches:
+    for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         t = pa.Table.from_batches([b])
         held = t if held is None else pa.concat_tables([held, t])
         size += t.nbytes
@@ -278,7 +278,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumn("_d", F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))).withColumn("_th", F.xxhash64(F.col(text), F.col(key).isNull()))
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, per_shard: int = 3000) -> DataFrame:
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, per_shard: int = 2000) -> DataFrame:
     """(_d, _th, spans): the intervals array<struct<s, e>> to remove, not merged, of each text that has some."""
     own = keyed(docs, key, text).select(F.col("_d").alias("d"), F.col("_th").alias("th"), F.col(text).alias("text")).where(F.octet_length(text) >= length)
     found = anchored(own, length, gram)
@@ -317,7 +317,7 @@ def kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, per_shard: int = 3000) -> DataFrame:
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, per_shard: int = 2000) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = keyed(docs.select(key, text), key, text).join(repeated(docs, key, text, length, gram, per_shard), ["_d", "_th"], "left").select(key, text, "spans")
     schema = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
@@ -335,7 +335,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     return rows.mapInArrow(run, schema)
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, per_shard: int = 3000) -> DataFrame:
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, per_shard: int = 2000) -> DataFrame:
     """docs with the repeated bytes cut from the text (broken characters at the cuts are dropped); null texts stay null."""
     rows = keyed(docs, key, text).join(repeated(docs, key, text, length, gram, per_shard), ["_d", "_th"], "left").select(*[F.col(c) for c in docs.columns], F.col("spans").alias("_spans"))
     at, last = docs.columns.index(text), len(docs.columns)
