@@ -78,16 +78,18 @@ class Parser:
         self.symbol[symbols] = np.arange(1, self.width)
         self.space = int(self.symbol[32])
         self.cost = np.array([np.log2(len(s) + 2) for _, s in samples])
-        self.tables = []
+        self.tables, self.start = [], []
         for _, s in samples:
             go = automaton(s)
-            t = np.full((len(go), self.width), -1, np.int32)
+            none = len(go)  # the state before a text and after a symbol that the sample lacks: a phrase ends there
+            t = np.full((none + 1, self.width), -1, np.int32)
             for state, to in enumerate(go):
                 if to:
                     t[state, self.symbol[list(to)]] = list(to.values())
-            root = np.maximum(t[0], 0)
+            root = np.where(t[0] < 0, none, t[0])
             t = np.where(t < 0, (root * self.width)[None, :] | FAIL, t * self.width).astype(np.int32)
             self.tables.append(t.ravel())
+            self.start.append(none * self.width)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """The number of phrases of each text in each language."""
@@ -109,8 +111,8 @@ class Parser:
         order = np.argsort(-length, kind="stable")
         first, length, owner = (start[owner] + place)[order], length[order], owner[order]
         active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left").tolist()
-        state = [np.zeros(len(first), np.int32) for _ in self.langs]
-        count = [np.ones(len(first), np.int32) for _ in self.langs]
+        state = [np.full(len(first), s, np.int32) for s in self.start]
+        count = [np.zeros(len(first), np.int32) for _ in self.langs]
         for t, a in enumerate(active):
             c = sym[first[:a] + t]
             for s, k, table in zip(state, count, self.tables):

@@ -9,7 +9,8 @@ are scored on integers. Bounds have slack for rounding and scores are integers,
 
 The rotation holds the right singular vectors of a bounded sample (`sample` rows of least hash); any rotation gives right results, this
 one prunes well. Scores beyond 64 bits are held at their limits. Vectors are compared with those of their own dimension.
-Null vectors, and those with null or non-finite components or a null id, take no part. Rows that repeat a query's id are its own.
+Null vectors, and those with null or non-finite components or a null id, take no part. Rows that repeat a query's id are its own; of several query rows of one id that of the
+least vector asks.
 An empty table gives no rows.
 """
 
@@ -116,7 +117,7 @@ def top_k(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "e
     """(query_id, rank, vec_id, score) of each query's k best among all rows but those of its own id."""
     spark = df.sparkSession
     base = written(integers(df, key, vector, scale).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))), "vectors")
-    queries = integers(df.where(is_query), key, vector, scale)
+    queries = integers(df.where(is_query), key, vector, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select("id", "x.dim", "x.v")
     dims = [r[0] for r in base.groupBy("dim").count().orderBy("dim").collect()]  # one row per dimension
     out = None
     for dim in dims:
