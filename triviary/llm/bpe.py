@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import slices
 
@@ -33,6 +34,9 @@ from .common import slices
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: str.split() also splits at these; the normaliser doesn't.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
+#: Beyond Latin letters the library's Unicode tables may differ from Python's; such texts are normalised and split by the library.
+BEYOND = regex.compile("[^\x00-\u024f]")
+NEWER = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 #: Distinct chunks a worker remembers before it starts anew.
 REMEMBERED = 400_000
 NEVER = np.iinfo(np.int64).max
@@ -53,7 +57,8 @@ class WordBpe:
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern, self.newer = regex.compile(pattern), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         vocab: dict[str, int] = model["vocab"]
@@ -311,6 +316,8 @@ class WordBpe:
     @staticmethod
     def plain(text: str) -> list[str]:
         if not text.isascii():
+            if BEYOND.search(text):
+                return [x for x in SPACE.split(NEWER.normalize_str(text)) if x]
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case letter by letter, without a final form
@@ -327,7 +334,11 @@ class WordBpe:
             if c[0] == " ":
                 self.chunks[c] = (self.int[int(c)],)
             else:
-                parts[c] = p = [c] if c.isalpha() else self.pattern.findall(c)
+                if not c.isascii() and BEYOND.search(c):
+                    p = [w for w, _ in self.newer.pre_tokenize_str(c)]
+                else:
+                    p = [c] if c.isalpha() else self.pattern.findall(c)
+                parts[c] = p
                 new.update(p)
         new = [w for w in new if w not in self.words]
         for i in range(0, len(new), 50_000):
