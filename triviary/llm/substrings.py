@@ -281,7 +281,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, per_shard: int = 2000) -> DataFrame:
     """(_d, _th, spans): the intervals array<struct<s, e>> to remove, not merged, of each text that has some."""
     own = keyed(docs, key, text).select(F.col("_d").alias("d"), F.col("_th").alias("th"), F.col(text).alias("text")).where(F.octet_length(text) >= length)
-    found = anchored(own, length, gram)
+    found = written(anchored(own, length, gram), "anchors")
     classes = found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.first("d").alias("d"), F.first("th").alias("th"), F.first("p").alias("p"))
     per_anchor = classes.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("c")).where("all > 1")
     classes = written(classes.join(per_anchor, "h").select("h", "ctx", "n", "d", "th", "p", "c"), "classes")
