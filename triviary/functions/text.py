@@ -66,7 +66,7 @@ def combined_name(english: Column, romaji: Column) -> Column:
 
 def clean_bounty(values: Column) -> Column:
     """The first value of digits and commas alone, with four digits or more."""
-    good = F.filter(F.transform(values, F.trim), lambda v: v.rlike("^[0-9,]+$") & (F.length(F.replace(v, F.lit(","), F.lit(""))) >= 4))
+    good = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.rlike("^[0-9,]+$") & (F.length(F.replace(v, F.lit(","), F.lit(""))) >= 4))
     return F.concat(F.get(good, 0), F.lit(" Berries"))
 
 

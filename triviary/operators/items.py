@@ -156,9 +156,10 @@ def capped_in_order(rows: DataFrame, keys: dict[str, str], order: str) -> DataFr
                 for o in own:
                     used[o] = used.get(o, 0) + 1
                 keep.append(r)
-        return pd.DataFrame(keep, columns=pdf.columns)
+        return pd.DataFrame(keep, columns=rows_columns)
 
-    return rows.groupBy(F.lit(1)).applyInPandas(run, rows.schema)
+    rows_columns = rows.columns
+    return rows.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, rows.schema)
 
 
 def members(rows: DataFrame, crew: str, member: str) -> DataFrame:
