@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, langid, neardup, substrings, topk, warc
+from . import bpe, chat, decontaminate, extract, langid, neardup, quality, substrings, topk, warc
 from .common import ship
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
@@ -47,6 +47,14 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: 0 toxic, 1 of low quality, 2 good; learned from documents that op9's rule doesn't hold out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grades = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
+    model = quality.learn(docs, grades, use=~held_out())
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "expected_grade", "p_good", "selected")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
