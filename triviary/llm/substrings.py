@@ -337,7 +337,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, per_shard: int = 2000) -> DataFrame:
     """docs with the repeated bytes cut from the text (broken characters at the cuts are dropped); null texts stay null."""
-    rows = keyed(docs, key, text).join(repeated(docs, key, text, length, gram, per_shard), ["_d", "_th"], "left").select(*[F.col(c) for c in docs.columns], F.col("spans").alias("_spans"))
+    spans = repeated(docs, key, text, length, gram, per_shard).withColumnRenamed("spans", "_spans")
+    rows = keyed(docs, key, text).join(spans, ["_d", "_th"], "left").select(*docs.columns, "_spans")
     at, last = docs.columns.index(text), len(docs.columns)
 
     def run(batches):
