@@ -86,7 +86,8 @@ def paths(nodes: DataFrame, best: int = 1, most_joins: int = 40) -> DataFrame:
         "jumps",
     )
     jumps, done, active = [], state.where("jump is null"), state.where("jump is not null")
-    for _ in range(most_joins):  # only nodes that haven't reached their root are joined again
+    # a path of n nodes is climbed in log2(n) rounds; what is left then lies on a cycle
+    for _ in range(min(most_joins, state.count().bit_length() + 1)):  # only nodes that haven't reached their root are joined again
         if active.isEmpty():
             break
         jumps.append(active.select("tree", "node", "jump"))
