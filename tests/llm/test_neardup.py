@@ -105,3 +105,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 300), (5, 5)]
     got = {r.node: r.least for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 300: 0, 101: 100, 102: 100}
+
+
+def test_buffers_that_begin_with_empty_texts():
+    for lead in ([b""], [b"", b"", b""]):
+        _, w = next(neardup.buffers([*lead, b"one two", b"", b"three"], neardup.WORD))
+        assert list(zip(w.first.tolist(), w.after.tolist(), w.text.tolist())) == [(0, 3, len(lead)), (4, 7, len(lead)), (7, 12, len(lead) + 2)]
+    assert [len(x) for x in neardup.sets([b"", b"one two", b"one two"], 4)] == [0, 1, 1]
+    a, b = neardup.sets([b"", b"one two", b"one two"], 4)[1:]
+    assert a.tolist() == b.tolist()

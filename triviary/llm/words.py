@@ -69,7 +69,7 @@ def words_of(buf: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> Words:
     edge[0] = is_in[0]
     np.not_equal(is_in[1:], is_in[:-1], out=edge[1:])
     starts = bounds[1:-1]
-    starts = starts[starts < len(buf)]
+    starts = starts[(starts > 0) & (starts < len(buf))]
     # a word ends where its text does
     split = starts[is_in[starts] & is_in[starts - 1]]
     at = np.flatnonzero(edge)
