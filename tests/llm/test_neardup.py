@@ -114,3 +114,17 @@ def test_buffers_that_begin_with_empty_texts():
     assert [len(x) for x in neardup.sets([b"", b"one two", b"one two"], 4)] == [0, 1, 1]
     a, b = neardup.sets([b"", b"one two", b"one two"], 4)[1:]
     assert a.tolist() == b.tolist()
+
+
+def test_small_sets_against_brute_force(spark):
+    """Sets of 4 and 5 shingles: 7 and 8 words at a width of 4, 8 and 9 at 5."""
+    for width in (4, 5):
+        rows = []
+        for i in range(40):
+            w = [f"{c}{i}" for c in "abcdefghi"]
+            rows += [" ".join(w[: width + 3]), " ".join(w[: width + 4]), " ".join(w[: width + 2]), " ".join(w[1 : width + 4])]
+        rows = list(enumerate(rows))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=width).collect()}
+        assert got == brute(rows, width)
+        assert got[1] == (5, 0, False) and got[2] == (3, 2, True) and got[3] == (4, 0, False)

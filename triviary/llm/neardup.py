@@ -113,15 +113,19 @@ def plausible(above: np.ndarray, below: np.ndarray, n_u: np.ndarray, n_v: np.nda
     return (good >= best - slack) & (most >= least - 1e-9)
 
 
-def sketched(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, th, n, set, registers) of every row: th names the text, set the shingles, registers are null for sets under 5."""
+def sketched(docs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    """(key, th, n, set, registers) of every row: th names the text, set the shingles.
+
+    Registers are null for sets too small to be linked with any but an equal one: n / (n + 1) is under `least`.
+    """
+    per = round(100 * least)
     schema = T.StructType([docs.schema[key], T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("registers", T.BinaryType())])
 
     def run(batches):
         for b in slices(batches, 1, 4 << 20):
             own = sets([(t or "").encode() for t in b.column(1).to_pylist()], width)
             names = [None if not len(s) else np.array([len(s), s.sum(dtype=U), np.bitwise_xor.reduce(mix(s))], U)[1:].tobytes() + len(s).to_bytes(4, "big") for s in own]
-            large = [i for i, s in enumerate(own) if len(s) >= 5]
+            large = [i for i, s in enumerate(own) if 100 * len(s) >= per * (len(s) + 1)]
             regs: list = [None] * len(own)
             for i, r in zip(large, sketch([own[i] for i in large])):
                 regs[i] = r.tobytes()
@@ -301,7 +305,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     th is xxhash64 of the text; component_id the least key among all that links reach; group numbers the components and is null for empty sets.
     """
-    rows = written(sketched(docs, key, text, width), "sketches")
+    rows = written(sketched(docs, key, text, width, least), "sketches")
     # nodes: one for each distinct set, numbered where they are written
     nodes = rows.where("set is not null").groupBy("set").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("th").alias("th"))).alias("rep"), F.max("n").alias("n"), F.max("registers").alias("registers"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "rep", "n", "registers"), "nodes")
