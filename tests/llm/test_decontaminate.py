@@ -66,3 +66,32 @@ def test_whole_items_in_the_documents(spark):
     rows, bench = docs.select("doc_id", "text").collect(), items.collect()
     want = {r.doc_id for r in rows if any(b.text in (r.text or "") for b in bench)}
     assert {r.doc_id for r in D.contaminated(docs, items).select(F.col("doc_id")).collect()} == want
+
+
+DENSE = [
+    (1, "What is 48 plus 17 minus 5 times 3?"),
+    (2, "Tom has 12 apples and Ann has 15 apples."),
+    (3, "Who was the wife of John Smith?"),
+    (4, "Natalia sold 48 clips in April, and Mia sold 24 in May."),
+    (5, "What is 6 times 7?"),
+    (6, "Capital of Peru?"),
+    (7, "Sort 9 4 8 1 7 2 6 3 5 and 10"),
+]
+
+
+def test_items_full_of_slots_and_short_items():
+    items = D.Items(DENSE)
+    filler = "nothing of note is in these lines of prose " * 20
+    for i, t in DENSE:
+        assert items.found([f"{filler}. {t} {filler}".encode()])[0].keys() == {i}
+        assert items.found([f"{filler}, {t.lower()} {filler}".encode()])[0].keys() == {i}  # without capitals
+        assert items.found([f'{filler} he asked "{t}" {filler}'.encode()])[0].keys() == {i}
+    others = [
+        b"What is 23 plus 9 minus 2 times 7?",
+        b"Bob has 3 apples and Eve has 7 apples.",
+        b"Who was the wife of Peter Pan?",
+        b"Olga sold 7 clips in June, and Ida sold 9 in July.",
+    ]
+    assert {d: set(x) for d, x in items.found(others).items()} == {0: {1}, 1: {2}, 2: {3}, 3: {4}}
+    clean = [b"What is 23 plus 9 minus 9 times 7?", b"What is 3 times 4?", b"Capital of Chile?", b"Sort 1 2 3 4 5 6 7 8 9 and 11", b"1 2 3 4 5 6 7 8 9 10 11 12", b"Who was the King of John Smith?", filler.encode()]
+    assert items.found(clean) == {}

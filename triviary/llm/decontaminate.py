@@ -1,16 +1,21 @@
 """Documents that hold benchmark items, also re-parameterised ones, by template windows.
 
 Numbers, names (capitalised words inside a sentence) and units (after a number) are replaced by typed placeholders, everything
-else is lowered. Windows of `window` template words, most of them literal, are hash-joined with those of the items (an item of
-fewer words is one window). Windows on one alignment of document and item must agree in their slots: equal values in the item
-must stand for equal values in the document and the other way round. A document is contaminated if consistent windows of one
-alignment cover at least half of the item's words, or 13 of them.
+else is lowered. Windows of `window` words are hash-joined with those of the items (an item of fewer words is one window): every window
+by its raw lowered words, and by its template words if half of them or more are literal. Windows on one alignment of document and item
+must agree in their slots: equal values in the item must stand for equal values in the document and the other way round. A document
+is contaminated if on one alignment
+
+- consistent windows that are equal in their raw words, or in templates of which 3/4 are literal, cover half of the item's words, or 13; or
+- such an alignment is known by one window, and consistent windows of any kind on it cover all of the item's words but one, or 13, and at least 4 of these words, and 3/4 as many as the first
+  rule asks for, are literal. So questions full of numbers and names are found with other numbers and names too.
 
 The items' windows are held by every task, so items are taken in blocks of at most `block` windows, however many there are; the
 documents are read once per block and never shuffled. All words of every document are read.
 
-Null and empty texts are clean; items of fewer than `least` words are left out, as their windows say nothing; repeated rows
-are judged each; tables may be empty; other columns pass through `clean` unchanged.
+Null and empty texts are clean. Items under `least` words are found by their raw words alone, as their templates say nothing; items of one or
+two words are left out, as any text holds them. Repeated rows are judged each; tables may be empty; other columns pass through `clean`
+unchanged.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ INSIDE = table(set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVW
 UPPER, DIGIT, ENDS = table(set(range(65, 91))), table(b"0123456789"), table(b".!?:\n")
 #: Fixed words after numbers.
 UNITS = b"mm cm m km in ft yd mi mg g kg t oz lb ml l s min h hr hrs ms hz khz mhz ghz kb mb gb tb w kw mw v kv j kj c f k percent dollars euros pounds meters metres kilometers kilometres miles hours minutes seconds days weeks months years degrees grams kilograms liters litres"
+#: Items of fewer words are left out.
+SHORTEST = 3
 NUM, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
 
 
@@ -62,34 +69,35 @@ def unit_hashes() -> np.ndarray:
 
 
 class Items:
-    """Windows of some benchmark items."""
+    """Windows of some benchmark items: of raw words for all of them, of template words where half of a window or more is literal."""
 
     def __init__(self, rows: list[tuple[int, str]], window: int = 8, least: int = 5):
+        self.window = window
         self.ids, self.hash, self.slot, self.value = [], [], [], []
-        keys, items, places, sizes = [], [], [], []
+        # by kind (template or raw): keys, items, places, sizes
+        made = {False: ([], [], [], []), True: ([], [], [], [])}
         for item, text in rows:
             t, v, s = [np.concatenate(x) for x in zip(*[(*template(w), w.hash) for _, w in buffers([(text or "").encode()], INSIDE)])] if text else ([], [], [])
-            if len(t) < least:
+            if len(t) < SHORTEST:
                 continue
             n = min(window, len(t))
-            k = shingles(t, n)
-            literal = n - (np.convolve(v, np.ones(n, int), "valid") if len(v) else 0)
-            good = np.flatnonzero(literal * 4 >= n * 3)
-            keys.append(k[good])
-            items.append(np.full(len(good), len(self.ids)))
-            places.append(good)
-            sizes.append(np.full(len(good), n))
+            literal = n - np.convolve(v, np.ones(n, int), "valid")
+            every = np.arange(len(literal))
+            for raw, words, good in ((False, t, every[(literal * 2 >= n) & (len(t) >= least)]), (True, s, every)):
+                for own, x in zip(made[raw], (shingles(words, n)[good], np.full(len(good), len(self.ids)), good, np.full(len(good), n))):
+                    own.append(x)
             self.ids.append(item)
             self.hash.append(t)
             self.slot.append(v)
             self.value.append(s)
         cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        key, item, place, size = cat(keys, np.uint64), cat(items, np.int64), cat(places, np.int64), cat(sizes, np.int64)
-        self.by_size = {}
-        for n in np.unique(size).tolist():
-            own = np.flatnonzero(size == n)
-            own = own[np.argsort(key[own], kind="stable")]
-            self.by_size[n] = key[own], item[own], place[own]
+        self.by_size = []
+        for raw, columns in made.items():
+            key, item, place, size = map(cat, columns, (np.uint64, np.int64, np.int64, np.int64))
+            for n in np.unique(size).tolist():
+                own = np.flatnonzero(size == n)
+                own = own[np.argsort(key[own], kind="stable")]
+                self.by_size.append((raw, n, key[own], item[own], place[own]))
 
     def found(self, texts: list[bytes]) -> dict[int, dict[int, int]]:
         """For each contaminated text its items, with the number of words covered."""
@@ -115,29 +123,59 @@ class Items:
 
     def _match(self, t, v, s, text, start, out) -> None:
         hits = defaultdict(set)
-        for n, (key, item, place) in self.by_size.items():
+        made = {}
+        for raw, n, key, item, place in self.by_size:
             if len(t) < n:
                 continue
-            k = shingles(t, n)
+            if (raw, n) not in made:
+                made[raw, n] = shingles(s if raw else t, n)
+            k = made[raw, n]
             at = np.searchsorted(key, k)
             at[at == len(key)] = 0
             pos = np.flatnonzero((key[at] == k) & (text[n - 1 :] == text[: len(k)]))
             for p in pos.tolist():
                 i = int(np.searchsorted(key, k[p]))
                 while i < len(key) and key[i] == k[p]:
-                    hits[int(text[p]), int(item[i]), p - int(place[i])].add((int(place[i]), n))
+                    hits[int(text[p]), int(item[i]), p - int(place[i])].add((int(place[i]), n, raw))
                     i += 1
         for (d, i, offset), windows in hits.items():
+            n = self._covered(i, d, offset, windows, t, s, text)
+            if n:
+                own = out.setdefault(start + d, {})
+                own[self.ids[i]] = max(own.get(self.ids[i], 0), n)
+
+    def _covered(self, i: int, d: int, offset: int, windows: set[tuple[int, int, bool]], t: np.ndarray, s: np.ndarray, text: np.ndarray) -> int:
+        """How many words of item i are covered on one alignment where these windows were found, 0 if that's too few; see the module's docstring."""
+        size, slot = len(self.hash[i]), self.slot[i]
+        raw = sorted(w for w in windows if w[2])
+        mostly = sorted(w for w in windows if not w[2] and 4 * int(slot[w[0] : w[0] + w[1]].sum()) <= w[1])
+
+        def cover(chosen):
             words, forth, back = set(), {}, {}
-            for place, n in sorted(windows):
-                slots = [(int(self.value[i][q]), int(s[offset + q])) for q in range(place, place + n) if self.slot[i][q]]
-                if all(forth.get(a, b) == b and back.get(b, a) == a for a, b in slots):
+            for place, n, _ in chosen:
+                slots = {(int(self.value[i][q]), int(s[offset + q])) for q in range(place, place + n) if slot[q]}
+                alike = len({a for a, _ in slots}) == len({b for _, b in slots}) == len(slots)
+                if alike and all(forth.get(a, b) == b and back.get(b, a) == a for a, b in slots):
                     forth.update(slots)
                     back.update((b, a) for a, b in slots)
                     words.update(range(place, place + n))
-            if len(words) >= min(13, (len(self.hash[i]) + 1) // 2):
-                own = out.setdefault(start + d, {})
-                own[self.ids[i]] = max(own.get(self.ids[i], 0), len(words))
+            return words
+
+        half = min(13, (size + 1) // 2)
+        most = max((len(cover(x)) for x in ((mostly, raw + mostly) if raw else (mostly,)) if x), default=0)
+        best = most if most >= half else 0
+        if not best:
+            # windows of fewer literal words have no key of their own, but the alignment is known here
+            q = np.arange(max(0, -offset), min(size, len(t) - offset))
+            same = np.zeros(size, bool)
+            same[q] = (text[offset + q] == d) & ((t[offset + q] == self.hash[i][q]) | (s[offset + q] == self.value[i][q]))
+            n = min(self.window, size)
+            equal = [(p, n, False) for p in np.flatnonzero(np.convolve(same, np.ones(n, int), "valid") == n).tolist()]
+            words = cover(raw + mostly + [w for w in equal if w not in mostly])
+            literal = sum(not slot[q] for q in words)
+            if len(words) >= min(13, max(size - 1, min(size, self.window))) and 4 * literal >= 3 * half and literal >= 4:
+                best = len(words)
+        return best
 
 
 def blocks(items: DataFrame, item: str, text: str, window: int, block: int) -> Iterator[Items]:
