@@ -191,3 +191,26 @@ def test_stream_equals_batch(spark):
     cols = ["profile", "qid", "seen", "correct", "wrong", "streak", "mastered", "times_mastered"]
     rows = lambda name: sorted(tuple(r) for r in catalog.queries()[name](spark, sf).select(*cols).collect())
     assert rows("streaming_mastery") == rows("mastery_state")
+
+
+def test_whole_texts_that_begin_alike(spark, tmp_path):
+    """Documents that agree in their first 60 characters have ids, keys, hashes and flags of their own."""
+    from triviary import catalog
+
+    opening = "one two three four " + "the same opening of all texts that goes on past sixty " * 2
+    texts = [opening + "alpha", opening + "beta", opening + "alpha", opening + "\U0001f600 é", "x" * 70_000]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, opening + "gamma"), (2, texts[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    get = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    ids = {r.doc_id: r.qid for r in get("question_id_whole")}
+    for i, t in enumerate(texts):
+        h, raw = 5381, t.encode("utf-16-be")
+        for k in range(0, len(raw), 2):
+            h = (h * 33 & 0xFFFFFFFF) ^ int.from_bytes(raw[k : k + 2], "big")
+        assert int(ids[i][2:], 36) == h
+    assert ids[0] == ids[2] and len(set(ids.values())) == 4
+    assert {r.state: r.n for r in get("golden_check_whole")} == {"ok": 6, "missing": 1}
+    hashes = {r.id: r.hash for r in get("content_hash_whole")}
+    assert hashes[0] == hashes[2] and len(set(hashes.values())) == 4
+    assert len(get("signal_flags_whole")) == len(texts)

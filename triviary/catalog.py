@@ -156,16 +156,29 @@ def overlay_join(spark, sf_dir):
     return bank.transitions(bank.with_difficulty(_authored(spark, sf_dir), overlay, "doc_id"))
 
 
+def _golden(spark, sf_dir, question):
+    d = table(spark, sf_dir, "documents").select("doc_id", question.alias("question"), F.col("lang").alias("answer"))
+    b = table(spark, sf_dir, "benchmark").select(question.alias("question"), F.lit("en").alias("answer"))
+    own = bank.first_wins(d, X.norm_key(F.col("question")), ["doc_id"]).select("question", F.col("answer").alias("correct_answer"))
+    return bank.golden(d.select("question", "answer").unionByName(b), own).groupBy("state").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""WITH bank AS (SELECT k, a FROM (SELECT {K('substring(text, 1, 60)')} AS k, {K('lang')} AS a, ROW_NUMBER() OVER (PARTITION BY {K('substring(text, 1, 60)')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1),
  facts AS (SELECT {K('substring(text, 1, 60)')} AS k, lang AS a FROM documents UNION ALL SELECT {K('substring(text, 1, 60)')}, 'en' FROM benchmark)
  SELECT CASE WHEN bank.k IS NULL THEN 'missing' WHEN bank.a <> {K('facts.a')} THEN 'wrong' ELSE 'ok' END AS state, COUNT(*) AS n FROM facts LEFT JOIN bank ON facts.k = bank.k GROUP BY 1"""
 )
 def golden_check(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("question"), F.col("lang").alias("answer"))
-    b = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 60).alias("question"), F.lit("en").alias("answer"))
-    own = bank.first_wins(d, X.norm_key(F.col("question")), ["doc_id"]).select("question", F.col("answer").alias("correct_answer"))
-    return bank.golden(d.select("question", "answer").unionByName(b), own).groupBy("state").agg(F.count("*").alias("n"))
+    return _golden(spark, sf_dir, F.substring("text", 1, 60))
+
+
+@query(
+    f"""WITH bank AS (SELECT k, a FROM (SELECT {K('text')} AS k, {K('lang')} AS a, ROW_NUMBER() OVER (PARTITION BY {K('text')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1),
+ facts AS (SELECT {K('text')} AS k, lang AS a FROM documents UNION ALL SELECT {K('text')}, 'en' FROM benchmark)
+ SELECT CASE WHEN bank.k IS NULL THEN 'missing' WHEN bank.a <> {K('facts.a')} THEN 'wrong' ELSE 'ok' END AS state, COUNT(*) AS n FROM facts LEFT JOIN bank ON facts.k = bank.k GROUP BY 1"""
+)
+def golden_check_whole(spark, sf_dir):
+    return _golden(spark, sf_dir, F.col("text"))
 
 
 @query(
@@ -277,6 +290,11 @@ NUM_SQL = "[" + ", ".join(f"'{w}'" for w in X.NUMBER_WORDS + X.ARTICLES) + "]"
 IS_NUM = "(len(regexp_extract_all(lower({x}), '[a-z]+')) > 0 AND len(list_filter(regexp_extract_all(lower({x}), '[a-z]+'), lambda t: NOT list_contains(" + NUM_SQL + ", t))) = 0)"
 
 
+def _flags(q):
+    o, right, wrong = F.col("options"), F.col("correct_answer"), F.col("incorrect_answers")
+    return q.select("id", X.stem_leak(F.col("question"), right, wrong).alias("stem_leak"), F.forall(o, X.is_number_word).alias("number_words"), F.exists(o, lambda x: X.norm_key(x).isin(X.META_NOISE)).alias("meta_noise"), F.coalesce(X.answer_len_outlier(right, wrong), F.lit(False)).alias("len_outlier"))
+
+
 @query(
     f"""WITH {quiz.SQL}, q AS (SELECT *, {WORDS.format('question')} AS said, {WORDS.format("COALESCE(correct_answer, '')")} AS own, flatten(list_transform(incorrect_answers, lambda x: {WORDS.format('x')})) AS shared FROM quiz),
  f AS (SELECT *, list_filter(own, lambda w: NOT list_contains(shared, w)) AS mine FROM q)
@@ -284,13 +302,22 @@ IS_NUM = "(len(regexp_extract_all(lower({x}), '[a-z]+')) > 0 AND len(list_filter
  len(list_filter(options, lambda o: {K('o')} IN {NOISE_SQL})) > 0 AS meta_noise, COALESCE(len(string_split(correct_answer, ' ')) >= 4 AND len(correct_answer) >= 1.6 * list_max(list_transform(incorrect_answers, lambda x: len(x))), FALSE) AS len_outlier FROM f"""
 )
 def signal_flags(spark, sf_dir):
-    q, o, right, wrong = quiz.questions(spark, sf_dir), F.col("options"), F.col("correct_answer"), F.col("incorrect_answers")
-    return q.select("id", X.stem_leak(F.col("question"), right, wrong).alias("stem_leak"), F.forall(o, X.is_number_word).alias("number_words"), F.exists(o, lambda x: X.norm_key(x).isin(X.META_NOISE)).alias("meta_noise"), F.coalesce(X.answer_len_outlier(right, wrong), F.lit(False)).alias("len_outlier"))
+    return _flags(quiz.questions(spark, sf_dir))
+
+
+@query(
+    f"""WITH {quiz.WHOLE_SQL}, q AS (SELECT *, {WORDS.format('question')} AS said, {WORDS.format("COALESCE(correct_answer, '')")} AS own, flatten(list_transform(incorrect_answers, lambda x: {WORDS.format('x')})) AS shared FROM quiz),
+ f AS (SELECT *, list_filter(own, lambda w: NOT list_contains(shared, w)) AS mine FROM q)
+ SELECT id, len(mine) > 0 AND len(list_filter(mine, lambda w: NOT list_contains(said, w))) = 0 AS stem_leak, len(list_filter(options, lambda o: NOT {IS_NUM.format(x='o')})) = 0 AS number_words,
+ len(list_filter(options, lambda o: {K('o')} IN {NOISE_SQL})) > 0 AS meta_noise, COALESCE(len(string_split(correct_answer, ' ')) >= 4 AND len(correct_answer) >= 1.6 * list_max(list_transform(incorrect_answers, lambda x: len(x))), FALSE) AS len_outlier FROM f"""
+)
+def signal_flags_whole(spark, sf_dir):
+    return _flags(quiz.questions(spark, sf_dir, whole=True))
 
 
 @query()
 def signal_cascade(spark, sf_dir):
-    q = quiz.questions(spark, sf_dir).where("correct_answer is not null").withColumn("gloss", F.lit(None).cast("string"))
+    q = quiz.questions(spark, sf_dir, whole=True).where("correct_answer is not null").withColumn("gloss", F.lit(None).cast("string"))
     e = entities(spark, sf_dir).select("title", F.lit("character").alias("kind"), F.create_map(F.lit("origin"), F.array("origin")).alias("fields"))
     # titles of the bank attest options, so the answers' own documents count as pages
     flagged = signals.flags(signals.attested(q, signals.vocabulary(e, q)))
@@ -328,6 +355,11 @@ def content_hash(spark, sf_dir):
     return quiz.questions(spark, sf_dir).select("id", X.content_hash(F.col("question"), F.col("options")).alias("hash"))
 
 
+@query(f"WITH {quiz.WHOLE_SQL} SELECT id, substring(sha256('[' || to_json(question)::VARCHAR || ', [' || array_to_string(list_transform(list_sort(options), lambda o: to_json(o)::VARCHAR), ', ') || ']]'), 1, 16) AS hash FROM quiz")
+def content_hash_whole(spark, sf_dir):
+    return quiz.questions(spark, sf_dir, whole=True).select("id", X.content_hash(F.col("question"), F.col("options")).alias("hash"))
+
+
 @query("SELECT 'b' || CASE WHEN i // 20 < 10 THEN '0' ELSE '' END || (i // 20) AS batch, i % 20 + 1 AS n, conv_id, turn FROM (SELECT conv_id, turn, ROW_NUMBER() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations)")
 def batch_export(spark, sf_dir):
     return bank.batches(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"]).select("batch", "n", "conv_id", "turn")
@@ -352,6 +384,12 @@ def question_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.question_id(F.substring("text", 1, 40)).alias("qid"))
 
 
+@query()
+def question_id_whole(spark, sf_dir):
+    """Of whole texts; without SQL, tests hold it against a plain version."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.question_id(F.col("text")).alias("qid"))
+
+
 @query()
 def streaming_mastery(spark, sf_dir):
     """The events as a stream of files; the last row of each question equals mastery_state."""

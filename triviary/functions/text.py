@@ -119,9 +119,10 @@ def content_hash(question: Column, options: Column) -> Column:
 def question_id(c: Column) -> Column:
     """The xor form of djb2 over UTF-16 units, unsigned 32 bits in base 36."""
     hexed = F.hex(F.encode(c, "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 4).cast("int")), lambda i: F.conv(F.substr(hexed, ((i - 1) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("bigint"))
+    # one pass over the text: a substring at each place would read it from its start again
+    units = F.transform(F.regexp_extract_all(hexed, F.lit("[0-9A-F]{4}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("bigint"))
     step = lambda a, u: ((a * 33).bitwiseAND(F.lit(4294967295))).bitwiseXOR(u)
-    h = F.aggregate(F.when(hexed == "", F.array().cast("array<bigint>")).otherwise(units), F.lit(5381).cast("bigint"), step)
+    h = F.aggregate(units, F.lit(5381).cast("bigint"), step)
     return F.concat(F.lit("q_"), F.lower(F.conv(h.cast("string"), 10, 36)))
 
 
