@@ -95,3 +95,12 @@ def test_items_full_of_slots_and_short_items():
     assert {d: set(x) for d, x in items.found(others).items()} == {0: {1}, 1: {2}, 2: {3}, 3: {4}}
     clean = [b"What is 23 plus 9 minus 9 times 7?", b"What is 3 times 4?", b"Capital of Chile?", b"Sort 1 2 3 4 5 6 7 8 9 and 11", b"1 2 3 4 5 6 7 8 9 10 11 12", b"Who was the King of John Smith?", filler.encode()]
     assert items.found(clean) == {}
+
+
+def test_repeated_rows_are_judged_each_in_any_number_of_blocks(spark):
+    both = f"{ITEMS[0][1]} {ITEMS[1][1]}"
+    docs = spark.createDataFrame([(1, both), (1, both), (1, ITEMS[1][1]), (None, both), (None, ITEMS[0][1]), (2, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted([(1, [1, 2]), (1, [1, 2]), (1, [2]), (None, [1, 2]), (None, [1])], key=repr)
+    for block in (1, 1 << 20):
+        assert sorted(((r.doc_id, r.item_ids) for r in D.contaminated(docs, items, block=block).collect()), key=repr) == want

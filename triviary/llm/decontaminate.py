@@ -194,25 +194,21 @@ def blocks(items: DataFrame, item: str, text: str, window: int, block: int) -> I
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 8, block: int = 1 << 20) -> DataFrame:
     """The documents that hold an item: key, item_ids (sorted), n_words (the most words of an item that are covered)."""
     schema = T.StructType([docs.schema[key], T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType())])
-    parts = []
+    carried = T.StructType([docs.schema[key], docs.schema[text], *schema.fields[1:]])
+    out = docs.select(key, text, F.array().cast("array<long>").alias("item_ids"), F.lit(0).cast("long").alias("n_words"))
+    # every row takes what earlier blocks found with it, so rows are never grouped
     for own in blocks(items, item, item_text, window, block):
 
         def run(batches, own=own):
             for b in slices(batches, 1):
                 hit = own.found([(t or "").encode() for t in b.column(1).to_pylist()])
-                if hit:
-                    rows = sorted(hit)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([sorted(hit[r]) for r in rows], pa.list_(pa.int64())), pa.array([max(hit[r].values()) for r in rows], pa.int64())], names=[key, "item_ids", "n_words"])
-
-        parts.append(docs.select(key, text).mapInArrow(run, schema))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("n_words").alias("n_words"))
+                ids, most = b.column(2).to_pylist(), b.column(3).to_pylist()
+                for r, found in hit.items():
+                    ids[r], most[r] = sorted({*ids[r], *found}), max(most[r], *found.values())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(most, pa.int64())], names=carried.names)
+
+        out = out.mapInArrow(run, carried)
+    return out.where("n_words > 0").select(*schema.names)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 8, block: int = 1 << 20) -> DataFrame:
