@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from triviary.llm import neardup
 from triviary.llm.graph import components
@@ -128,3 +129,9 @@ def test_small_sets_against_brute_force(spark):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=width).collect()}
         assert got == brute(rows, width)
         assert got[1] == (5, 0, False) and got[2] == (3, 2, True) and got[3] == (4, 0, False)
+
+
+def test_unsettled_components_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError, match="settled"):
+        components(edges, most=1)

@@ -25,7 +25,10 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(u, v) -> (node, least): the least node of each node's component, for all nodes but the least ones themselves."""
+    """(u, v) -> (node, least): the least node of each node's component, for all nodes but the least ones themselves.
+
+    Rounds grow with the logarithm of the size; labels that haven't settled after `most` rounds are an error.
+    """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     said = None
     for _ in range(most):
@@ -34,4 +37,6 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         if tuple(now) == said:
             break
         said = tuple(now)
+    else:
+        raise RuntimeError(f"components haven't settled after {most} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
