@@ -54,3 +54,10 @@ def test_held_out_accuracy(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     got = langid.identify(docs.where(held), langid.learn(docs, ~held)).select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert got > 0.98
+
+
+def test_part_of_a_text_that_is_learned_from(spark):
+    t = "ab " * 3000
+    df = spark.createDataFrame([(1, t, "x")], "doc_id long, text string, lang string")
+    size = lambda **kw: len(langid.learn(df, F.lit(True), **kw)[0][1])
+    assert (size(), size(part=300), size(part=9000), size(part=9000, sample=1000)) == (5000, 299, 8999, 1000)

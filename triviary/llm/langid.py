@@ -7,7 +7,8 @@ and a text's phrases are those of all its blocks, so whole texts are used and lo
 
 Symbols are UTF-8 bytes of the lowered text; ASCII characters other than letters count as spaces, and runs of spaces as one.
 
-The sample per language: the `rows` labelled texts of least hash of their key, up to `sample` bytes together. A text that is null or has
+The sample per language: the first `part` characters (5,000 by default) of each of the `rows` labelled texts of least hash of their key, up to
+`sample` bytes together; only the sample is bounded, predictions use whole texts. A text that is null or has
 no letter gets `und` and score 0. Ties go to the language of smaller name. With no labelled text every text is `und`. The score is
 1 - (phrases of the best / phrases of the second), or 1 if one language is known.
 """
@@ -142,8 +143,11 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(samples)
 
 
-def learn(df: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, sample: int = 40_000) -> tuple[tuple[str, bytes], ...]:
-    """The languages' samples: at most `rows` texts and `sample` bytes of each, chosen by hash among the rows that `use` allows."""
+def learn(df: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, sample: int = 40_000, part: int | None = None) -> tuple[tuple[str, bytes], ...]:
+    """The languages' samples: at most `rows` texts and `sample` bytes of each, chosen by hash among the rows that `use` allows.
+
+    Of each text the first `part` characters are learned from, an eighth of `sample` if not given, so that no long text fills a sample alone.
+    """
     known = df.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull())
     w = Window.partitionBy("lang").orderBy("h", "bytes")
     # only the hash and the length are ranked; texts are fetched for the chosen hashes
@@ -151,7 +155,7 @@ def learn(df: DataFrame, use: Column, key: str = "doc_id", text: str = "text", l
     chosen = {r["h"]: r["r"] for r in ranked.select("h", "r").collect()}
     if not chosen:
         return ()
-    part = max(1, sample // 8)
+    part = max(1, sample // 8) if part is None else part
     h = F.xxhash64(F.col(key), F.col(text))
     got = known.where(h.isin(list(chosen))).select(h.alias("h"), F.col(lang).alias("lang"), F.substring(text, 1, part).alias("t")).dropDuplicates(["h"]).collect()
     texts: dict[str, list[tuple[int, bytes]]] = {}
