@@ -32,7 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes and more that occur again; every document stays, with what is left of its text."""
+    """Cuts strings of 400 bytes and more that occur again; every document stays, with what is left of its text.
+
+    Repeated passages of under 400 bytes stay, also of over 50 words if these are short.
+    """
     return substrings.removed(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
