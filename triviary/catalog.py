@@ -12,25 +12,14 @@ from .functions import text as X
 from .operators import bank, items, markup, play, ratings, signals, views
 from .operators.views import answers, entities, table, with_views
 from .plans import quiz
+from .registry import ORACLES, QUERIES, query
 from .sources.tables import shared_dir
 from .streaming import mastery
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 SEED = "triviary|"
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 STATS = "stats AS (SELECT profile, category, SUM(point)::BIGINT AS correct, COUNT(*) AS total, CAST(FLOOR(SUM(point) * 100.0 / COUNT(*) + 0.5) AS BIGINT) AS accuracy FROM answers WHERE category <> '' GROUP BY profile, category)"
 STATE = """runs AS (SELECT *, SUM(1 - point) OVER (PARTITION BY profile, qid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM answers),
 streaks AS (SELECT *, SUM(point) OVER (PARTITION BY profile, qid, island ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS streak FROM runs),
@@ -247,7 +236,7 @@ SAGA_SQL = "CASE " + " ".join(f"WHEN chapter <= {b} THEN {i}" for i, b in enumer
 @query(with_views("entities", body=f"SELECT title, prominence::INT AS prominence, {LEVEL.format(d=0)} AS headline, {LEVEL.format(d=1)} AS deep, {SAGA_SQL} AS saga_order FROM (SELECT *, ord % 1200 AS chapter FROM entities)"))
 def prominence_difficulty(spark, sf_dir):
     p = F.col("prominence")
-    return entities(spark, sf_dir).select("title", p, scores.difficulty(p, F.lit(0)).alias("headline"), scores.difficulty(p, F.lit(1)).alias("deep"), scores.saga_of_first(F.concat(F.lit("Chapter "), F.col("ord") % 1200)).alias("saga_order"))
+    return entities(spark, sf_dir).select("title", p, scores.difficulty(p, F.lit(0)).alias("headline"), scores.difficulty(p, F.lit(1)).alias("deep"), scores.saga_of_first(F.array(F.concat(F.lit("Chapter "), F.col("ord") % 1200))).alias("saga_order"))
 
 
 def _asked(e):
@@ -390,7 +379,7 @@ def question_id_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.question_id(F.col("text")).alias("qid"))
 
 
-@query()
+@query(with_views("answers", body=f", {STATE} SELECT * FROM state"))
 def streaming_mastery(spark, sf_dir):
     """The events as a stream of files; the last row of each question equals mastery_state."""
     from uuid import uuid4
@@ -401,7 +390,7 @@ def streaming_mastery(spark, sf_dir):
     mastery.run_to_table(mastery.progress(views.answers_of(raw)), f"{out}/rows", f"{out}/checkpoint")
     rows = spark.read.parquet(f"{out}/rows")
     last = rows.groupBy("profile", "qid").agg(F.max_by(F.struct("seen", "correct", "wrong", "streak", "mastered", "times_mastered", "last_seen"), "batch").alias("x"))
-    return last.select("profile", "qid", "x.*")
+    return last.select("profile", "qid", "x.*").withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
 @query()
@@ -422,6 +411,9 @@ def coverage_report(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n"), known.alias("covered"), F.round(100 * known / F.count("*"), 1).alias("share"))
 
 
+from . import reports  # noqa: E402, F401  its queries are registered too
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -15,11 +15,13 @@ REMARKS = [
     (None, 60, "Learning is a journey. Keep going, and you'll get there."),
 ]
 SAGAS = [100, 217, 302, 441, 489, 597, 653, 801, 902, 1057]
+SAGA_NAMES = ["East Blue", "Alabasta", "Sky Island", "Water 7", "Thriller Bark", "Summit War", "Fish-Man Island", "Dressrosa", "Whole Cake Island", "Wano Country", "Final Saga"]
 EASY, MEDIUM = 33, 66
 PENALTIES = {"stem_leak": 30, "cross_domain": 25, "numeric_ladder": 25, "lone_canon_option": 20, "meta_noise_option": 20, "weak_distractors": 15, "answer_len_outlier": 10}
 PRIOR = {"easy": 20, "medium": 50, "hard": 80}
 MASTERED = 2
-COLORS = 8
+COLORS = ["#e03997", "#2185d0", "#21ba45", "#f2711c", "#6435c9", "#00b5ad", "#db2828", "#fbbd08"]
+EVENT_SECONDS = 300
 
 
 def half_up(c: Column) -> Column:
@@ -59,12 +61,9 @@ def letter(i: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    out, size = None, 1.0
-    for unit in ("B", "KB", "MB", "GB"):
-        shown = F.format_string(f"%.1f {unit}", n / size)
-        out = F.when(n < size * 1024, shown) if out is None else out.when(n < size * 1024, shown)
-        size *= 1024
-    return out.otherwise(F.format_string("%.1f TB", n / size))
+    """A number of bytes with one decimal, in gigabytes at most."""
+    shown = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n / float(1024**power), 1))
+    return F.when(n < 1024, shown(0, "B")).when(n < 1024**2, shown(1, "KB")).when(n < 1024**3, shown(2, "MB")).otherwise(shown(3, "GB"))
 
 
 def saga_order(chapter: Column) -> Column:
@@ -75,7 +74,13 @@ def saga_order(chapter: Column) -> Column:
 
 
 def saga_of_first(first: Column) -> Column:
-    return saga_order(F.regexp_extract(first, r"(?i)chapter\s*([0-9]+)", 1).try_cast("int"))
+    """The saga of the first of the debuts (an array) that names a chapter."""
+    chapters = F.filter(F.transform(first, lambda v: F.regexp_extract(v, r"Chapter\s+([0-9]+)", 1)), lambda n: n != "")
+    return saga_order(F.get(chapters, 0).try_cast("int"))
+
+
+def saga_name(order: Column) -> Column:
+    return F.try_element_at(F.array(*map(F.lit, SAGA_NAMES)), order)
 
 
 def prominence(must_know: Column, length: Column) -> Column:
@@ -117,3 +122,19 @@ def mix(total: Column, correct: Column) -> Column:
 def profile_name(c: Column) -> Column:
     t = F.trim(F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, 24))
     return F.when(t == "", "Player").otherwise(t)
+
+
+def profile_color(place: Column) -> Column:
+    """Colours in turn; place counts from 0."""
+    return F.element_at(F.array(*map(F.lit, COLORS)), (F.pmod(place, F.lit(len(COLORS))) + 1).cast("int"))
+
+
+def quiz_seconds(event: Column, chosen: Column) -> Column:
+    """The clock of a quiz: an event without one gets the usual five minutes."""
+    return F.when(event & (F.coalesce(chosen, F.lit(0)) == 0), EVENT_SECONDS).otherwise(F.coalesce(chosen, F.lit(0)))
+
+
+def dump_url(host: str, wiki: Column) -> Column:
+    """Where a wiki's dump lies: folders of its first letter and its first two."""
+    w = F.lower(wiki)
+    return F.concat_ws("/", F.lit(host), F.substring(w, 1, 1), F.substring(w, 1, 2), F.concat(w, F.lit("_pages_current.xml.7z")))

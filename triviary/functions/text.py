@@ -10,6 +10,13 @@ STOPWORDS = "the and for with from that this what which who was were his her the
 META_NOISE = "bandai toei toeianimation 4kids funimation shueisha viz vizmedia namco bandainamco crunchyroll netflix space outerspace n/a na unknown none various other".split()
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty hundred".split()
 ARTICLES = "a an the of no and".split()
+# Names that everyone is expected to know; those of one word match a word of a title, the others a part of it.
+MUST_KNOW_SINGLE = "luffy zoro nami usopp sanji chopper robin franky brook jinbe jimbei shanks buggy kaido kaidou linlin teach newgate roger rayleigh garp sengoku kuzan aokiji borsalino kizaru sakazuki akainu mihawk doflamingo crocodile ace sabo dragon hancock kuma moria oden yamato vivi koby smoker enel arlong katakuri marco vegapunk carrot momonosuke perona bartolomeo bellamy roronoa".split()
+MUST_KNOW_MULTI = ["big mom", "boa hancock", "trafalgar", "eustass kid", "bon clay", "jewelry bonney", "gecko moria", "portgas d", "monkey d"]
+# Markup as it stands in infobox values, with what it becomes.
+FILE_LINK = r"(?i)\[\[(?:File|Image|Category|Media):[^\[\]]*\]\]"
+MARKUP = [(r"(?s)<!--.*?-->", ""), (r"(?i)<\s*br\s*/?\s*>", "\n"), (FILE_LINK, ""), (r"\[\[(?:[^|\]]*\|)?([^\[\]]+)\]\]", "$1"), (r"\[\[(?:[^|\]]*\|)?([^\[\]]+)\]\]", "$1"), (r"\[(?:https?:)?//[^\s\]]+\s+([^\]]+)\]", "$1"), (r"<[^>]+>", ""), (r"\{\{[^{}]*\}\}", "")]
+QUOTES = [("'''", ""), ("''", ""), ("&nbsp;", " "), ("[[", ""), ("]]", "")]
 
 
 def literals(words: list[str]) -> Column:
@@ -90,16 +97,17 @@ def current_residence(values: Column) -> Column:
 
 
 def lead(fact: Column, summary: Column) -> Column:
-    """A sentence of fact and the summary, each ended by punctuation."""
-    ended = lambda c: F.when(c.rlike("[.!?]$"), c).otherwise(F.concat(c, F.lit(".")))
-    return F.concat_ws(" ", ended(fact), F.when(F.length(F.trim(summary)) > 0, ended(F.trim(summary))))
+    """A sentence of fact, ended by punctuation, and the summary."""
+    said = F.trim(fact)
+    ended = F.when(said.rlike("[.!?]$"), said).otherwise(F.concat(said, F.lit(".")))
+    return F.concat_ws(" ", ended, F.when(F.length(F.trim(summary)) > 0, F.trim(summary)))
 
 
 def is_kingdom(c: Column) -> Column:
     return c.rlike(r"\bKingdom\b")
 
 
-def must_know(title: Column, multi: list[str], single: list[str]) -> Column:
+def must_know(title: Column, multi: list[str] = MUST_KNOW_MULTI, single: list[str] = MUST_KNOW_SINGLE) -> Column:
     t = F.lower(title)
     several = F.exists(literals(multi), lambda k: F.contains(t, k)) if multi else F.lit(False)
     one = F.arrays_overlap(F.regexp_extract_all(t, F.lit("[a-z]+"), 0), literals(single)) if single else F.lit(False)
@@ -189,15 +197,10 @@ def cross_domain(kinds: Column, others: Column) -> Column:
 
 def clean_field(c: Column) -> Column:
     """Infobox markup as plain lines: array<string>, null if nothing is left. Templates are rendered before (see markup.render)."""
-    t = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<\s*br\s*/?\s*>", "\n")
-    t = F.regexp_replace(t, r"(?i)\[\[(?:File|Image|Category|Media):[^\[\]]*\]\]", "")
-    for _ in range(2):
-        t = F.regexp_replace(t, r"\[\[(?:[^|\]]*\|)?([^\[\]]+)\]\]", "$1")
-    t = F.regexp_replace(t, r"\[(?:https?:)?//[^\s\]]+\s+([^\]]+)\]", "$1")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    t = F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")
-    for old, new in (("'''", ""), ("''", ""), ("&nbsp;", " "), ("[[", ""), ("]]", "")):
+    t = c
+    for pattern, new in MARKUP:
+        t = F.regexp_replace(t, pattern, new)
+    for old, new in QUOTES:
         t = F.replace(t, F.lit(old), F.lit(new))
     line = lambda s: F.trim(F.btrim(F.regexp_replace(F.trim(F.regexp_replace(s, "[ \t ]+", " ")), r"^-{2,}\s*", ""), F.lit(";,")))
     lines = F.filter(F.transform(F.split(t, "\n"), line), lambda s: s != "")

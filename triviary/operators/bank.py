@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +18,12 @@ DIFFICULTIES = ["easy", "medium", "hard"]
 
 
 def first_wins(rows: DataFrame, key: Column, order: list) -> DataFrame:
-    """The first row of each key in the given order; all empty keys are one."""
+    """The first row of each key in the given order; all empty keys are one.
+
+    Rows travel under the key's 128-bit hash, as keys may be as long as texts.
+    """
     w = Window.partitionBy("_key").orderBy(*order)
-    return rows.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
+    return rows.withColumn("_key", F.md5(F.coalesce(key, F.lit("")))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
 def fault(q: DataFrame, url: str = r"^https://[a-z0-9.-]+/wiki/\S+$", categories: list[str] = CATEGORIES) -> Column:
@@ -24,8 +31,9 @@ def fault(q: DataFrame, url: str = r"^https://[a-z0-9.-]+/wiki/\S+$", categories
     has = lambda c: F.col(c).isNotNull()
     missing = F.filter(F.array(*[F.when(~has(c), F.lit(c)) for c in REQUIRED]), lambda c: c.isNotNull())
     o, right, wrong = F.col("options"), F.col("correct_answer"), F.col("incorrect_answers")
-    keys = F.transform(o, X.norm_key)
-    near = F.exists(F.sequence(F.lit(0), F.lit(2)), lambda i: F.exists(F.sequence(i + 1, F.lit(3)), lambda j: X.near_dupe(F.get(keys, i), F.get(keys, j))))
+    # the keys are bound once for all six pairs; four options are certain where this rule is reached
+    pairs = lambda k: reduce(or_, [X.near_dupe(F.get(k, i), F.get(k, j)) for i, j in combinations(range(4), 2)])
+    near = F.get(F.transform(F.array(F.transform(o, X.norm_key)), pairs), 0)
     each = F.filter(F.transform(o, lambda x: F.when(X.norm_key(x).isin(X.META_NOISE), F.concat(F.lit("noise option: "), x)).when(F.contains(x, F.lit(", ")) & ~F.contains(x, F.lit(", Model:")), F.concat(F.lit("comma in option: "), x))), lambda e: e.isNotNull())
     blank = lambda c: F.trim(c) == ""
     rules = [
@@ -109,6 +117,33 @@ def batches(rows: DataFrame, order: list, size: int = 20) -> DataFrame:
     return joined.withColumn("batch", F.concat(F.lit("b"), F.when(number < 10, F.concat(F.lit("0"), number.cast("string"))).otherwise(number.cast("string")))).withColumn("n", F.col("_n") % size + 1).drop("_p", "_i", "_before", "_n")
 
 
+def combined(sources: list[DataFrame], key: Column, order: str) -> DataFrame:
+    """The rows of all sources, of each key the one of the first source that has it, in that source's order: curated questions come before generated ones."""
+    out = None
+    for rank, rows in enumerate(sources):
+        rows = rows.withColumn("_src", F.lit(rank))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return first_wins(out, key, ["_src", order]).drop("_src")
+
+
+def manifest(batched: DataFrame, raters: list[str]) -> DataFrame:
+    """(batch, items, raters): what each exported batch holds, so verdicts can be brought back to their questions."""
+    listed = F.array_sort(F.collect_list(F.struct("n", "hash", "key")))
+    return batched.groupBy("batch").agg(listed.alias("items")).withColumn("raters", F.array(*map(F.lit, raters)))
+
+
+def unasked(rows: DataFrame, cache: DataFrame, title: str, limit: int | None = None) -> DataFrame:
+    """The distinct titles that a cache (title, url) doesn't hold, not even as one without an image, by name; the first `limit` of them."""
+    t = rows.select(F.col(title).alias("title")).where("title is not null and title <> ''").distinct()
+    left = t.join(cache.select("title"), "title", "left_anti").orderBy("title")
+    return left if limit is None else left.limit(limit)
+
+
+def counted(rows: DataFrame, by: str) -> DataFrame:
+    """Rows by value, most first."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
+
+
 def rendered(n: Column, question: Column, options: Column) -> Column:
     """A numbered question with lettered options, as raters read it."""
     lines = F.transform(options, lambda o, i: F.concat(F.lit("   "), F.element_at(F.array(*map(F.lit, "ABCDEFGH")), i + 1), F.lit(") "), o))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import written
 
 # How often a value, an entity and a template may be asked for.
 ENTITY_CAPS = {2: 10, 1: 5, 0: 2}
@@ -32,9 +34,12 @@ def candidates(questions: DataFrame, pools: DataFrame, seed: str, saga_bound: bo
     """Questions (id, pool, answer, leak_ref, tier, saga) with the pool values that may stand beside the answer.
 
     An equi-join on the pool with the near-duplicate test as residual; rank_key orders a question's candidates: leaked tokens covered, tier gap, saga gap, hash.
+    A pool has as many questions as there are entities, so questions are dealt to several tasks and the pools, one row per distinct value, are copied to each.
     """
-    q, p = questions, pools.select("pool", F.col("v").alias("v"), "norm_v", F.col("tier").alias("p_tier"), F.col("saga").alias("p_saga"))
-    j = q.join(p, "pool").where(~X.near_dupe(X.norm_key(F.col("answer")), F.col("norm_v")))
+    n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = questions.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    p = pools.select("pool", F.col("v").alias("v"), "norm_v", F.col("tier").alias("p_tier"), F.col("saga").alias("p_saga"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_deal"))
+    j = q.join(p, ["pool", "_deal"]).drop("_deal").where(~X.near_dupe(X.norm_key(F.col("answer")), F.col("norm_v")))
     if saga_bound:
         j = j.where(F.col("p_saga").isNull() | F.col("saga").isNull() | (F.col("p_saga") <= F.col("saga")))
     leak = X.leaked(F.col("leak_ref"), F.col("answer"))
@@ -51,19 +56,23 @@ def distractors(cands: DataFrame, n: int = 3, prefix: int = 64) -> DataFrame:
     A question's first `prefix` candidates come first; only questions that they leave short get all of theirs.
     """
     w = Window.partitionBy("id").orderBy("rank_key")
-    some = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= prefix)
-    first = _greedy(some, n)
-    all_ = cands.groupBy("id").agg(F.count("*").alias("_c"))
-    short = first.where(F.size("distractors") < n).join(all_.where(F.col("_c") > prefix), "id", "left_semi").select("id")
-    rest = _greedy(cands.join(short, "id", "left_semi"), n)
-    return first.join(short, "id", "left_anti").unionByName(rest)
+    some = cands.select("id", "rank_key", "v", F.row_number().over(w).alias("_r")).where(F.col("_r") <= prefix + 1)
+    first = written(_greedy(some, n, prefix), "distractors")
+    short = first.where((F.size("distractors") < n) & F.col("more")).select("id")
+    done = first.select("id", "distractors")
+    if short.isEmpty():
+        return done
+    return done.join(short, "id", "left_anti").unionByName(_greedy(cands.join(short, "id", "left_semi"), n).select("id", "distractors"))
 
 
-def _greedy(cands: DataFrame, n: int) -> DataFrame:
+def _greedy(cands: DataFrame, n: int, prefix: int | None = None) -> DataFrame:
+    """(id, distractors, more): more: whether there are candidates beyond the first `prefix`."""
     ranked = F.array_sort(F.collect_list(F.struct("rank_key", "v")))
     start = F.array().cast("array<string>")
     add = lambda a, c: F.when((F.size(a) < n) & ~F.exists(a, lambda x: X.near_dupe(X.norm_key(x), X.norm_key(c["v"]))), F.array_append(a, c["v"])).otherwise(a)
-    return cands.groupBy("id").agg(ranked.alias("_c")).select("id", F.aggregate("_c", start, add).alias("distractors"))
+    some = F.slice("_c", 1, prefix) if prefix else F.col("_c")
+    more = F.size("_c") > prefix if prefix else F.lit(False)
+    return cands.groupBy("id").agg(ranked.alias("_c")).select("id", F.aggregate(some, start, add).alias("distractors"), more.alias("more"))
 
 
 def unleaked(answer: Column, leak_ref: Column, distractors: Column) -> Column:
@@ -80,44 +89,54 @@ def shuffled(options: Column, seed: Column) -> Column:
 
 @dataclass(frozen=True)
 class Template:
-    """A question shape: text with {subject}, the answer's column, its pool, category and depth."""
+    """A question shape: text and statement with {subject} (or {answer}), the answer's column, its pool, category and depth."""
 
     name: str
     category: str
     text: str
-    subject: str
+    fact: str
     answer: str
     pool: str
+    subject: str = "title"
     depth: int = 0
     guard: str = "true"
     saga_bound: bool = False
     cap: int = ANSWER_CAP
-    #: The column of the entity that the question names, if not the subject's.
-    leak: str | None = None
+    #: Columns with values that can't stand beside the answer, and whether members of the subject can't.
+    own: str | None = None
+    members: bool = False
 
 
-#: The reference shapes over facts with the columns of plans.bank.prepared().
+KNOWN = "prominence >= 1"
+# The question shapes, over facts with the columns of plans.bank.prepared(), and their categories.
+DF, CREWS, BOUNTIES, CHARS, PLACES, ARCS = "Devil Fruits", "Crews & Organizations", "Bounties", "Characters", "Geography", "Arcs & Story"
 TEMPLATES = {
     "character": [
-        Template("char_df", "Devil Fruits", "Which Devil Fruit did {subject} eat?", "title", "df_name", "df_name"),
-        Template("char_affiliation", "Crews & Organizations", "Which crew or organization is {subject} affiliated with?", "title", "affiliation", "affiliation"),
-        Template("char_bounty", "Bounties", "What is {subject}'s bounty?", "title", "bounty", "bounty"),
-        Template("char_occupation", "Characters", "What is {subject}'s occupation?", "title", "occupation", "occupation"),
-        Template("char_origin", "Characters", "Where is {subject} from?", "title", "origin", "origin", 1),
-        Template("char_residence", "Geography", "Where does {subject} reside?", "title", "residence", "residence", 1),
-        Template("crew_member", "Crews & Organizations", "Which of these is affiliated with {subject}?", "affiliation", "title", "name", 1, "affiliation is not null and prominence >= 1", True, ANSWER_CAP, "affiliation"),
-        Template("bounty_reverse", "Bounties", "Who has a bounty of {subject}?", "bounty", "title", "bounty_holder", 1, "bounty is not null and prominence >= 1", True, ANSWER_CAP, "bounty"),
-        Template("char_saga", "Arcs & Story", "In which saga does {subject} first appear?", "title", "saga_name", "saga", 1, "saga is not null and prominence >= 1", False, SAGA_ANSWER_CAP),
+        Template("char_df", DF, "Which Devil Fruit did {subject} eat?", "{subject}'s Devil Fruit is the {answer}", "df_name", "df_name"),
+        Template("char_affiliation", CREWS, "Which crew or organization is {subject} affiliated with?", "{subject} is affiliated with the {answer}", "affiliation", "affiliation"),
+        Template("char_bounty", BOUNTIES, "What is {subject}'s known bounty?", "{subject}'s known bounty is {answer}", "bounty", "bounty"),
+        Template("char_occupation", CHARS, "What is {subject}'s occupation?", "{subject}'s occupation is {answer}", "occupation", "occupation", guard="occupation_n >= 2"),
+        Template("char_origin", CHARS, "Where does {subject} originate from?", "{subject} originates from {answer}", "origin", "origin", depth=1, guard="origin_n >= 2"),
+        Template("char_residence", PLACES, "Where does {subject} reside?", "{subject} resides in {answer}", "residence", "residence", depth=1, own="homes"),
+        Template("crew_member", CREWS, "Which of these characters is a member of the {subject}?", "{answer} is a member of the {subject}", "title", "name", "affiliation", 1, KNOWN, True, members=True),
+        Template("bounty_reverse", BOUNTIES, "Which character has a known bounty of {subject}?", "{answer} has a known bounty of {subject}", "title", "bounty_holder", "bounty", 1, KNOWN, True),
+        Template("char_saga", ARCS, "In which saga does {subject} first appear?", "{subject} first appears in the {answer} Saga", "saga_name", "saga", depth=1, guard=KNOWN, cap=SAGA_ANSWER_CAP),
     ],
-    "devil_fruit": [Template("fruit_user", "Devil Fruits", "Who ate {subject}?", "title", "user", "fruit_user")],
+    "devil_fruit": [Template("fruit_user", DF, "Who is the user of the {subject}?", "The {subject} is eaten by {answer}", "user", "fruit_user", "fruit_name")],
     "location": [
-        Template("loc_region", "Geography", "In which region is {subject}?", "title", "region", "region", 1),
-        Template("loc_kingdom", "Geography", "Which kingdom does {subject} belong to?", "title", "kingdom", "kingdom", 1),
-        Template("loc_saga", "Arcs & Story", "In which saga is {subject} first visited?", "title", "saga_name", "saga", 1, "saga is not null and prominence >= 1", False, SAGA_ANSWER_CAP),
+        Template("loc_region", PLACES, "In which region of the world is {subject} located?", "{subject} is located in {answer}", "region", "region", depth=1, guard="region_n >= 2"),
+        Template("loc_kingdom", PLACES, "Which kingdom does {subject} belong to?", "{subject} belongs to the {answer}", "kingdom", "kingdom", depth=1),
+        Template("loc_saga", ARCS, "In which saga does {subject} first appear?", "{subject} first appears in the {answer} Saga", "saga_name", "saga", depth=1, guard=KNOWN, cap=SAGA_ANSWER_CAP),
     ],
 }
 
 
+def filled(shape: str, subject: Column, answer: Column) -> Column:
+    """The shape with its places filled."""
+    parts = [subject if x == "{subject}" else answer if x == "{answer}" else F.lit(x) for x in re.split(r"(\{\w+\})", shape) if x]
+    return F.concat(*parts)
+
+
 def capped(rows: DataFrame, keys: dict[str, str], order: str) -> DataFrame:
     """The rows that a pass in `order` accepts: each accepted row uses up one of each of its keys, whose caps are columns.
 
@@ -126,19 +145,17 @@ def capped(rows: DataFrame, keys: dict[str, str], order: str) -> DataFrame:
     does. Every round settles at least the first unknown row. Caps bound how many rows of a key can be accepted, so rounds are few; each is
     written to the shared folder.
     """
-    from ..sources.tables import written
-
     state = written(rows.withColumn("_s", F.lit("U")), "caps")
     while not state.where("_s = 'U'").isEmpty():
         reject, accept = F.lit(False), F.lit(True)
         for key, cap in keys.items():
             w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
             low = F.coalesce(F.sum(F.when(F.col("_s") == "A", 1).otherwise(0)).over(w), F.lit(0))
-            high = F.coalesce(F.sum(F.when(F.col("_s") != "R", 1).otherwise(0)).over(w), F.lit(0))
-            state = state.withColumn(f"_l_{key}", low).withColumn(f"_h_{key}", high)
+            state = state.withColumn(f"_l_{key}", low).withColumn(f"_h_{key}", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
             reject, accept = reject | (F.col(f"_l_{key}") >= F.col(cap)), accept & (F.col(f"_h_{key}") < F.col(cap))
         state = state.withColumn("_s", F.when(F.col("_s") != "U", F.col("_s")).when(reject, "R").when(accept, "A").otherwise("U"))
-        state = written(state.drop(*[f"_{x}_{key}" for x in "lh" for key in keys]), "caps")
+        # rejected rows count for nothing, so later rounds don't carry them
+        state = written(state.where("_s <> 'R'").drop(*[f"_{x}_{key}" for x in "lh" for key in keys]), "caps")
     return state.where("_s = 'A'").drop("_s")
 
 

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-# Infobox templates by kind, templates without text, those of their first and of their last value, layout parameters.
-KINDS = {"char box": "character", "chapter box": "chapter", "episode box": "episode", "island box": "location", "devil fruit box": "devil_fruit"}
-CITATIONS = frozenset("qref ref cite cite web cite book sbs refn efn note".split()) | {"cite web", "cite book"}
+# Infobox templates by kind, templates without text, those of their first and of their last value, layout parameters,
+# templates above the lead, words on which no sentence ends.
+KINDS = {"char box": "character", "devil fruit box": "devil_fruit", "island box": "location", "chapter box": "chapter", "episode box": "episode"}
+CITATIONS = frozenset(["qref", "qref/ext", "web ref", "webref", "refn", "ref", "sbs ref"])
 FIRST, LAST = frozenset(["nihongo", "nihongo foot", "ruby", "lang"]), frozenset(["w", "sort", "wp", "wikipedia"])
-SKIPPED = frozenset("image imgsize size width height caption colorscheme color bgcolor textcolor border style class align float name2 tab".split())
+SKIPPED = frozenset(["root", "colorscheme", "color scheme", "image", "imagename", "imagesize", "backcolor", "textcolor", "dfbackcolor", "dftextcolor", "border", "caption", "name", "title", "tab", "tabs"])
+HATNOTES = frozenset(["you may", "for", "about", "main", "distinguish", "redirect", "see also", "seealso", "otheruses", "merge", "note", "spoiler", "expand", "cleanup"])
+CONNECTIVES = "a an the of to in on for with and as by from into being is was were are known called named serving designated nicknamed".split()
+WINDOW, LONGEST, BLOCK_LENGTH = 12000, 240, 120
 LEAF = re.compile(r"\{\{((?:(?!\{\{|\}\}).)*)\}\}", re.DOTALL)
 PASSES = 12
 
@@ -70,61 +74,124 @@ def templates(text: str):
     return [body for _, body in sorted(found)]
 
 
+def outermost(text: str):
+    """(start, end) of the templates that lie in no other."""
+    depth, at = 0, 0
+    for m in re.finditer(r"\{\{|\}\}", text):
+        if m[0] == "{{":
+            if not depth:
+                at = m.start()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                yield at, m.end()
+
+
+def is_block(template: str) -> bool:
+    """Whether a template stands above the prose (an infobox, a quote, a cross-reference) and not inside a sentence."""
+    return parts(template[2:-2])[0] in HATNOTES or "\n" in template or len(template) > BLOCK_LENGTH
+
+
+def prose(text: str) -> str | None:
+    """The paragraphs at the top of an article that may be its lead, templates rendered; None without a bold name."""
+    top = text[:WINDOW]
+    if "'''" not in top:
+        return None
+    top = re.sub(r"(?s)<!--.*?-->", "", top)
+    out, at = [], 0
+    for start, end in outermost(top):
+        if is_block(top[start:end]):
+            out.append(top[at:start])
+            at = end
+    top = "".join([*out, top[at:]])
+    top = re.sub(r"(?m)^=+.*?=+\s*$", "", re.sub(X.FILE_LINK, "", top))
+    letters = lambda s: len(re.sub(r"[^A-Za-z]", "", s))
+    return "\n\n".join(render(p) for p in map(str.strip, re.split(r"\n\s*\n", top)) if p[:1] not in (":", ";") and letters(p) >= 20)
+
+
+def ordered(pages: DataFrame) -> DataFrame:
+    """pages with ord, their order, if it isn't there."""
+    return pages if "ord" in pages.columns else pages.withColumn("ord", F.monotonically_increasing_id())
+
+
 def infoboxes(pages: DataFrame, kinds: dict[str, str] = KINDS) -> DataFrame:
-    """(title, ns, kind, root, tabbed, raw, article_len) of every infobox; raw: map of its parameters, templates rendered.
+    """(title, ns, kind, root, tabbed, raw, ord) of every infobox in page order; raw: map of its parameters, templates rendered; pages: (title, ns, text, ord).
 
     The cheap test on namespace and text comes first, below the Python stage.
     """
-    some = pages.where(F.col("ns").isin("0", "10") & F.contains("text", F.lit("Box"))).select("title", "ns", "text")
+    some = ordered(pages).where(F.col("ns").isin("0", "10") & F.contains("text", F.lit("Box"))).select("title", "ns", "text", "ord")
+    schema = pa.schema([("title", pa.string()), ("ns", pa.string()), ("kind", pa.string()), ("root", pa.string()), ("tabbed", pa.bool_()), ("raw", pa.map_(pa.string(), pa.string())), ("ord", pa.int64())])
 
     def run(batches):
         for b in batches:
             rows = []
-            for title, ns, text in zip(*(c.to_pylist() for c in b.columns)):
-                boxes = [(parts(t)) for t in templates(text)]
-                for name, _, named in boxes:
+            for title, ns, text, at in zip(*(c.to_pylist() for c in b.columns)):
+                for i, t in enumerate(templates(text)):
+                    name, _, named = parts(t)
                     if name in kinds:
+                        root = named.get("root")
                         raw = {k: render(v) for k, v in named.items() if k not in SKIPPED}
-                        rows.append({"title": title, "ns": ns, "kind": kinds[name], "root": named.get("rootpage"), "tabbed": "tab" in named, "raw": list(raw.items()), "article_len": len(text)})
+                        rows.append({"title": title, "ns": ns, "kind": kinds[name], "root": root if root is None or "{{{" in root else render(root), "tabbed": root is not None, "raw": list(raw.items()), "ord": at * BOXES + min(i, BOXES - 1)})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("title", pa.string()), ("ns", pa.string()), ("kind", pa.string()), ("root", pa.string()), ("tabbed", pa.bool_()), ("raw", pa.map_(pa.string(), pa.string())), ("article_len", pa.int64())]))
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return some.mapInArrow(run, "title string, ns string, kind string, root string, tabbed boolean, raw map<string, string>, article_len long")
+    return some.mapInArrow(run, "title string, ns string, kind string, root string, tabbed boolean, raw map<string, string>, ord long")
 
 
-def facts(boxes: DataFrame, base: str) -> DataFrame:
-    """Entities: one per (title, kind), the one with the most fields; of equals the first in `article_len` order."""
-    fields = F.map_filter(F.transform_values("raw", lambda _, v: X.clean_field(v)), lambda _, v: v.isNotNull())
-    title = F.coalesce(F.nullif(F.trim("root"), F.lit("")), F.when(F.col("ns") == "0", F.col("title")))
-    rows = boxes.withColumn("title", title).withColumn("fields", fields).where("title is not null and title <> ''").where(~F.contains("title", F.lit("{{{")) & (F.size("fields") > 0))
-    one = rows.groupBy("title", "kind").agg(F.max_by(F.struct("tabbed", "fields", "article_len"), F.struct(F.size("fields"), F.col("article_len"))).alias("x"))
-    return one.select("title", "kind", X.source_url(F.col("title"), base).alias("source"), "x.tabbed", "x.fields", "x.article_len")
+def articles(pages: DataFrame) -> DataFrame:
+    """(title, article_len, summary) of every article (namespace 0), the last page of a title."""
+
+    def run(batches):
+        for b in batches:
+            text = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or "") for t in text], pa.int64()), pa.array([prose(t or "") for t in text], pa.string()), b.column(2)], names=["title", "article_len", "prose", "ord"])
+
+    rows = ordered(pages).where("ns = '0'").select("title", "text", "ord").mapInArrow(run, "title string, article_len long, prose string, ord long")
+    last = rows.groupBy("title").agg(F.max_by(F.struct("article_len", "prose"), "ord").alias("x"))
+    return last.select("title", "x.article_len", lead_summary(F.col("x.prose"), bold=False).alias("summary"))
+
 
+#: More templates than a page has.
+BOXES = 1 << 20
 
-def tidy(s: Column, passes: int = 4) -> Column:
-    """A sentence without spaces before punctuation, empty parentheses and clauses that end on a connective."""
-    dangling = r"(?i)[,;]?\s+(?:a|an|the|of|to|in|on|for|with|and|as|by|from|into|being|is|was|were|are|known|called|named|serving|designated|nicknamed)$"
+
+def facts(boxes: DataFrame, base: str, about: DataFrame | None = None) -> DataFrame:
+    """Entities: one per (title, kind), the one with the most fields, of equals the first; with length and lead of the article of that title (see articles())."""
+    fields = F.map_filter(F.transform_values("raw", lambda _, v: X.clean_field(v)), lambda _, v: v.isNotNull())
+    title = F.when(F.col("tabbed"), F.get(X.clean_field(F.col("root")), 0)).when(F.col("ns") == "0", F.col("title"))
+    rows = boxes.where(F.col("root").isNull() | ~F.contains("root", F.lit("{{{"))).withColumn("title", title).withColumn("fields", fields).where("title is not null and title <> ''").where(~F.contains("title", F.lit("{{{")) & (F.size("fields") > 0))
+    one = rows.groupBy("title", "kind").agg(F.max_by(F.struct("tabbed", "fields"), F.struct(F.size("fields"), -F.col("ord"))).alias("x"), F.min("ord").alias("ord"))
+    one = one.select("title", "kind", X.source_url(F.col("title"), base).alias("source"), "x.tabbed", "x.fields", "ord")
+    if about is None:
+        return one.withColumn("article_len", F.lit(0).cast("long")).withColumn("summary", F.lit(None).cast("string"))
+    return one.join(about, "title", "left").withColumn("article_len", F.coalesce("article_len", F.lit(0).cast("long")))
+
+
+def tidy(s: Column) -> Column:
+    """A sentence without spaces before punctuation, empty parentheses and last clauses that end on a connective, until none does."""
+    dangling = rf"(?i)[,;]?\s+(?:{'|'.join(CONNECTIVES)})$"
     t = F.regexp_replace(F.regexp_replace(s, r"\s+([.,;:!?])", "$1"), r"\(\s*\)", "")
     t = F.btrim(F.regexp_replace(t, "[ \\t\u00a0]+", " "), F.lit(" ,;."))
-    for _ in range(passes):
-        cut = F.when(t.rlike("[,;]"), F.btrim(F.regexp_replace(t, "[,;][^,;]*$", ""), F.lit(" ,;"))).otherwise("")
-        t = F.when(t.rlike(dangling), cut).otherwise(t)
-    return t
+    # from the last clause back: what is left once a clause doesn't dangle is kept
+    cut = lambda a: F.when(a.rlike("[,;]"), F.btrim(F.regexp_replace(a, "[,;][^,;]*$", ""), F.lit(" ,;"))).otherwise("")
+    clauses = F.sequence(F.lit(1), F.size(F.split(t, "[,;]")))
+    return F.aggregate(clauses, t, lambda a, _: F.when(a.rlike(dangling), cut(a)).otherwise(a))
 
 
-def lead_summary(c: Column, window: int = 12000, most: int = 240, bold: bool = True) -> Column:
+def lead_summary(c: Column, window: int = WINDOW, most: int = LONGEST, bold: bool = True) -> Column:
     """The first prose paragraph's one or two sentences, at most `most` characters; templates are rendered before.
 
     Null where the top has no bold marker (unless bold is false) or no paragraph of 20 letters.
     """
     top = F.regexp_replace(F.substring(c, 1, window), r"(?s)<!--.*?-->", "")
-    top = F.regexp_replace(F.regexp_replace(top, r"(?i)\[\[(?:File|Image|Category|Media):[^\[\]]*\]\]", ""), r"(?m)^=+.*=+\s*$", "")
+    top = F.regexp_replace(F.regexp_replace(top, X.FILE_LINK, ""), r"(?m)^=+.*=+\s*$", "")
     letters = lambda s: F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
     good = F.filter(F.transform(F.split(top, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: ~p.rlike("^[:;]") & (letters(p) >= 20))
 
     def summary(p):
-        value = F.array_join(X.clean_field(p), " ")
-        sentences = F.filter(F.transform(F.split(value, r"(?<=[.!?])\s+(?=[A-Z\"'])"), lambda x: tidy(x)), lambda s: s != "")
+        value = F.trim(F.regexp_replace(F.array_join(X.clean_field(p), " "), "[ \\t\u00a0]+", " "))
+        sentences = F.filter(F.transform(F.split(value, r"(?<=[.!?])\s+"), tidy), lambda s: s != "")
         first = F.get(sentences, 0)
         return F.when((F.length(first) < 120) & (F.size(sentences) > 1), F.concat(first, F.lit(". "), F.get(sentences, 1))).otherwise(first)
 

@@ -93,6 +93,49 @@ def sample(bank: DataFrame, n: int, mix: dict[str, float], key: Column, order: C
     return ranked.orderBy("priority", "_o", "_k").limit(n).drop("_o", "_k", "_r")
 
 
+def shuffled(rows: DataFrame, order: Column, n: int | None = None) -> DataFrame:
+    """rows in the order of a hash (or rand(), if none need come out the same again), or the first n of them: a uniform sample."""
+    out = rows.orderBy(order)
+    return out if n is None else out.limit(n)
+
+
+def with_options(rows: DataFrame, seed: Column) -> DataFrame:
+    """rows with the right and the wrong answers as options, in an order that the seed gives."""
+    every = F.array_append("incorrect_answers", F.col("correct_answer"))
+    keyed = F.array_sort(F.transform(every, lambda o: F.struct(F.md5(F.concat(seed, F.lit("|"), o)).alias("h"), o.alias("o"))))
+    return rows.withColumn("options", F.transform(keyed, lambda s: s["o"]))
+
+
+def recorded(rows: DataFrame) -> DataFrame:
+    """A finished quiz: a question without an answer says so and counts as missed."""
+    said = F.coalesce("user_answer", F.lit("No answer"))
+    return rows.withColumn("user_answer", said).withColumn("point", F.when(said == F.col("correct_answer"), 1).otherwise(0))
+
+
+def created(names: DataFrame, name: str, place: str) -> DataFrame:
+    """Profiles with their shown name and, in turn, their colour."""
+    return names.withColumn("name", scores.profile_name(F.col(name))).withColumn("color", scores.profile_color(F.col(place)))
+
+
+def removed(profiles: DataFrame, gone: DataFrame, key: str = "profile") -> DataFrame:
+    """What is left of profiles, or of their answers or progress, once some are deleted."""
+    return profiles.join(gone.select(key), key, "left_anti")
+
+
+def active(profiles: DataFrame, chosen: DataFrame, by: str, order: str) -> DataFrame:
+    """Per `by` the chosen profile if there still is one of that name, else the first, else none; chosen: (by, profile)."""
+    there = profiles.groupBy(by).agg(F.min_by("profile", order).alias("first"), F.collect_set("profile").alias("_all"))
+    joined = chosen.withColumnRenamed("profile", "_c").join(there, by, "left")
+    return joined.select(by, F.when(F.array_contains("_all", F.col("_c")), F.col("_c")).otherwise(F.col("first")).alias("active"))
+
+
+def defaulted(profiles: DataFrame, saved: DataFrame, levels: tuple[str, ...] = ("easy", "medium", "hard")) -> DataFrame:
+    """The counters (profile, difficulty, correct, total) of every profile; those that an old or partial save lacks are 0."""
+    every = profiles.select("profile").withColumn("difficulty", F.explode(F.array(*map(F.lit, levels))))
+    zero = F.lit(0).cast("long")
+    return every.join(saved, ["profile", "difficulty"], "left").select("profile", "difficulty", F.coalesce("correct", zero).alias("correct"), F.coalesce("total", zero).alias("total"))
+
+
 def settled(turns: DataFrame, group: str, key: str, order: str, learn: bool) -> DataFrame:
     """One row per group and key: the first in learn mode, which locks answers, else the last."""
     pick = F.min_by if learn else F.max_by

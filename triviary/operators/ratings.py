@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -79,6 +79,28 @@ def imported(verdicts: DataFrame, manifest: DataFrame) -> DataFrame:
     return clean.join(manifest.select("batch", "n", "hash"), ["batch", "n"]).select("hash", "rater", "knowledge_score", "guessable", "reason")
 
 
+def skipped(verdicts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Per rater the verdicts that the manifest doesn't know and that are left out of imported()."""
+    return verdicts.join(manifest.select("batch", "n"), ["batch", "n"], "left_anti").groupBy("rater").agg(F.count("*").alias("skipped"))
+
+
+def chosen(items: DataFrame, ratings: DataFrame, raters: list[str], grep: str | None = None, difficulty: str | None = None, unrated: bool = False, order: str = "hash", limit: int | None = None) -> DataFrame:
+    """The items to rate: whose question matches a pattern in any case, of one difficulty, not yet rated by all; the limit comes last."""
+    if grep:
+        items = items.where(F.col("question").rlike(f"(?i){grep}"))
+    if difficulty:
+        items = items.where(F.col("authored") == difficulty)
+    if unrated:
+        done = ratings.where(F.col("rater").isin(raters)).groupBy("hash").agg(F.count_distinct("rater").alias("_n")).where(F.col("_n") == len(set(raters)))
+        items = items.join(done, "hash", "left_anti")
+    return items.orderBy(order).limit(limit) if limit else items
+
+
+def unknown(asked: Column, known: Column) -> Column:
+    """The raters asked for that there aren't, in order."""
+    return F.array_sort(F.array_except(asked, known))
+
+
 def stale(ratings: DataFrame, items: DataFrame) -> DataFrame:
     """Ratings whose hash no item has."""
     return ratings.join(items.select("hash").distinct(), "hash", "left_anti")

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scores
 from ..functions import text as X
 
-GUESSABILITY = ["stem_leak", "cross_domain_never", "numeric_ladder", "lone_canon_option", "meta_noise_option", "weak_distractors", "answer_len_outlier"]
+# The flags that mean that a question can be answered without knowing the fact.
+GUESSABILITY = ["stem_leak", "lone_canon_option", "weak_distractors", "meta_noise_option", "numeric_ladder", "answer_len_outlier"]
 
 
 def vocabulary(facts: DataFrame, answers: DataFrame) -> DataFrame:
@@ -61,6 +63,30 @@ def flags(q: DataFrame) -> DataFrame:
     return q.withColumn("flags", all_).withColumn("guessability_flags", F.array_intersect("flags", X.literals(GUESSABILITY)))
 
 
+def with_subjects(questions: DataFrame, facts: DataFrame, subject: str = "subject") -> DataFrame:
+    """questions with article_len, prominence, must_know of their subject, and the gloss of their answer, from facts of the same key."""
+    one = facts.groupBy(X.norm_key(F.col("title")).alias("_k")).agg(F.max("article_len").alias("article_len"))
+    known = X.must_know(F.col(subject))
+    q = questions.join(one, X.norm_key(F.col(subject)) == one["_k"], "left").drop("_k").withColumn("must_know", known)
+    q = q.withColumn("prominence", F.when(F.col("article_len").isNotNull(), scores.prominence(known, F.col("article_len"))).when(known, 2))
+    part = lambda name: F.array_join(F.coalesce(F.try_element_at("fields", F.lit(name)), F.array().cast("array<string>")), " ")
+    gloss = facts.groupBy(X.norm_key(F.col("title")).alias("_a")).agg(F.min(F.concat_ws(" ", part("ename"), part("meaning"), part("translation"))).alias("gloss"))
+    return q.join(gloss, X.norm_key(F.col("correct_answer")) == gloss["_a"], "left").drop("_a")
+
+
+def guessable_share(rows: DataFrame) -> DataFrame:
+    """Per authored difficulty: questions, those that can be guessed, and their share in percent."""
+    n, some = F.count("*"), F.count_if(F.size("guessability_flags") > 0)
+    return rows.groupBy("authored").agg(n.alias("total"), some.alias("guessable"), F.round(100 * some / n, 0).alias("share"))
+
+
+def offenders(rows: DataFrame, limit: int, flag: str | None = None, order: str = "id") -> DataFrame:
+    """The first questions with a flag; without one the hard questions that can be guessed, those of most flags first."""
+    if flag:
+        return rows.where(F.array_contains("flags", flag)).orderBy(order).limit(limit)
+    return rows.where((F.col("authored") == "hard") & (F.size("guessability_flags") > 0)).orderBy(F.desc(F.size("guessability_flags")), order).limit(limit)
+
+
 @F.pandas_udf(T.DoubleType())
 def option_similarity(options: pd.Series) -> pd.Series:
     """Mean Ratcliff-Obershelp ratio of all pairs of keys; 0 for fewer than two."""

@@ -1,70 +1,106 @@
-"""From facts to a bank: canon filter, pools, templates, distractors, leak test, caps."""
+"""From pages to facts and from facts to a bank: canon filter, pools, templates, distractors, leak test, caps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions import text as X
-from ..operators import items
+from ..operators import items, markup
 from ..sources.tables import written
 
-# The sagas in order.
-SAGA_NAMES = ["East Blue", "Arabasta", "Sky Island", "Water 7", "Thriller Bark", "Summit War", "Fish-Man Island", "Dressrosa", "Whole Cake Island", "Wano Country", "Final"]
-FIELDS = ["df_name", "affiliation", "bounty", "occupation", "origin", "residence", "user", "region", "kingdom"]
+# Marks of titles that aren't canon; other works, as they stand in a debut, beside which only a bare chapter counts.
+OTHER_TITLES = ["(non-canon)", "(novel)", "one piece in love"]
+OTHER_WORKS = [r"One Piece Film", r"Film:", r"\bMovie\b", r"Odyssey", r"One Piece Party", r"One Piece in Love", r"One Piece Short", r"One Piece School", r"Chin Piece", r"Fischer's", r"Shokugeki no Sanji", r"One Piece novel", r"\bnovel\b", r"Chopperman", r"MiraBato", r"Dream Adventure Log", r"Stampede", r"Heart of Gold", r"Strong World", r"Dance Carnival", r"Live Attraction", r"Omake Manga Corner", r"episode A\b", r"3D2Y", r"Glorious Island", r"Cross Epoch", r"Romance Dawn Story"]
+BARE_CHAPTER = r"^Chapter\s+\d+\.?$"
 KIND_ORDER = ["character", "devil_fruit", "location"]
+#: Templates of which an entity of the kind is asked by prominence first; the others by length alone.
+BY_PROMINENCE = "character"
+
+
+def facts_of(pages: DataFrame, base: str) -> DataFrame:
+    """Facts of a wiki's pages (title, ns, text) in their order."""
+    rows = written(markup.ordered(pages), "pages")
+    return markup.facts(markup.infoboxes(rows), base, markup.articles(rows))
+
+
+def field(name: str) -> Column:
+    return F.try_element_at("fields", F.lit(name))
+
+
+def is_canon() -> Column:
+    """Whether an entity debuts in a chapter and belongs to the story proper."""
+    first = F.coalesce(field("first"), F.array().cast("array<string>"))
+    bare = F.exists(F.flatten(F.transform(first, lambda v: F.split(v, ";"))), lambda c: F.trim(c).rlike(BARE_CHAPTER))
+    elsewhere = F.exists(first, lambda v: v.rlike(f"(?i){'|'.join(OTHER_WORKS)}"))
+    title = F.exists(X.literals(OTHER_TITLES), lambda t: F.contains(F.lower("title"), t))
+    return ~title & scores.saga_of_first(first).isNotNull() & (bare | ~elsewhere)
 
 
 def canon(facts: DataFrame) -> DataFrame:
-    """Facts that name a chapter and no non-canon source."""
-    first = F.array_join(F.coalesce(F.try_element_at("fields", F.lit("first")), F.array()), " ")
-    clean = first.rlike(r"(?i)chapter\s*\d+") & ~first.rlike(r"(?i)non-?canon|movie|special|filler")
-    return facts.where(~F.col("title").rlike(r"(?i)\((?:non-?canon|movie|game|anime|special)[^)]*\)")).where(clean | (F.col("kind") == "devil_fruit"))
+    return facts.where(is_canon())
+
 
+def clauses(values: Column) -> Column:
+    """The trimmed clauses of all values without their qualifiers."""
+    return F.transform(F.flatten(F.transform(values, lambda v: F.split(X.strip_quals(v), "[;,]"))), lambda c: F.trim(c))
 
-def prepared(facts: DataFrame, must_multi: list[str] = (), must_single: list[str] = ()) -> DataFrame:
-    """Facts with one clean column per template field; an affiliation that is a character's name is passed over."""
+
+def prepared(facts: DataFrame, must_multi: list[str] = X.MUST_KNOW_MULTI, must_single: list[str] = X.MUST_KNOW_SINGLE) -> DataFrame:
+    """Canon facts with one clean column per template field; an affiliation that is a character's name is passed over."""
     f = canon(facts).where(F.col("kind").isin(KIND_ORDER))
-    get = lambda k: F.try_element_at("fields", F.lit(k))
-    first = F.array_join(F.coalesce(get("first"), F.array()), " ")
+    if "ord" not in f.columns:  # facts read from a file are in the order of their titles
+        f = f.withColumn("ord", F.struct("title", "kind"))
+    length = F.coalesce("article_len", F.lit(0))
+    origin, affiliation = X.primary(field("origin")), X.primary(field("affiliation"))
+    homes = F.transform(X.residences(field("residence")), lambda r: X.norm_key(r["place"]))
+    kingdoms = F.filter(F.array(affiliation, origin), X.is_kingdom)
     f = f.select(
         "title",
         "kind",
         "source",
         "summary",
-        F.coalesce("article_len", F.lit(0)).alias("article_len"),
-        scores.prominence(X.must_know(F.col("title"), list(must_multi), list(must_single)), F.coalesce("article_len", F.lit(0))).alias("prominence"),
-        scores.saga_of_first(first).alias("saga"),
-        X.combined_name(get("dfename"), get("dfname")).alias("df_name"),
-        X.clean_bounty(get("bounty")).alias("bounty"),
-        X.primary(get("occupation")).alias("occupation"),
-        X.primary(get("origin")).alias("origin"),
-        X.current_residence(get("residence")).alias("residence"),
-        X.clean_name(get("user")).alias("user"),
-        X.primary(get("region")).alias("region"),
-        F.when(X.is_kingdom(F.col("title")), F.col("title")).otherwise(F.when(X.is_kingdom(X.primary(get("affiliation"))), X.primary(get("affiliation")))).alias("kingdom"),
-        get("affiliation").alias("_aff"),
+        "ord",
+        length.alias("article_len"),
+        scores.prominence(X.must_know(F.col("title"), list(must_multi), list(must_single)), length).alias("prominence"),
+        scores.saga_of_first(field("first")).alias("saga"),
+        X.combined_name(field("dfename"), field("dfname")).alias("df_name"),
+        X.combined_name(field("ename"), F.coalesce(field("rname"), F.array("title"))).alias("fruit_name"),
+        X.clean_bounty(field("bounty")).alias("bounty"),
+        X.primary(field("occupation")).alias("occupation"),
+        origin.alias("origin"),
+        X.current_residence(field("residence")).alias("residence"),
+        F.array_append(F.coalesce(homes, F.array().cast("array<string>")), F.coalesce(X.norm_key(origin), F.lit(""))).alias("homes"),
+        X.clean_name(field("user")).alias("user"),
+        X.primary(field("region")).alias("region"),
+        F.when(X.is_kingdom(affiliation), affiliation).alias("kingdom"),
+        F.get(kingdoms, 0).alias("any_kingdom"),
+        clauses(field("affiliation")).alias("_aff"),
     )
-    f = f.withColumn("saga_name", F.try_element_at(X.literals(SAGA_NAMES), F.col("saga")))
-    clauses = f.select("title", "kind", F.posexplode(F.flatten(F.transform("_aff", lambda v: F.split(X.strip_quals(v), "[;,]")))).alias("pos", "c")).withColumn("c", F.trim("c")).where("c <> '' and lower(c) <> 'none'")
+    f = f.withColumn("saga_name", scores.saga_name(F.col("saga")))
+    named = f.select("title", "kind", F.posexplode("_aff").alias("pos", "c")).where("c <> '' and lower(c) <> 'none'")
     names = f.where("kind = 'character'").select(X.norm_key(F.col("title")).alias("k")).distinct()
-    free = clauses.withColumn("k", X.norm_key(F.col("c"))).join(names, "k", "left_anti")
-    aff = free.groupBy("title", "kind").agg(F.min_by("c", "pos").alias("affiliation"))
-    return f.drop("_aff").join(aff, ["title", "kind"], "left")
+    free = named.withColumn("k", X.norm_key(F.col("c"))).join(names, "k", "left_anti")
+    f = f.join(free.groupBy("title", "kind").agg(F.min_by("c", "pos").alias("affiliation")), ["title", "kind"], "left")
+    for column, kind in (("occupation", "character"), ("origin", "character"), ("region", "location")):
+        n = f.where(F.col("kind") == kind).where(F.col(column).isNotNull()).groupBy(X.norm_key(F.col(column)).alias("_k")).agg(F.count("*").alias(f"{column}_n"))
+        f = f.join(n, X.norm_key(F.col(column)) == F.col("_k"), "left").drop("_k")
+    return f
 
 
 def pools(f: DataFrame) -> DataFrame:
     """All value pools in one table; occupations, origins and regions occur twice or more."""
-    chars, places, fruits = (f.where(F.col("kind") == k).withColumn("ord", F.xxhash64("title")) for k in ("character", "location", "devil_fruit"))
+    chars, places, fruits = (f.where(F.col("kind") == k) for k in ("character", "location", "devil_fruit"))
+    both = f.where(F.col("kind").isin("character", "location")).withColumn("ord", F.struct(F.col("kind") == "character", "ord"))
     parts = [items.pool(chars, n, n, "ord") for n in ("df_name", "affiliation", "bounty", "residence")]
-    parts += [items.pool(chars, n, n, "ord", 2) for n in ("occupation", "origin")]
-    parts += [items.pool(places, "region", "region", "ord", 2), items.pool(places, "kingdom", "kingdom", "ord"), items.pool(fruits, "fruit_user", "user", "ord"), items.pool(chars, "name", "title", "ord"), items.pool(chars.where("bounty is not null"), "bounty_holder", "title", "ord")]
-    spark = f.sparkSession
-    sagas = spark.createDataFrame([("saga", s, i) for i, s in enumerate(SAGA_NAMES, 1)], "pool string, v string, saga int").select("pool", "v", X.norm_key(F.col("v")).alias("norm_v"), F.lit(None).cast("int").alias("tier"), "saga", F.col("saga").cast("long").alias("ord"))
-    out = sagas
+    parts += [items.pool(chars.where(f"{n}_n >= 2"), n, n, "ord") for n in ("occupation", "origin")]
+    parts += [items.pool(places.where("region_n >= 2"), "region", "region", "ord"), items.pool(both, "kingdom", "any_kingdom", "ord"), items.pool(fruits, "fruit_user", "user", "ord")]
+    parts += [items.pool(chars, "name", "title", "ord"), items.pool(chars.where("bounty is not null"), "bounty_holder", "title", "ord")]
+    none = F.lit(None).cast("int")
+    out = f.sparkSession.range(1).select(F.explode(X.literals(scores.SAGA_NAMES)).alias("v")).select(F.lit("saga").alias("pool"), "v", X.norm_key(F.col("v")).alias("norm_v"), none.alias("tier"), none.alias("saga"))
     for p in parts:
-        out = out.unionByName(p)
+        out = out.unionByName(p.drop("ord"))
     return out
 
 
@@ -73,46 +109,59 @@ def asked(f: DataFrame) -> DataFrame:
     out = None
     for k, (kind, shapes) in enumerate((kind, items.TEMPLATES[kind]) for kind in KIND_ORDER):
         for n, t in enumerate(shapes):
-            stem, end = t.text.split("{subject}")
-            rows = f.where((F.col("kind") == kind) & F.expr(t.guard) & F.col(t.subject).isNotNull() & ~X.is_noise(F.col(t.answer))).select(
+            subject, answer, plain = F.col(t.subject), F.col(t.answer), t.pool == "saga"
+            first = -F.col("prominence") if kind == BY_PROMINENCE else F.lit(0)
+            rows = f.where((F.col("kind") == kind) & F.expr(t.guard) & subject.isNotNull() & answer.isNotNull() & ~X.is_noise(answer)).select(
                 F.lit(t.name).alias("template"),
                 F.lit(t.category).alias("category"),
-                F.concat(F.lit(stem), F.col(t.subject), F.lit(end)).alias("question"),
-                F.col(t.answer).alias("answer"),
+                items.filled(t.text, subject, answer).alias("question"),
+                answer.alias("answer"),
                 F.lit(t.pool).alias("pool"),
-                F.col(t.leak or t.subject).alias("leak_ref"),
+                subject.alias("leak_ref"),
                 "title",
                 "source",
-                "summary",
-                (F.lit(None).cast("int") if t.pool == "saga" else F.col("prominence")).alias("tier"),
-                (F.lit(None).cast("int") if t.pool == "saga" else F.col("saga")).alias("saga"),
+                X.lead(items.filled(t.fact, subject, answer), F.col("summary")).alias("explainer"),
+                (F.lit(None).cast("int") if plain else F.col("prominence")).alias("tier"),
+                (F.lit(None).cast("int") if plain else F.col("saga")).alias("saga"),
                 F.col("saga").alias("own_saga"),
                 scores.difficulty(F.col("prominence"), F.lit(t.depth)).alias("difficulty"),
                 F.lit(t.cap).alias("answer_cap"),
                 F.lit(items.TEMPLATE_CAP).alias("template_cap"),
                 F.when(F.col("prominence") == 2, items.ENTITY_CAPS[2]).when(F.col("prominence") == 1, items.ENTITY_CAPS[1]).otherwise(items.ENTITY_CAPS[0]).alias("entity_cap"),
-                F.struct(F.lit(k).alias("k"), (-F.col("prominence")).alias("p"), (-F.col("article_len")).alias("l"), F.col("title").alias("t"), F.lit(n).alias("n")).alias("ord"),
+                F.struct(F.lit(k).alias("k"), first.alias("p"), (-F.col("article_len")).alias("l"), F.col("ord").alias("o"), F.lit(n).alias("n")).alias("ord"),
                 F.lit(t.saga_bound).alias("saga_bound"),
+                (F.col(t.own) if t.own else F.array().cast("array<string>")).alias("own"),
+                F.lit(t.members).alias("members"),
             )
             out = rows if out is None else out.unionByName(rows)
     return out.withColumn("id", F.xxhash64("template", "title", "answer"))
 
 
-def bank(facts: DataFrame, seed: str = "bank|", must_multi: list[str] = (), must_single: list[str] = ()) -> DataFrame:
-    """The generated questions, with options in hash order."""
+def memberships(facts: DataFrame) -> DataFrame:
+    """(_crew, _member): the keys of everyone and of all that they are affiliated with."""
+    rows = canon(facts).where("kind = 'character'").select(X.norm_key(F.col("title")).alias("_member"), F.explode(clauses(field("affiliation"))).alias("c"))
+    return rows.select(X.norm_key(F.col("c")).alias("_crew"), "_member").where("_crew <> ''").distinct()
+
+
+def generated(facts: DataFrame, seed: str = "bank|", must_multi: list[str] = X.MUST_KNOW_MULTI, must_single: list[str] = X.MUST_KNOW_SINGLE) -> DataFrame:
+    """Every question that has three distractors and doesn't give its answer away, before the caps."""
     f = written(prepared(facts, must_multi, must_single), "facts")
     q, p = written(asked(f), "asked"), written(pools(f), "pools")
     c = items.candidates(q, p, seed).where(~F.col("saga_bound") | F.col("p_saga").isNull() | F.col("saga").isNull() | (F.col("p_saga") <= F.col("saga")))
-    # whoever shares the subject's crew can't stand beside the answer
-    crews = f.where("affiliation is not null").select(X.norm_key(F.col("affiliation")).alias("_crew"), F.col("title").alias("_member"))
-    is_crew = F.col("template") == "crew_member"
-    c = c.join(crews, is_crew & (X.norm_key(F.col("leak_ref")) == crews["_crew"]) & (F.col("v") == crews["_member"]), "left_anti")
+    c = c.where(~F.array_contains("own", F.col("norm_v")))
+    # who belongs to the crew can't stand beside the answer
+    m = memberships(facts)
+    c = c.join(m, F.col("members") & (X.norm_key(F.col("leak_ref")) == m["_crew"]) & (F.col("norm_v") == m["_member"]), "left_anti")
     d = items.distractors(c).where(F.size("distractors") == 3)
     made = q.join(d, "id").where(items.unleaked(F.col("answer"), F.col("leak_ref"), F.col("distractors")))
-    made = made.withColumn("answer_key", F.concat_ws("|", "category", X.norm_key(F.col("answer")))).withColumn("entity", F.col("title"))
-    kept = items.capped(made, {"answer_key": "answer_cap", "entity": "entity_cap", "template": "template_cap"}, "ord")
+    return made.withColumn("answer_key", F.concat_ws("|", "category", X.norm_key(F.col("answer")))).withColumn("entity", F.col("title"))
+
+
+def bank(facts: DataFrame, seed: str = "bank|", must_multi: list[str] = X.MUST_KNOW_MULTI, must_single: list[str] = X.MUST_KNOW_SINGLE) -> DataFrame:
+    """The generated questions, with options in hash order."""
+    kept = items.capped(generated(facts, seed, must_multi, must_single), {"answer_key": "answer_cap", "entity": "entity_cap", "template": "template_cap"}, "ord")
     options = items.shuffled(F.array_append("distractors", F.col("answer")), F.concat(F.lit(seed), F.col("question")))
     return kept.select(
         "category", F.lit("multiple").alias("type"), "difficulty", "question", F.col("answer").alias("correct_answer"), F.col("distractors").alias("incorrect_answers"), options.alias("options"), "source",
-        X.lead(F.concat_ws(" ", "question", F.col("answer")), F.col("summary")).alias("explainer"), F.try_element_at(X.literals(SAGA_NAMES), F.col("own_saga")).alias("saga"), F.col("own_saga").alias("sagaOrder"), F.lit(None).cast("string").alias("image"), "template",
+        "explainer", scores.saga_name(F.col("own_saga")).alias("saga"), F.col("own_saga").alias("sagaOrder"), F.lit(None).cast("string").alias("image"), "template",
     )

@@ -8,7 +8,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FACT = "title STRING, kind STRING, source STRING, tabbed BOOLEAN, fields MAP<STRING, ARRAY<STRING>>, article_len BIGINT, summary STRING"
 QUESTION = "category STRING, type STRING, difficulty STRING, question STRING, correct_answer STRING, incorrect_answers ARRAY<STRING>, options ARRAY<STRING>, source STRING, explainer STRING, image STRING, saga STRING, sagaOrder INT, authoredDifficulty STRING, difficultyScore INT"
@@ -57,10 +56,15 @@ def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string, {value}>")))
 
 
+# The wiki's namespaces that hold no subjects.
+NAMESPACES = ["talk", "user", "project", "file", "image", "mediawiki", "template", "help", "category", "forum", "board", "module", "gadget", "blog", "thread", "user blog", "message wall"]
+
+
 def titles(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct keys of the <title> lines of a dump that name no talk page."""
-    t = spark.read.text(path).select(F.regexp_extract("value", "<title>(.*?)</title>", 1).alias("t")).where("t <> ''")
-    plain = t.where(~F.col("t").rlike(r"(?i)^[a-z ]*talk?:"))
+    """Distinct keys of the <title> lines of a dump that name an article and not a page of another namespace or its talk page."""
+    t = spark.read.text(path).select(F.regexp_extract("value", "<title>([^<]+)</title>", 1).alias("t")).where("t <> ''")
+    # "talk" may lose its last letter; only a colon after it makes a namespace, so a bare "User:" is an article here
+    plain = t.where(~F.col("t").rlike(rf"(?i)^(?:{'|'.join(NAMESPACES)})[ _]*talk?:"))
     return plain.select(F.regexp_replace(F.lower("t"), "[^a-z0-9]", "").alias("key")).where("key <> ''").distinct()
 
 
@@ -70,6 +74,43 @@ def write_json_array(df: DataFrame, path: str, order: list) -> None:
     one.groupBy().agg(F.array_sort(F.collect_list(F.struct("_o", "j"))).alias("r")).select(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object per line, a file per partition; nulls are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_keyed(df: DataFrame, key: str, path: str) -> None:
+    """A table of one row per key, clustered by it so that later merges and lookups read few files."""
+    df.repartition(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def upserted(spark: SparkSession, path: str, batches: list[DataFrame], keys: list[str]) -> DataFrame:
+    """A keyed table after each of the batches has been merged in and saved, so that a run that is killed goes on with the batches that are left.
+
+    A state is a folder of its own and counts once it is written whole; the newest is the table.
+    """
+    now, done = state_of(spark, path)
+    for i, new in enumerate(batches[done:], done + 1):
+        (new if now is None else merged(now, new, keys)).write.mode("overwrite").parquet(f"{path}/state={i}")
+        now, _ = state_of(spark, path)
+    return now
+
+
+def state_of(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The newest whole state below path and its number."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+    whole = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("state=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return (spark.read.parquet(f"{path}/state={max(whole)}"), max(whole)) if whole else (None, 0)
+
+
+def looked_up(asked: DataFrame, store: DataFrame, key: str, value: str, default: Column) -> DataFrame:
+    """asked keys with the store's value, or the default where there is none."""
+    s = store.select(F.col(key).alias("_k"), F.col(value).alias(value))
+    return asked.join(s, asked[key] == s["_k"], "left").drop("_k").withColumn(value, F.coalesce(F.col(value), default))
+
+
 def write_guarded(df: DataFrame, write: Callable[[DataFrame], None], failures: DataFrame | None = None, check_only: bool = False) -> int:
     """Writes only if there are rows and no failures; returns the number of rows."""
     n = df.count()
@@ -113,7 +154,3 @@ def verdicts(spark: SparkSession, glob: str) -> DataFrame:
 
 def file_md5(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
-
-
-def struct_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
