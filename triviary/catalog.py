@@ -152,21 +152,12 @@ def _golden(spark, sf_dir, question):
     return bank.golden(d.select("question", "answer").unionByName(b), own).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"""WITH bank AS (SELECT k, a FROM (SELECT {K('substring(text, 1, 60)')} AS k, {K('lang')} AS a, ROW_NUMBER() OVER (PARTITION BY {K('substring(text, 1, 60)')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1),
- facts AS (SELECT {K('substring(text, 1, 60)')} AS k, lang AS a FROM documents UNION ALL SELECT {K('substring(text, 1, 60)')}, 'en' FROM benchmark)
- SELECT CASE WHEN bank.k IS NULL THEN 'missing' WHEN bank.a <> {K('facts.a')} THEN 'wrong' ELSE 'ok' END AS state, COUNT(*) AS n FROM facts LEFT JOIN bank ON facts.k = bank.k GROUP BY 1"""
-)
-def golden_check(spark, sf_dir):
-    return _golden(spark, sf_dir, F.substring("text", 1, 60))
-
-
 @query(
     f"""WITH bank AS (SELECT k, a FROM (SELECT {K('text')} AS k, {K('lang')} AS a, ROW_NUMBER() OVER (PARTITION BY {K('text')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1),
  facts AS (SELECT {K('text')} AS k, lang AS a FROM documents UNION ALL SELECT {K('text')}, 'en' FROM benchmark)
  SELECT CASE WHEN bank.k IS NULL THEN 'missing' WHEN bank.a <> {K('facts.a')} THEN 'wrong' ELSE 'ok' END AS state, COUNT(*) AS n FROM facts LEFT JOIN bank ON facts.k = bank.k GROUP BY 1"""
 )
-def golden_check_whole(spark, sf_dir):
+def golden_check(spark, sf_dir):
     return _golden(spark, sf_dir, F.col("text"))
 
 
@@ -195,7 +186,21 @@ def clean_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(lines).alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("digest"))
 
 
-@query()
+LETTERS = "length(regexp_replace({}, '[^A-Za-z]', '', 'g'))"
+TRIMMED = r"trim(regexp_replace(regexp_replace(regexp_replace(x, '\s+([.,;:!?])', '\1', 'g'), '\(\s*\)', '', 'g'), '[ \t\x{00A0}]+', ' ', 'g'), ' ,;.')"
+CUT = "CASE WHEN NOT regexp_matches(a, '(?i)[,;]?\\s+(?:" + "|".join(markup.CONNECTIVES) + ")$') THEN a WHEN regexp_matches(a, '[,;]') THEN trim(regexp_replace(a, '[,;][^,;]*$', ''), ' ,;') ELSE '' END"
+
+
+@query(
+    rf"""WITH tops AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(regexp_replace(substring(text, 1, 12000), '(?s)<!--.*?-->', '', 'g'), '(?i)\[\[(?:File|Image|Category|Media):[^\[\]]*\]\]', '', 'g'), '(?m)^=+.*=+\s*$', '', 'g'), '\n\s*\n') AS ps FROM documents),
+ parts AS (SELECT doc_id, i, regexp_replace(ps[i], '^\s+|\s+$', '', 'g') AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM tops)),
+ good AS (SELECT doc_id, i, trim(regexp_replace(array_to_string({_cleaned('p')}, ' '), '[ \t\x{{00A0}}]+', ' ', 'g')) AS v FROM parts WHERE NOT regexp_matches(p, '^[:;]') AND {LETTERS.format('p')} >= 20),
+ said AS (SELECT doc_id, i, list_transform(string_split(regexp_replace(v, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {TRIMMED}) AS ss FROM good),
+ tidy AS (SELECT doc_id, i, list_filter(list_transform(ss, lambda s: list_reduce(list_prepend(s, list_transform(string_split_regex(s, '[,;]'), lambda y: '')), lambda a, b: {CUT})), lambda s: s <> '') AS ss FROM said),
+ sums AS (SELECT doc_id, i, CASE WHEN length(ss[1]) < 120 AND len(ss) > 1 THEN ss[1] || '. ' || ss[2] ELSE ss[1] END AS s FROM tidy),
+ firsts AS (SELECT doc_id, arg_min(s, i) AS s FROM sums WHERE {LETTERS.format('s')} >= 20 GROUP BY doc_id)
+ SELECT doc_id, CASE WHEN length(s) > 240 THEN regexp_replace(regexp_replace(substring(s, 1, 240), '\s\S*$', ''), '[ ,;]+$', '') || '…' ELSE s || '.' END AS summary FROM documents LEFT JOIN firsts USING (doc_id)"""
+)
 def lead_summary(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", markup.lead_summary(F.col("text"), bold=False).alias("summary"))
 
@@ -258,7 +263,15 @@ def distractor_candidates(spark, sf_dir):
     return d.select("id", F.array_join("distractors", "|").alias("distractors"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + views.SQL["entities"]
+    + """, e AS (SELECT ord, origin, occupation AS template, CASE prominence WHEN 2 THEN 10 WHEN 1 THEN 5 ELSE 2 END AS most, ROW_NUMBER() OVER (ORDER BY ord) AS i, DENSE_RANK() OVER (ORDER BY origin) AS a, DENSE_RANK() OVER (ORDER BY occupation || '|' || saga) AS b, DENSE_RANK() OVER (ORDER BY occupation) AS c FROM entities),
+ pass AS (SELECT 0::BIGINT AS i, FALSE AS ok, list_resize([0], (SELECT MAX(a) FROM e), 0) AS la, list_resize([0], (SELECT MAX(b) FROM e), 0) AS lb, list_resize([0], (SELECT MAX(c) FROM e), 0) AS lc
+ UNION ALL SELECT i, ok, CASE WHEN ok THEN list_transform(la, lambda x, j: x + (j = a)::INT) ELSE la END, CASE WHEN ok THEN list_transform(lb, lambda x, j: x + (j = b)::INT) ELSE lb END, CASE WHEN ok THEN list_transform(lc, lambda x, j: x + (j = c)::INT) ELSE lc END
+ FROM (SELECT e.i, a, b, c, la, lb, lc, la[a] < 6 AND lb[b] < most AND lc[c] < 300 AS ok FROM pass JOIN e ON e.i = pass.i + 1))
+ SELECT ord, origin, template FROM pass JOIN e USING (i) WHERE ok"""
+)
 def capped_selection(spark, sf_dir):
     e = entities(spark, sf_dir).select("ord", "origin", F.concat_ws("|", "occupation", "saga").alias("entity"), F.col("occupation").alias("template"), F.lit(items.ANSWER_CAP).alias("answer_cap"), F.when(F.col("prominence") == 2, 10).when(F.col("prominence") == 1, 5).otherwise(2).alias("entity_cap"), F.lit(items.TEMPLATE_CAP).alias("template_cap"))
     return items.capped(e, {"origin": "answer_cap", "entity": "entity_cap", "template": "template_cap"}, "ord").select("ord", "origin", "template")
@@ -294,19 +307,28 @@ def signal_flags(spark, sf_dir):
     return _flags(quiz.questions(spark, sf_dir))
 
 
-@query(
-    f"""WITH {quiz.WHOLE_SQL}, q AS (SELECT *, {WORDS.format('question')} AS said, {WORDS.format("COALESCE(correct_answer, '')")} AS own, flatten(list_transform(incorrect_answers, lambda x: {WORDS.format('x')})) AS shared FROM quiz),
- f AS (SELECT *, list_filter(own, lambda w: NOT list_contains(shared, w)) AS mine FROM q)
- SELECT id, len(mine) > 0 AND len(list_filter(mine, lambda w: NOT list_contains(said, w))) = 0 AS stem_leak, len(list_filter(options, lambda o: NOT {IS_NUM.format(x='o')})) = 0 AS number_words,
- len(list_filter(options, lambda o: {K('o')} IN {NOISE_SQL})) > 0 AS meta_noise, COALESCE(len(string_split(correct_answer, ' ')) >= 4 AND len(correct_answer) >= 1.6 * list_max(list_transform(incorrect_answers, lambda x: len(x))), FALSE) AS len_outlier FROM f"""
-)
-def signal_flags_whole(spark, sf_dir):
-    return _flags(quiz.questions(spark, sf_dir, whole=True))
+ARTICLE_SQL = "(" + ", ".join(f"'{w}'" for w in X.ARTICLES) + ")"
+OWN = "list_filter(string_split_regex(trim(x), '\\s+'), lambda t: t <> '' AND lower(trim(t, '.,''\"')) NOT IN " + ARTICLE_SQL + ")"
+NAMED = f"(len(list_filter(string_split_regex(trim(x), '\\s+'), lambda t: t <> '')) <= 5 AND len({OWN}) > 0 AND NOT {IS_NUM.format(x='x')} AND 2 * len(list_filter({OWN}, lambda t: regexp_matches(t, '^[\\p{{Lu}}\\p{{Nd}}]'))) >= len({OWN}))"
+NUMBER = "TRY_CAST(replace(regexp_extract(x, '^\\s*([0-9,.]+)\\s*(.*)$', 1), ',', '') AS DOUBLE)"
+UNIT = "lower(trim(regexp_extract(x, '^\\s*([0-9,.]+)\\s*(.*)$', 2)))"
 
 
-@query()
+@query(
+    f"""WITH {views.SQL['entities']}, {quiz.SQL}, q AS (SELECT *, {WORDS.format('question')} AS said, {WORDS.format('correct_answer')} AS own, flatten(list_transform(incorrect_answers, lambda x: {WORDS.format('x')})) AS shared FROM quiz WHERE correct_answer IS NOT NULL),
+ vocab AS (SELECT DISTINCT k FROM (SELECT {K('title')} AS k FROM entities UNION ALL SELECT {K('origin')} FROM entities UNION ALL SELECT {K('correct_answer')} FROM q) WHERE k <> ''),
+ o AS (SELECT id, o, correct_answer FROM (SELECT id, correct_answer, unnest(options) AS o FROM q)),
+ lost AS (SELECT id, COUNT(*) FILTER (o <> correct_answer AND a.k IS NULL AND b.k IS NULL) AS lost FROM o LEFT JOIN vocab a ON {K('o')} = a.k LEFT JOIN vocab b ON regexp_replace(lower(regexp_replace(o, '(?i)^the\\s+', '')), '[^a-z0-9]', '', 'g') = b.k GROUP BY id),
+ f AS (SELECT q.*, lost, list_filter(own, lambda w: NOT list_contains(shared, w)) AS mine, list_distinct(list_transform(options, lambda x: regexp_replace({K('x')}, '[0-9]+', '', 'g'))) AS stems,
+ len(list_filter(options, lambda x: NOT {IS_NUM.format(x='x')})) = 0 OR (len(list_filter(options, lambda x: {NUMBER} IS NULL)) = 0 AND len(list_distinct(list_transform(options, lambda x: {UNIT}))) = 1) AS ladder FROM q JOIN lost USING (id)),
+ g AS (SELECT *, len(list_filter(options, lambda x: NOT {NAMED})) = 0 AND NOT ladder AND NOT (len(stems) = 1 AND stems[1] <> '' AND len(list_filter(options, lambda x: regexp_matches(x, '[0-9]'))) > 0) AS named FROM f),
+ l AS (SELECT id, list_filter([CASE WHEN named AND len(mine) > 0 AND len(list_filter(mine, lambda w: NOT list_contains(said, w))) = 0 THEN 'stem_leak' END,
+ CASE WHEN named AND lost >= 2 THEN 'weak_distractors' WHEN named AND lost > 0 THEN 'unattested_option' END, CASE WHEN len(list_filter(options, lambda x: {K('x')} IN {NOISE_SQL})) > 0 THEN 'meta_noise_option' END, CASE WHEN ladder THEN 'numeric_ladder' END,
+ CASE WHEN len(string_split(correct_answer, ' ')) >= 4 AND len(correct_answer) >= 1.6 * list_max(list_transform(incorrect_answers, lambda x: len(x))) THEN 'answer_len_outlier' END], lambda x: x IS NOT NULL) AS flags FROM g)
+ SELECT id, array_to_string(flags, ',') AS flags, array_to_string(list_filter(flags, lambda x: x <> 'unattested_option'), ',') AS guessability_flags FROM l"""
+)
 def signal_cascade(spark, sf_dir):
-    q = quiz.questions(spark, sf_dir, whole=True).where("correct_answer is not null").withColumn("gloss", F.lit(None).cast("string"))
+    q = quiz.questions(spark, sf_dir).where("correct_answer is not null").withColumn("gloss", F.lit(None).cast("string"))
     e = entities(spark, sf_dir).select("title", F.lit("character").alias("kind"), F.create_map(F.lit("origin"), F.array("origin")).alias("fields"))
     # titles of the bank attest options, so the answers' own documents count as pages
     flagged = signals.flags(signals.attested(q, signals.vocabulary(e, q)))
@@ -344,11 +366,6 @@ def content_hash(spark, sf_dir):
     return quiz.questions(spark, sf_dir).select("id", X.content_hash(F.col("question"), F.col("options")).alias("hash"))
 
 
-@query(f"WITH {quiz.WHOLE_SQL} SELECT id, substring(sha256('[' || to_json(question)::VARCHAR || ', [' || array_to_string(list_transform(list_sort(options), lambda o: to_json(o)::VARCHAR), ', ') || ']]'), 1, 16) AS hash FROM quiz")
-def content_hash_whole(spark, sf_dir):
-    return quiz.questions(spark, sf_dir, whole=True).select("id", X.content_hash(F.col("question"), F.col("options")).alias("hash"))
-
-
 @query("SELECT 'b' || CASE WHEN i // 20 < 10 THEN '0' ELSE '' END || (i // 20) AS batch, i % 20 + 1 AS n, conv_id, turn FROM (SELECT conv_id, turn, ROW_NUMBER() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations)")
 def batch_export(spark, sf_dir):
     return bank.batches(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"]).select("batch", "n", "conv_id", "turn")
@@ -367,15 +384,9 @@ def unrated_pairs(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, 'q_' || lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(generate_series(1, length(s)), lambda i: unicode(s[i])::BIGINT)), lambda h, u: xor((h * 33) & 4294967295, u)), 36)) AS qid FROM (SELECT doc_id, substring(text, 1, 40) AS s FROM documents)"""
+    """SELECT doc_id, 'q_' || lower(to_base(list_reduce(list_prepend(5381::BIGINT, flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [(55296 + ((unicode(c) - 65536) >> 10))::BIGINT, (56320 + ((unicode(c) - 65536) & 1023))::BIGINT] ELSE [unicode(c)::BIGINT] END))), lambda h, u: xor((h * 33) & 4294967295, u)), 36)) AS qid FROM documents"""
 )
 def question_id(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.question_id(F.substring("text", 1, 40)).alias("qid"))
-
-
-@query()
-def question_id_whole(spark, sf_dir):
-    """Of whole texts; without SQL, tests hold it against a plain version."""
     return table(spark, sf_dir, "documents").select("doc_id", X.question_id(F.col("text")).alias("qid"))
 
 
@@ -393,7 +404,7 @@ def streaming_mastery(spark, sf_dir):
     return last.select("profile", "qid", "x.*").withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
-@query()
+@query("SELECT page_id, md5(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g')) AS digest FROM pages")
 def html_decode(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(signals.html_decoded("html")).alias("digest"))
 
@@ -413,6 +424,10 @@ def coverage_report(spark, sf_dir):
 
 from . import reports  # noqa: E402, F401  its queries are registered too
 
+#: Earlier names.
+for _name in ("question_id", "golden_check", "content_hash", "signal_flags"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

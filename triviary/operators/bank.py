@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import written
 
 # What a question must have.
 REQUIRED = "category type difficulty question correct_answer incorrect_answers options source".split()
@@ -26,7 +27,7 @@ def first_wins(rows: DataFrame, key: Column, order: list) -> DataFrame:
     return rows.withColumn("_key", F.md5(F.coalesce(key, F.lit("")))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
-def fault(q: DataFrame, url: str = r"^https://[a-z0-9.-]+/wiki/\S+$", categories: list[str] = CATEGORIES) -> Column:
+def fault(q: DataFrame, url: str = r"^https://[a-z0-9.-]+/wiki/.", categories: list[str] = CATEGORIES) -> Column:
     """The first rule that a question breaks, in order; null if it is valid."""
     has = lambda c: F.col(c).isNotNull()
     missing = F.filter(F.array(*[F.when(~has(c), F.lit(c)) for c in REQUIRED]), lambda c: c.isNotNull())
@@ -104,9 +105,9 @@ def anchors(wanted: DataFrame, bank: DataFrame, overlay: DataFrame) -> DataFrame
 def batches(rows: DataFrame, order: list, size: int = 20) -> DataFrame:
     """rows with their batch ('b00', ...) and number in it from 1, in a total order.
 
-    Ranks come from a range-partitioned sort and the partitions' counts, so no task holds all rows.
+    Ranks come from a range-partitioned sort, written once with its partitions' numbers, and the partitions' counts, so no task holds all rows.
     """
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    sorted_ = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "batches")
     w = Window.partitionBy("_p").orderBy(*order)
     local = sorted_.withColumn("_i", F.row_number().over(w))
     counts = local.groupBy("_p").agg(F.count("*").alias("_c"))  # one row per partition

@@ -10,7 +10,7 @@ from ..operators.views import table
 CATEGORIES = ["Characters", "Devil Fruits", "Arcs & Story", "Crews & Organizations", "Bounties", "Geography", "Other"]
 LEVELS = ["easy", "medium", "hard", "odd"]
 
-SQL = """quiz AS (SELECT doc_id AS id, 'Which word: ' || substring(text, 1, 60) AS question, w[1:4] AS options, w[1 + doc_id % 4] AS correct_answer,
+SQL = """quiz AS (SELECT doc_id AS id, 'Which word: ' || text AS question, w[1:4] AS options, w[1 + doc_id % 4] AS correct_answer,
  list_filter(w[1:4], lambda x, i: i <> 1 + doc_id % 4) AS incorrect_answers,
  CASE WHEN doc_id % 7 = 0 THEN 'http://site.example/' || doc_id ELSE 'https://site.example/wiki/' || doc_id END AS source,
  CASE WHEN doc_id % 11 = 0 THEN 'single' ELSE 'multiple' END AS type,
@@ -20,18 +20,14 @@ SQL = """quiz AS (SELECT doc_id AS id, 'Which word: ' || substring(text, 1, 60)
  FROM (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents))"""
 
 
-#: The same with whole texts.
-WHOLE_SQL = SQL.replace("substring(text, 1, 60)", "text")
-
-
-def questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """One question per document: its text, or the first 60 characters, its first words as options, one of them right; some break a rule."""
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per document: its text, its first words as options, one of them right; some break a rule."""
     d = table(spark, sf_dir, "documents").withColumn("w", F.split("text", " "))
     i = F.col("doc_id")
     options = F.slice("w", 1, 4)
     return d.select(
         i.alias("id"),
-        F.concat(F.lit("Which word: "), F.col("text") if whole else F.substring("text", 1, 60)).alias("question"),
+        F.concat(F.lit("Which word: "), F.col("text")).alias("question"),
         options.alias("options"),
         F.try_element_at("w", (1 + i % 4).cast("int")).alias("correct_answer"),
         F.filter(options, lambda x, n: n != i % 4).alias("incorrect_answers"),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,11 @@ QUESTION = "category STRING, type STRING, difficulty STRING, question STRING, co
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one if that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="triviary-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -69,9 +72,24 @@ def titles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_array(df: DataFrame, path: str, order: list) -> None:
-    """One file that holds one JSON array, for banks that a browser loads; nulls are left out."""
-    one = df.withColumn("_o", F.struct(*order)).select("_o", F.to_json(F.struct(*df.columns)).alias("j"))
-    one.groupBy().agg(F.array_sort(F.collect_list(F.struct("_o", "j"))).alias("r")).select(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One file that holds one JSON array, for banks that a browser loads; nulls are left out.
+
+    Rows are sorted in parallel and pass through the writing task line by line; none holds them all.
+    """
+    lines = written(df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("value"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")), "lines")
+
+    def listed(batches):
+        before = "["
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                out = []
+                for j in b.column(0).slice(a, 1024).to_pylist():
+                    out.append(before + j)
+                    before = ","
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"], pa.string())], names=["value"])
+
+    lines.orderBy("p", "i").select("value").coalesce(1).mapInArrow(listed, "value string").write.mode("overwrite").text(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
