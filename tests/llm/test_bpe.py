@@ -59,3 +59,25 @@ def test_round_trip_rows(spark, library):
     both = bpe.decode(bpe.encode(df.drop("ids"), PATH), PATH)
     assert both.columns == ["doc_id", "text", "ids", "decoded"]
     assert {r.decoded for r in both.where("doc_id = 1").collect()} == {library.decode(library.encode("Hello, World!", add_special_tokens=False).ids, skip_special_tokens=False)}
+
+
+def test_columns_of_the_same_name_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b", [1])], "doc_id long, text string, ids array<int>")
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode(df, PATH)
+    assert bpe.encode(df, PATH, out="tokens").columns == ["doc_id", "text", "ids", "tokens"]
+
+
+def test_the_collector_is_on_again_and_other_models_are_dropped(spark):
+    import gc
+
+    from triviary.llm import common
+
+    with bpe.uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
+    bpe.model(PATH)
+    common.claim("bpe")
+    assert bpe.model.cache_info().currsize == 1
+    common.claim("another")
+    assert bpe.model.cache_info().currsize == 0

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from triviary.llm import langid
@@ -61,3 +62,12 @@ def test_part_of_a_text_that_is_learned_from(spark):
     df = spark.createDataFrame([(1, t, "x")], "doc_id long, text string, lang string")
     size = lambda **kw: len(langid.learn(df, F.lit(True), **kw)[0][1])
     assert (size(), size(part=300), size(part=9000), size(part=9000, sample=1000)) == (5000, 299, 8999, 1000)
+
+
+def test_columns_of_the_same_name(spark):
+    df = spark.createDataFrame([(1, "ab ab", "x", 1.0), (1, "ab ab", "y", 1.0)], "doc_id long, text string, lang string, Score double")
+    samples = langid.learn(df, F.lit(True))
+    assert [name for name, _ in samples] == ["x", "y"]  # one text under two labels is learned for both
+    with pytest.raises(ValueError, match="score"):
+        langid.identify(df, samples)
+    assert langid.identify(df, samples, columns=("a", "b", "c")).columns == [*df.columns, "a", "b", "c"]

@@ -17,6 +17,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import slices
+from .common import claim, free, keeps, slices
 
 #: White space as the vocabulary's normaliser sees it (Unicode White_Space).
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -38,7 +39,7 @@ NOT_SPACE = regex.compile("[\x1c-\x1f]")
 BEYOND = regex.compile("[^\x00-\u024f]")
 NEWER = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 #: Distinct chunks a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NEVER = np.iinfo(np.int64).max
 
 
@@ -371,20 +372,36 @@ class WordBpe:
             return " ".join(self.token[i] for i in ids if 0 <= i < self.n)
 
 
-@lru_cache(maxsize=2)
+@contextmanager
+def uncollected():
+    """Many small tuples and no cycles: the collector would only look at them again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+@lru_cache(maxsize=1)
 def model(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+keeps("bpe", model.cache_clear)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of each text as array<int>."""
     at = df.columns.index(text)
+    free(df, out)
 
     def run(batches):
-        gc.disable()
+        claim("bpe")
         bpe = model(path)
-        for b in slices(batches, at):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(bpe.encode_batch(b.column(at).to_pylist())), pa.list_(pa.int32()))], names=[*b.schema.names, out])
+        for b in slices(batches, at, 4 << 20):
+            with uncollected():
+                ids = pa.array(list(bpe.encode_batch(b.column(at).to_pylist())), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
@@ -392,8 +409,10 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text that each array of ids stands for; null ids count as none."""
     at = df.columns.index(ids)
+    free(df, out)
 
     def run(batches):
+        claim("bpe")
         bpe = model(path)
         for b in batches:
             for i in range(0, b.num_rows, 256):
@@ -412,17 +431,18 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     schema = T.StructType([df.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches):
-        gc.disable()  # many small tuples and no cycles
+        claim("bpe")
         bpe = model(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in slices(batches, 1, 4 << 20):
             n, a, d, flat = [], [], [], []
-            for ids in bpe.encode_batch(b.column(1).to_pylist()):
-                n.append(len(ids))
-                a.append(sha(" ".join(map(bpe.number.__getitem__, ids))))
-                d.append(sha(bpe.decode(ids)))
-                if with_ids:
-                    flat.append(np.array(ids, np.int32))
+            with uncollected():
+                for ids in bpe.encode_batch(b.column(1).to_pylist()):
+                    n.append(len(ids))
+                    a.append(sha(" ".join(map(bpe.number.__getitem__, ids))))
+                    d.append(sha(bpe.decode(ids)))
+                    if with_ids:
+                        flat.append(np.array(ids, np.int32))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             if with_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(flat))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,9 +32,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one if that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="triviary-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
@@ -44,10 +48,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lost executors cost no recomputation of what led to it."""
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lost executors cost no recomputation of what led to it.
+
+    paths: takes the table's path, for those that are removed once what is made of them is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +67,59 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of queries that have ended: Spark keeps them until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from df's columns (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def free(df: DataFrame, *names: str) -> None:
+    """Raises ValueError if df has a column of a name that an operator adds: the names of results can be chosen, so none is renamed silently."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has columns named {', '.join(sorted(clash))}; choose other names for the results")
+
+
+#: What an operator keeps in a worker between its tasks: operator -> what drops it.
+_kept: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Names what drops the memory that an operator keeps in this process."""
+    _kept[name] = drop
+
+
+def claim(name: str) -> None:
+    """An operator begins a task: what other operators keep in this worker is dropped and goes back to the system.
+
+    Workers are used again by later stages, so without this the models of all stages would lie beside each other.
+    """
+    global _owner
+    if _owner == name:
+        return
+    _owner = name
+    for other, drop in _kept.items():
+        if other != name:
+            drop()
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose `column` holds about `most` bytes, so that memory doesn't follow the batch size."""
     for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import claim, slices
 from .words import Words, buffers, shingles, table
 
 #: Bytes of words: ASCII letters and digits, and all bytes of other characters.
@@ -200,7 +200,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     for own in blocks(items, item, item_text, window, block):
 
         def run(batches, own=own):
-            for b in slices(batches, 1):
+            claim("decontaminate")
+            for b in slices(batches, 1, 4 << 20):
                 hit = own.found([(t or "").encode() for t in b.column(1).to_pylist()])
                 ids, most = b.column(2).to_pylist(), b.column(3).to_pylist()
                 for r, found in hit.items():
@@ -217,7 +218,8 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
     for own in blocks(items, item, item_text, window, block):
 
         def run(batches, own=own):
-            for b in slices(batches, at):
+            claim("decontaminate")
+            for b in slices(batches, at, 4 << 20):
                 hit = own.found([(t or "").encode() for t in b.column(at).to_pylist()])
                 yield b.filter(pa.array([i not in hit for i in range(b.num_rows)])) if hit else b
 

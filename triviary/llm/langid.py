@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import claim, free, keeps, slices
 
 BLOCK = 512
 FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -143,20 +143,24 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(samples)
 
 
+keeps("langid", parser.cache_clear)
+
+
 def learn(df: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, sample: int = 40_000, part: int | None = None) -> tuple[tuple[str, bytes], ...]:
     """The languages' samples: at most `rows` texts and `sample` bytes of each, chosen by hash among the rows that `use` allows.
 
     Of each text the first `part` characters are learned from, an eighth of `sample` if not given, so that no long text fills a sample alone.
+    Rows that are equal in key, text and language count once.
     """
     known = df.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull())
     w = Window.partitionBy("lang").orderBy("h", "bytes")
     # only the hash and the length are ranked; texts are fetched for the chosen hashes
-    ranked = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.octet_length(text).alias("bytes")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)
+    ranked = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text), F.col(lang)).alias("h"), F.octet_length(text).alias("bytes")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)
     chosen = {r["h"]: r["r"] for r in ranked.select("h", "r").collect()}
     if not chosen:
         return ()
     part = max(1, sample // 8) if part is None else part
-    h = F.xxhash64(F.col(key), F.col(text))
+    h = F.xxhash64(F.col(key), F.col(text), F.col(lang))
     got = known.where(h.isin(list(chosen))).select(h.alias("h"), F.col(lang).alias("lang"), F.substring(text, 1, part).alias("t")).dropDuplicates(["h"]).collect()
     texts: dict[str, list[tuple[int, bytes]]] = {}
     for r in got:
@@ -170,9 +174,12 @@ def identify(df: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str =
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType()), T.StructField(columns[2], T.DoubleType())])
 
+    free(df, *columns)
+
     def run(batches):
+        claim("langid")
         p = parser(samples)
-        for b in slices(batches, at, 4 << 20):
+        for b in slices(batches, at, 2 << 20):
             got = p.predict(b.column(at).to_pylist())
             cols = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *columns])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import claim, slices, written
 from .graph import components
 from .words import SPACES, buffers, mix, shingles
 
@@ -122,7 +122,8 @@ def sketched(docs: DataFrame, key: str, text: str, width: int, least: float) ->
     schema = T.StructType([docs.schema[key], T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("registers", T.BinaryType())])
 
     def run(batches):
-        for b in slices(batches, 1, 4 << 20):
+        claim("neardup")
+        for b in slices(batches, 1, 2 << 20):
             own = sets([(t or "").encode() for t in b.column(1).to_pylist()], width)
             names = [None if not len(s) else np.array([len(s), s.sum(dtype=U), np.bitwise_xor.reduce(mix(s))], U)[1:].tobytes() + len(s).to_bytes(4, "big") for s in own]
             large = [i for i, s in enumerate(own) if 100 * len(s) >= per * (len(s) + 1)]
@@ -204,6 +205,7 @@ def across(members: DataFrame, least: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
     def run(batches):
+        claim("neardup")
         held, size = [], 0
         for t in whole_groups(batches, ("band", "i", "j")):
             band, i, j, side, node, comp, n = (t.column(c).to_numpy() for c in ("band", "i", "j", "b", "node", "comp", "n"))
@@ -271,6 +273,7 @@ def settled(members: DataFrame, width: int, least: float, rows: int = 2048, size
                         label[label == label[y]] = label[r]
 
     def run(batches):
+        claim("neardup")
         for t in whole_groups(batches, ("cluster", "i", "j")):
             cluster, i, j, side, node, comp, n = (t.column(c).to_numpy() for c in ("cluster", "i", "j", "b", "node", "comp", "n"))
             reg = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint8).reshape(len(node), M)

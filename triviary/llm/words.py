@@ -8,27 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=1)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (BASE, INVERSE):
-        p = np.empty(n, np.uint64)
-        p[0], done = 1, 1
-        while done < n:
-            more = min(done, n - done)
-            p[done : done + more] = p[:more] * np.uint64(pow(b, done, 1 << 64))
-            done += more
-        out.append(p)
-    return out[0], out[1]
+    """The first n powers of BASE and of its inverse; the longest so far are kept."""
+    for i, b in enumerate((BASE, INVERSE)):
+        if len(_powers[i]) < n:
+            p, done = np.empty(n, np.uint64), len(_powers[i])
+            p[:done] = _powers[i]
+            while done < n:
+                more = min(done, n - done)
+                p[done : done + more] = p[:more] * np.uint64(pow(b, done, 1 << 64))
+                done += more
+            _powers[i] = p
+    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
