@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -84,3 +85,79 @@ def test_suffix_arrays():
                 k += 1
             common.append(k)
         assert common_prefixes(t, sa, 10**6, np.array([0])).tolist() == common
+
+
+def brute_passages(rows, words, least):
+    """Passages of whole words inside the runs of strings of `least` bytes that stand in another text."""
+    raws = [(t or "").encode() for _, t in rows]
+    held = {}
+    for d, b in enumerate(raws):
+        for i in range(len(b) - least + 1):
+            held.setdefault(b[i : i + least], set()).add(raws[d])
+    out = []
+    for b in raws:
+        cover = bytearray(len(b))
+        for i in range(len(b) - least + 1):
+            if len(held[b[i : i + least]]) > 1:
+                cover[i : i + least] = b"\1" * least
+        at = [m.span() for m in re.finditer(rb"\S+", b)]
+        whole = [all(cover[x:z]) for x, z in at]
+        n, run = 0, 0
+        for k, ok in enumerate(whole):
+            joined = k and all(cover[at[k - 1][1] : at[k][0]])
+            if not joined:
+                n, run = n + (run >= words), 0
+            run += ok
+        out.append(n + (run >= words))
+    return out
+
+
+def test_passages_of_words(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short, own = text(14), text(7), text(12)
+    rows = [text(30) for _ in range(20)] + [f"{text(9)} {long} {text(8)}", f"{long} {text(4)}", f"{text(6)} {long}", f"{text(5)} {short} {text(9)}", f"{short} {text(3)}", f"{own} {text(5)} {own}", None, "", "x"]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("passages", substrings.F.lit("clash")).repartition(3)
+    got = {r.doc_id: (r.n_removed, r.n_passages) for r in substrings.digests(df, length=400, words=10, least=20).collect()}
+    want = brute_passages(rows, 10, 20)
+    assert [got[i][1] for i in range(len(rows))] == want
+    assert want[20:] == [1, 1, 1, 0, 0, 0, 0, 0, 0]
+    assert {n for n, _ in got.values()} == {0}
+    left = {r.doc_id: r.text for r in substrings.removed(df, length=20, words=10, across=True).collect()}
+    assert [left[i] for i in (23, 24, 25, 26, 27)] == [rows[i][1] for i in (23, 24, 25, 26, 27)]
+    assert all(long not in left[i] for i in (20, 21, 22))
+
+
+def test_long_texts_are_cut_into_windows(spark):
+    """Memory follows the window: a text of 50 MB beside one that shares 500 bytes with it, over the border of two windows."""
+    rnd = random.Random(7)
+    block = bytes(rnd.choices(b"abcdefghijklmnop ", k=1 << 16)).decode()
+    long = "".join(f"{i:08d}" + block for i in range(763))
+    a = 3 * substrings.BUFFER - 250
+    unique = bytes(rnd.choices(b"qrstuvwxyz", k=500)).decode()
+    long = long[:a] + unique + long[a + 500 :]
+    peak = []
+    for own, offset, held in substrings.pieces([long.encode()], substrings.BUFFER, 400):
+        peak.append(sum(map(len, held)))
+    assert max(peak) <= substrings.BUFFER + 399 and len(peak) == -(-len(long) // substrings.BUFFER)
+    df = spark.createDataFrame([(1, long[a - 70_000 : a + 70_000]), (2, "_" * 300 + unique + "!" * 300)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.digests(df).collect()}
+    assert got[2].n_removed == 500 and got[2].n_spans == 1
+
+
+def test_windows_do_not_change_the_result(spark, monkeypatch):
+    for seed in (2, 3):
+        rows = corpus(seed)
+        monkeypatch.setattr(substrings, "BUFFER", 64)
+        parts = {}
+        for own, offset, held in substrings.pieces([(t or "").encode() for _, t in rows], 64, 40):
+            bounds = np.concatenate([[0], np.cumsum(list(map(len, held)))])
+            text, low, high, h, ctx = substrings.anchors(np.frombuffer(b"".join(held), np.uint8), bounds, 40, 20)
+            for k, x, z in zip(text.tolist(), low.tolist(), high.tolist()):
+                parts.setdefault(own[k], []).append((x - int(bounds[k]) + offset[k], z - int(bounds[k]) + offset[k]))
+        for i, (_, t) in enumerate(rows):
+            n = len((t or "").encode())
+            starts = sorted(s for a, z in parts.get(i, []) for s in range(a, z - 39))
+            assert starts == list(range(max(0, n - 39)))  # every string of 40 bytes has one anchor

@@ -44,7 +44,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.digests(table(spark, sf_dir, "documents"))
+    return substrings.digests(table(spark, sf_dir, "documents"), words=substrings.WORDS)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
