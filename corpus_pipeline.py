@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triviary.llm import bpe, decontaminate, langid, neardup, queries, substrings
-from triviary.llm.common import ship, written
+from triviary.llm.common import ship, unused, written
 
 #: A text of more phrases per 100 characters than this is in none of the learned languages: a phrase is two symbols or less.
 MOST_PHRASES = 50.0
@@ -18,25 +18,27 @@ MOST_PHRASES = 50.0
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters, and those that no learned language explains."""
     samples = langid.learn(docs, ~F.coalesce(queries.held_out(), F.lit(False)))
-    named = langid.identify(docs, samples, columns=("_lang", "_score", "_rate"))
-    return named.where((F.col("_lang") != "und") & (F.col("_rate") <= MOST_PHRASES)).select(*docs.columns)
+    lang, score, rate = unused(docs, "lang_pred", "score", "rate")
+    named = langid.identify(docs, samples, columns=(lang, score, rate))
+    return named.where((F.col(lang) != "und") & (F.col(rate) <= MOST_PHRASES)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one of least doc_id; repeated rows count as one."""
     found = neardup.near_duplicates(docs, width=5)
     least = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
-    keep = least.unionByName(found.where("group is null").select("doc_id", "th")).distinct().toDF("_id", "_th")
-    same = docs.join(keep, docs.doc_id.eqNullSafe(keep._id) & F.xxhash64("text").eqNullSafe(keep._th), "left_semi").select(*docs.columns)
+    one, th = unused(docs, "id", "th")
+    keep = least.unionByName(found.where("group is null").select("doc_id", "th")).distinct().toDF(one, th)
+    same = docs.join(keep, docs.doc_id.eqNullSafe(keep[one]) & F.xxhash64(docs.text).eqNullSafe(keep[th]), "left_semi").select(*docs.columns)
     return same if found.groupBy("doc_id", "th").count().where("count > 1").isEmpty() else same.dropDuplicates()
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes and more that occur again; every document stays, with what is left of its text.
+    """Cuts passages of over 50 words that stand in another document too; every document stays, with what is left of its text.
 
-    Repeated passages of under 400 bytes stay, also of over 50 words if these are short.
+    Passages are made of repeated strings of 200 bytes and more: 51 words of natural text are longer.
     """
-    return substrings.removed(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return substrings.removed(docs, length=substrings.LEAST, words=substrings.WORDS, across=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
