@@ -189,3 +189,21 @@ def test_gloss_leaks_reach_the_cascade(spark):
     assert (seen.first().gloss.strip(), seen.first().prominence, seen.first().article_len) == ("Clothes Fruit", 2, None)
     got = signals.flags(signals.attested(seen, signals.vocabulary(f, q))).first()
     assert "gloss_leak" in got.flags and "gloss_leak" not in got.guessability_flags and "unattested_option" in got.flags
+
+
+def test_a_load_that_fails_is_tried_again(spark, tmp_path):
+    calls = []
+
+    def load():
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("offline")
+        return spark.range(3)
+
+    with pytest.raises(OSError):
+        tables.remembered(spark, "bank", load)
+    assert tables.remembered(spark, "bank", load).count() == tables.remembered(spark, "bank", load).count() == 3
+    assert len(calls) == 2
+    tables.remembered(spark, "bank", load).unpersist()
+    (tmp_path / "f").write_bytes(b"abc")
+    assert tables.file_md5(spark, str(tmp_path / "f")).first().md5 == "900150983cd24fb0d6963f7d28e17f72"

@@ -358,3 +358,38 @@ def formats(spark, sf_dir):
 def batch_manifest(spark, sf_dir):
     rows = checks.batches(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"]).select("batch", "n", F.concat_ws(":", "conv_id", "turn").alias("hash"), F.lit(None).cast("string").alias("key"))
     return checks.manifest(rows, ["a"]).select("batch", F.lit(20).alias("size"), F.md5(F.array_join(F.transform("items", lambda x: x["hash"]), ",")).alias("items"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 < 2 THEN 'u' || page_id END AS image, CASE WHEN page_id % 5 < 2 THEN 'found' WHEN page_id % 5 < 4 THEN 'none' ELSE 'not asked' END AS image_state FROM pages")
+def image_overlay(spark, sf_dir):
+    """A known image, known to have none, never asked for."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("T"), "page_id").alias("t"))
+    cache = p.where("page_id % 5 < 4").select(F.col("t").alias("title"), F.when(F.col("page_id") % 5 < 2, F.concat(F.lit("u"), "page_id")).alias("url"))
+    return checks.with_images(p, cache, "t").select("page_id", "image", "image_state")
+
+
+@query("SELECT 'A' || c_custkey AS title, CASE WHEN c_custkey % 2 = 0 THEN 'url' || (c_custkey + 1) WHEN c_custkey % 3 = 0 THEN 'url' || c_custkey END AS url FROM customer")
+def alias_resolution(spark, sf_dir):
+    """Titles that redirect to others, of several redirects the last, and titles that are found themselves."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k, F.concat(F.lit("A"), k).alias("title"))
+    to = c.where(k % 2 == 0)
+    aliases = to.select(F.col("title").alias("alias"), F.lit("old").alias("title"), F.lit(1).alias("ord")).unionByName(to.select(F.col("title").alias("alias"), F.concat(F.lit("B"), k + 1).alias("title"), F.lit(2).alias("ord")))
+    found = to.select(F.concat(F.lit("B"), k + 1).alias("title"), F.concat(F.lit("url"), k + 1).alias("url")).unionByName(c.where((k % 2 == 1) & (k % 3 == 0)).select("title", F.concat(F.lit("url"), k).alias("url")))
+    return tables.resolved(c.select("title"), aliases, found)
+
+
+@query(f"WITH {quiz.SQL} SELECT id, md5((id % 20 + 1) || '. ' || question || chr(10) || array_to_string(list_transform(options, lambda o, i: '   ' || ['A', 'B', 'C', 'D'][i] || ') ' || o), chr(10))) AS digest FROM quiz")
+def rendered_items(spark, sf_dir):
+    """Numbered questions with lettered options, as raters read them."""
+    return quiz.questions(spark, sf_dir).select("id", F.md5(checks.rendered(F.col("id") % 20 + 1, F.col("question"), F.col("options"))).alias("digest"))
+
+
+@query("SELECT event_id AS id, replace(trim(v), ',', '') AS number, CASE WHEN v LIKE '%twelve%' THEN TRUE ELSE FALSE END AS is_word, u AS unit FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '1,' || (100 + event_id % 900) || ' Berries' WHEN 1 THEN 'twelve of them' ELSE (event_id % 50)::VARCHAR END AS said, CASE event_id % 3 WHEN 0 THEN '1,' || (100 + event_id % 900) WHEN 2 THEN (event_id % 50)::VARCHAR END AS v, CASE event_id % 3 WHEN 0 THEN 'berries' WHEN 2 THEN '' END AS u FROM events)")
+def split_numbers(spark, sf_dir):
+    """Values and units of answers, and whether these are words for numbers."""
+    i = F.col("event_id")
+    said = F.when(i % 3 == 0, F.concat(F.lit("1,"), 100 + i % 900, F.lit(" Berries"))).when(i % 3 == 1, "twelve of them").otherwise((i % 50).cast("string"))
+    e = table(spark, sf_dir, "events").select(i.alias("id"), said.alias("said"))
+    n = X.split_number(F.col("said"))
+    return e.select("id", n["value"].cast("bigint").cast("string").alias("number"), X.is_number_word(F.col("said")).alias("is_word"), n["unit"].alias("unit"))

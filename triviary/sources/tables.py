@@ -172,3 +172,14 @@ def verdicts(spark: SparkSession, glob: str) -> DataFrame:
 
 def file_md5(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
+
+
+_remembered: dict[tuple[str, str], DataFrame] = {}
+
+
+def remembered(spark: SparkSession, name: str, load: Callable[[], DataFrame]) -> DataFrame:
+    """What load() gives, cached and given again to all who ask by this name in the application; a load that fails isn't remembered."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _remembered:
+        _remembered[key] = load().cache()
+    return _remembered[key]
