@@ -1,4 +1,8 @@
-from triviary.llm.extract import Page, extract, host_of
+import math
+import random
+from collections import Counter
+
+from triviary.llm.extract import BLOCK, Page, extract, host_of
 
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href='/'>Home</a></nav>{body}<footer>foot</footer></body></html>"
 
@@ -47,3 +51,50 @@ def test_copied_articles_stay(spark):
 
 def test_hosts():
     assert host_of("https://user@WWW.a.example:80/x?y") == "www.a.example" and host_of("//b.example") == "b.example" and host_of(None) == "" and host_of("nothing") == ""
+
+
+def brute_tree(rows, low=0.3, least=4):
+    """Contents of low importance of each host, from the definition, and the texts without them."""
+    pages = [(host_of(u), Page(h or "")) for _, u, h in rows]
+    seen = {}
+    own = lambda p: [e for e in p.elements if e.last > e.first and e.tag in BLOCK and not e.noise and e.parent and e.tag not in ("body", "article", "main")]
+    content = lambda p, e: (tuple(e.kids), tuple(t for t, _, _ in p.blocks[e.first : e.last]))
+    for host, p in pages:
+        different = tuple(t for t, e, _ in p.blocks if not e.noise)
+        for e in own(p):
+            seen.setdefault((host, e.path), set()).add((different, content(p, e)))
+    bad = set()
+    for path, held in seen.items():
+        m = len({d for d, _ in held})
+        if m < least:
+            continue
+        styles = Counter(style for _, style in {(d, c[0]) for d, c in held})
+        n = sum(styles.values())
+        entropy = -sum(x / n * math.log(x / n, m) for x in styles.values())
+        for c in {c for _, c in held}:
+            w = 0.9 ** len(c[0])
+            if (1 - w) * entropy + w * (1 - math.log(sum(x == c for _, x in held), m)) < low:
+                bad.add((*path, c))
+    out = []
+    for host, p in pages:
+        gone = {i for e in own(p) if (host, e.path, content(p, e)) in bad for i in range(e.first, e.last)}
+        main = any(e.main and not e.noise for _, e, _ in p.blocks)
+        out.append("\n\n".join(t for i, (t, e, links) in enumerate(p.blocks) if i not in gone and not e.noise and (e.main or not main and links < 0.8)))
+    return out
+
+
+def test_against_the_definition(spark):
+    rnd = random.Random(0)
+    word = lambda: rnd.choice("alpha beta gamma delta omega".split())
+    rows = []
+    for i in range(90):
+        host = f"h{i % 4}.example"
+        story = "".join(f"<p>{word()} {word()} {rnd.randint(0, 60)}</p>" for _ in range(rnd.randint(1, 3)))
+        own = f"<div class='end'><p>Written for {host}</p></div>" if rnd.random() < 0.9 else "<div class='end'><span>x</span><p>Guest</p></div>"
+        body = f"<article><h1>{word()}</h1>{story}{own}</article>" if i % 3 else f"<div class='s'>{story}</div>{own}"
+        rows.append((i, f"https://{host}/{i}", f"<html><body><div class='top'><p>Welcome to {host}</p></div>{body}<footer>{i}</footer></body></html>"))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(90)] == brute_tree(rows)
+    # the tree alone removes what a site puts into its articles and beside them, and leaves what one page says
+    assert not any("Written for" in t or "Welcome" in t for t in got.values())
+    assert any("Guest" in t for t in got.values())

@@ -7,8 +7,9 @@ an element with l children weighs them (1 - g^l) : g^l, g = 0.9. A branch whose
 or more that have the path, is noise and is cut from the page. Pages with the same text count once, so copied articles don't become noise.
 
 A priori importance: elements whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert, form or comment
-section have none; what <article> or <main> holds beside such elements is always kept, and alone if there is one. A
-block of a page without them that is mostly links is a menu.
+section have none, as such parts may differ from page to page and then look important to the tree; what <article> or <main> holds is the
+page's content and the only one if there is one. The tree judges the elements inside it like all others, so a line that a site puts into
+each of its articles goes too. A block of a page without <article> and <main> that is mostly links is a menu.
 
 Statistics cover all pages of all hosts and are pre-aggregated per task. Cut branches are kept as 64-bit hashes; up to `held` of them go
 to every task, more are joined to the pages by page.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 # fixed values: HTML's elements by kind
@@ -170,7 +171,7 @@ class Page:
     def features(self, host: str) -> Iterator[tuple[Element, int, int, int, int]]:
         """Elements that the statistics judge, with the hashes of host and path, style, and path, style and content; and the number of children."""
         for e in self.elements:
-            if e.last > e.first and e.tag in BLOCK and not e.noise and not e.main and e.parent:
+            if e.last > e.first and e.tag in BLOCK and not e.noise and e.parent and e.tag not in ("body", "article", "main"):
                 style = " ".join(e.kids)
                 yield e, h64(host, e.path), h64(style), h64(host, e.path, style, *(t for t, _, _ in self.blocks[e.first : e.last])), len(e.kids)
 
@@ -180,7 +181,7 @@ class Page:
     def text(self, host: str, cut: set[int] | frozenset[int]) -> str:
         main = any(e.main and not e.noise for _, e, _ in self.blocks)
         out = [False] * len(self.blocks)
-        if not main and cut:
+        if cut:
             for e, _, _, key, _ in self.features(host):
                 if key in cut:
                     out[e.first : e.last] = [True] * (e.last - e.first)
@@ -212,7 +213,7 @@ def branches(pages: DataFrame, key: str, url: str, html: str, by_page: bool = Fa
 
 def noise(found: DataFrame, low: float, pages: int) -> DataFrame:
     """(content): hashes of branches whose importance is under `low`."""
-    one = found.select("path", "style", "kids", "content", "page").distinct()
+    one = written(found.select("path", "style", "kids", "content", "page").distinct(), "branches")  # pages are parsed once for all that is counted
     m = one.groupBy("path", "page").agg(F.lit(1).alias("x")).groupBy("path").agg(F.count("*").alias("m")).where(F.col("m") >= pages)
     styles = one.groupBy("path", "style", "page").agg(F.lit(1).alias("x")).groupBy("path", "style").agg(F.count("*").alias("s"))
     total = styles.groupBy("path").agg(F.sum("s").alias("all"), F.sum(F.col("s") * F.log("s")).alias("slogs"))
