@@ -59,3 +59,58 @@ def test_held_out_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     good = got.where("held_out").join(labels, "doc_id").where("quality = 1 and toxic = 0")
     assert good.agg(F.avg(F.col("selected").cast("int"))).first()[0] > 0.9
+
+
+def test_fit_is_the_maximum_of_the_likelihood():
+    """The penalised likelihood, written out, has no gradient where fit() ends, and its thresholds are in order."""
+    rows = rated(120, 3)
+    texts, grades = [t.encode() for _, t, _ in rows], np.array([g for *_, g in rows])
+    m = Q.fit(texts, grades, buckets=1 << 8, steps=4000, ridge=0.05, least=1, signal=0)
+    doc, feat, _ = Q.features(texts, 1 << 8)
+    x = np.zeros((len(texts), len(m.weights)))
+    x[doc, feat] = 1
+
+    def loss(w, cuts):
+        up = [np.ones(len(texts)), *[1 / (1 + np.exp(c - x @ w)) for c in cuts], np.zeros(len(texts))]
+        return -np.mean([np.log(up[g][i] - up[g + 1][i]) for i, g in enumerate(grades)]) + 0.05 / 2 * (w**2).sum()
+
+    best = loss(m.weights, m.cuts)
+    used = np.flatnonzero(x.any(axis=0))[::17]
+    for j in [*used.tolist(), "low", "high"]:
+        for step in (-0.05, 0.05):
+            w, c = m.weights.copy(), m.cuts.copy()
+            if j == "low":
+                c[0] += step
+            elif j == "high":
+                c[1] += step
+            else:
+                w[j] += step
+            assert loss(w, c) > best - 1e-6
+
+
+def test_columns_of_the_same_name_are_refused_or_renamed(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "a b", 0.5)], "doc_id long, text string, P_Good double")
+    model = Q.fit([b"a"], np.array([0]), buckets=1 << 8)
+    with pytest.raises(ValueError, match="p_good"):
+        Q.score(docs, model)
+    assert Q.score(docs, model, columns=("e", "p", "s")).columns == ["doc_id", "text", "P_Good", "e", "p", "s"]
+
+
+def test_words_that_tell_nothing_have_no_weight():
+    rows = rated(600, 5)
+    m = Q.fit([t.encode() for _, t, _ in rows], np.array([g for *_, g in rows]), buckets=1 << 14)
+    at = lambda w: int(Q.features([w.encode()], 1 << 14)[1][0])
+    assert m.weights[at("idiot")] < -1 > m.weights[at("moron")]
+    assert sum(m.weights[at(f"w{i}")] != 0 for i in range(200)) < 10
+
+
+def test_toxic_documents_are_held_out_and_found(spark):
+    from triviary.llm import queries
+
+    got = queries.op7_quality(spark, "/root/testdata/sf0.1").where("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    share = got.join(labels, "doc_id").groupBy("toxic", "quality").agg(F.avg(F.col("selected").cast("int")).alias("x")).collect()
+    by = {(r.toxic, r.quality): r.x for r in share}
+    assert by[0, 1] > 0.98 and by[1, 1] < 0.1

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import claim, free, slices
 from .decontaminate import INSIDE, UPPER
 from .words import buffers, table
 
@@ -73,11 +73,27 @@ class Model:
         return sigmoid(score[:, None] - self.cuts[None, :]) * (words > 0)[:, None]
 
 
-def fit(texts: list[bytes], grades: np.ndarray, buckets: int = 1 << 18, steps: int = 200, ridge: float = 5e-4, least: int = 3) -> Model:
-    """Maximum likelihood with a ridge, by Adam on the whole sample; words in fewer than `least` texts have no weight."""
+def telling(doc: np.ndarray, feat: np.ndarray, grades: np.ndarray, size: int) -> np.ndarray:
+    """How far each feature's texts depart from the sample, in standard deviations of chance: in their mean grade or in the share of one grade."""
+    count, most = np.maximum(np.bincount(feat, minlength=size), 1), np.zeros(size)
+    for y in (grades.astype(float), *(grades == g for g in range(int(grades.max(initial=0)) + 1))):
+        off = y - np.mean(y)
+        if (spread := off.std()) > 0:
+            most = np.maximum(most, np.abs(np.bincount(feat, off[doc], minlength=size)) / (spread * np.sqrt(count)))
+    return most
+
+
+def fit(texts: list[bytes], grades: np.ndarray, buckets: int = 1 << 18, steps: int = 200, ridge: float = 1e-4, least: int = 3, signal: float = 4.0) -> Model:
+    """Maximum likelihood with a ridge, by Adam on the whole sample.
+
+    Words in fewer than `least` texts have no weight, nor have those whose texts are graded like any others (within `signal` standard deviations): there are
+    far more words than rated texts, and by chance alone some would tell every one of these apart. Bins of style always count.
+    """
     doc, feat, _ = features(texts, buckets)
     n, k = len(texts), int(grades.max(initial=0))
     known = np.bincount(feat, minlength=buckets + 3 * BINS) >= least
+    if n and signal > 0:
+        known &= (telling(doc, feat, grades, len(known)) >= signal) | (np.arange(len(known)) >= buckets)
     keep = known[feat]
     doc, feat = doc[keep], feat[keep]
     used, at = np.unique(feat, return_inverse=True)
@@ -119,14 +135,16 @@ def learn(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
     return fit([r[2].encode() for r in got], np.array([r[1] for r in got], np.int64), **options)
 
 
-def score(df: DataFrame, model: Model, text: str = "text", good: int = 2, least: float = 0.5) -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text", good: int = 2, least: float = 0.5, columns: tuple[str, str, str] = ("expected_grade", "p_good", "selected")) -> DataFrame:
     """df with expected_grade, p_good (probability of a grade of `good` or more) and selected (p_good at least `least`)."""
     at = df.columns.index(text)
     sc = df.sparkSession.sparkContext.broadcast(model)  # 2 MB at the default number of buckets
-    names = ["expected_grade", "p_good", "selected"]
+    names = list(columns)
+    free(df, *names)
     schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
 
     def run(batches):
+        claim("quality")
         m = sc.value
         for b in slices(batches, at, 4 << 20):
             tails = m.tails([(t or "").encode() for t in b.column(at).to_pylist()])
