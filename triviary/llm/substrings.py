@@ -307,8 +307,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     found = written(anchored(own, length, gram), "anchors", passing)
     apart = F.min("u") != F.max("u") if across else F.lit(True)
     per_anchor = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed"), apart.alias("apart")).where("n > 1 and apart")
+    per_anchor = written(per_anchor.select("h", "n", "mixed"), "repeats", passing)  # a join of tables can be split at a hot anchor, one of sums can't
     places = written(found.join(per_anchor, "h").select("h", "ctx", "u", "s", "e", "mixed", "n"), "places", passing)
-    remove(docs.sparkSession, passing.pop(0))
+    while len(passing) > 1:
+        remove(docs.sparkSession, passing.pop(0))
     swept(docs.sparkSession)
     sure, mixed = places.where("not mixed").select("u", "s", "e"), places.where("mixed")
     firsts = [F.first(c).alias(c) for c in ("u", "s", "e", "n")]
