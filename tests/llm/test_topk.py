@@ -42,3 +42,12 @@ def test_odd_rows(spark):
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2**24 + i * 4096), float(-(2**23) + i)], None) for i in range(45)]
     assert run(spark, rows, k=3) == brute(rows, 3)
+
+
+def test_blocks_that_no_query_reaches_are_not_sent(spark):
+    """Bounds before the shuffle lose nothing: long, short and zero vectors, zero queries, many blocks."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * (50 if i % 7 == 0 else 0.05)).tolist(), None) for i in range(400)] + [(400, [0.0] * 6, None), (401, [0.0] * 6, None), (420, [1e-3] * 6, None)]
+    assert run(spark, rows, k=3, block=8, head=8, stripe=2) == brute(rows, 3)
+    assert topk.shortest(np.array([2.0, 4.0]), np.array([10.0, 12.0])) <= 3.0 < topk.shortest(np.array([2.0]), np.array([10.0]))
+    assert topk.shortest(np.array([0.0, 1.0]), np.array([-np.inf, 5.0])) == -np.inf

@@ -16,6 +16,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -107,10 +109,18 @@ def packed(df: DataFrame, size: int) -> DataFrame:
                     part = m[i : i + size]
                     row = {"dim": d, "n": len(part), "longest": float(np.linalg.norm(part, axis=1).max(initial=0)), "ids": ids[rows[i : i + size]].astype(np.int64).tobytes(), "vs": part.tobytes()}
                     if extra:
-                        row["starts"] = b.column("start").to_numpy(zero_copy_only=False)[rows[i : i + size]].astype(np.float64).tobytes()
-                    yield pa.RecordBatch.from_pylist([row], pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("vs", pa.binary()), *([("starts", pa.binary())] if extra else [])]))
+                        start = b.column("start").to_numpy(zero_copy_only=False)[rows[i : i + size]].astype(np.float64)
+                        row |= {"starts": start.tobytes(), "reach": shortest(np.linalg.norm(part, axis=1), start)}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("vs", pa.binary()), *([("starts", pa.binary()), ("reach", pa.float64())] if extra else [])]))
+
+    return df.mapInArrow(run, "dim int, n int, longest double, ids binary, vs binary" + ", starts binary, reach double" * extra)
+
 
-    return df.mapInArrow(run, "dim int, n int, longest double, ids binary, vs binary" + ", starts binary" * extra)
+def shortest(norm: np.ndarray, need: np.ndarray) -> float:
+    """A length that no vector falls short of which can reach what one of these queries needs; with room for rounding."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        least = np.where(need <= 1e-6, -np.inf, (need - 1e-6) / (norm * (1 + 1e-9)))
+    return float(np.nextafter(least.min(initial=np.inf) * (1 - 1e-12), -np.inf))
 
 
 def top_k(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0, block: int = 4096, head: int = 4096, sample: int = 4096, stripe: int = 16) -> DataFrame:
@@ -154,17 +164,19 @@ def _one_dimension(base: DataFrame, queries: DataFrame, dim: int, k: int, block:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start)], names=[*b.schema.names, "start"])
 
     asked = packed(queries.mapInArrow(begin, "id long, dim int, v array<double>, start double"), 1024)
-    asked = written(asked.withColumn("qb", F.monotonically_increasing_id()).select("qb", "ids", "vs", "starts"), "queries")
+    asked = written(asked.withColumn("qb", F.monotonically_increasing_id()).select("qb", "ids", "vs", "starts", "reach"), "queries")
     total = base.count()
     parts = max(1, -(-total // (block * stripe)))
     ordered = base.repartitionByRange(int(parts), F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").select("id", "dim", "v")
     blocks = packed(ordered, block).withColumn("stripe", F.spark_partition_id()).select("stripe", "longest", F.col("ids").alias("x_ids"), F.col("vs").alias("x_vs"))
-    # every block of queries meets every stripe: a join of blocks on the query block's number
-    names = asked.select("qb").agg(F.sort_array(F.collect_list("qb")).alias("all"))  # one number per 1024 queries
-    numbers = names.first()[0] or []
-    if not numbers:
+    # a block of vectors is sent to those blocks of queries that its longest one can reach (Cauchy-Schwarz): two numbers per 1024 queries decide
+    # that before anything is shuffled, so what the bound excludes never travels
+    reach = asked.agg(F.sort_array(F.collect_list(F.struct("reach", "qb"))).alias("all")).first()[0]
+    if not reach:
         return base.sparkSession.createDataFrame([], OUT)
-    pairs = blocks.withColumn("qb", F.explode(F.array(*[F.lit(x) for x in numbers]) if len(numbers) < 256 else F.lit(numbers))).join(asked, "qb")
+    every = F.from_json(F.lit(json.dumps([[str(r["reach"]), r["qb"]] for r in reach])), "array<array<string>>")
+    met = F.transform(F.filter(every, lambda r: r[0].cast("double") <= F.col("longest")), lambda r: r[1].cast("bigint"))
+    pairs = blocks.withColumn("qb", F.explode(met)).join(asked.drop("reach"), "qb")
 
     def meet(key, group):
         first = {c: group.column(c)[0].as_py() for c in ("ids", "vs", "starts")}
