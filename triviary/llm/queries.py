@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, langid, neardup, quality, substrings, topk, warc
+from . import bpe, chat, decontaminate, extract, fim, langid, neardup, periodic, quality, substrings, topk, warc
 from .common import ship
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
@@ -77,9 +77,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """op11's contract: of one document in ten, by crc32 of its id, the words from a place on repeat the first p of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("int(1 + floor((n - a) / (3 + g % 8)))"))
+    again = "array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)), ' ')"
+    return rows.select("doc_id", F.expr(f"if(n > 0, {again}, text)").alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.collapsed(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")), digests=True)
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(table(spark, sf_dir, "documents"), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_fim": fim.SQL}
