@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, fim, langid, neardup, periodic, quality, substrings, topk, warc
+from . import bpe, chat, decontaminate, extract, fim, fingerprint, langid, neardup, periodic, quality, substrings, topk, warc
 from .common import ship
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
@@ -95,6 +95,10 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.transform(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
