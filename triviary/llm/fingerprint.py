@@ -120,6 +120,7 @@ def clashes(rows: DataFrame, marks: DataFrame, bits: int = 128, small: int = SMA
     shared = written(each.groupBy("a", "b").count().where("count > 1").select("a", "b"), "shared", paths)
     wanted = written(each.join(shared, ["a", "b"]).groupBy("range", "rn").agg(F.collect_set("side").alias("sides")), "wanted", paths)
     n = wanted.count()
+    swept(spark)  # the pass that made the marks has ended: its copy of the texts goes before they move again
     found = None
     if n:
         here = rows.select("range", "rn", "text", "edited").join(F.broadcast(wanted) if n <= small else wanted, ["range", "rn"])
