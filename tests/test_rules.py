@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from triviary.functions import scores
 from triviary.functions import text as X
 from triviary.operators import bank as checks
-from triviary.operators import items, markup, play, ratings, signals
+from triviary.operators import bloom, items, markup, play, ratings, signals
 from triviary.plans import bank
 from triviary.sources import tables
 from triviary.sources.tables import FACT
@@ -191,6 +191,48 @@ def test_gloss_leaks_reach_the_cascade(spark):
     assert "gloss_leak" in got.flags and "gloss_leak" not in got.guessability_flags and "unattested_option" in got.flags
 
 
+def quiz_of(spark, right, *wrong):
+    return spark.createDataFrame([(1, "Who?", right, list(wrong), [right, *wrong], "x", None)], "id int, question string, correct_answer string, incorrect_answers array<string>, options array<string>, subject string, gloss string")
+
+
+def test_titles_of_pages_attest_options(spark):
+    q = quiz_of(spark, "Zoro", "Wado Ichimonji", "Shusui Blade", "The Enma Blade")
+    f = facts(spark, ("Zoro", "character", {}, 1, None))
+    titles = spark.createDataFrame([("wadoichimonji",), ("shusuiblade",), ("enmablade",)], "key string")
+    flagged = lambda t, asked=None: signals.flags(signals.attested(q, signals.vocabulary(f, q, t, asked))).first().flags
+    assert flagged(None) == ["lone_canon_option"]
+    assert flagged(titles) == flagged(titles, q) == []
+    # a key without its article counts among pages alone
+    named = facts(spark, ("Zoro", "character", {"sword": ["Enma Blade"]}, 1, None))
+    known = signals.attested(q, signals.vocabulary(named, q)).first().known
+    assert [k.known for k in known] == [True, False, False, False]
+
+
+def test_other_kinds(spark):
+    f = facts(spark, ("Luffy", "character", {"occupation": ["Captain; Cook (former)", "Hunter"]}, 1, None))
+    q = quiz_of(spark, "Luffy", "Captain", "Cook", "Hunter")
+    seen = signals.attested(q, signals.vocabulary(f, q, asked=q))
+    assert [k.kinds for k in seen.first().known] == [["answer", "character"], *[["field:occupation"]] * 3]
+    assert "cross_domain" in signals.flags(seen).first().flags
+
+
+def test_the_last_fact_of_a_key_counts(spark):
+    q = quiz_of(spark, "Fuku", "a", "b", "c").drop("gloss").withColumn("subject", F.lit("Fuku"))
+    f = facts(spark, ("Fuku", "x", {"ename": ["Zebra"]}, 900, None), ("FUKU!", "y", {"ename": ["Apple"]}, 100, None), ("fuku", "z", {}, 50, None)).withColumn("at", F.element_at(F.create_map(F.lit("x"), F.lit(1), F.lit("y"), F.lit(3), F.lit("z"), F.lit(2)), F.col("kind")))
+    got = signals.with_subjects(q, f, order="at").first()
+    assert (got.article_len, got.gloss.strip()) == (100, "Apple")
+
+
+def test_bloom_filter_keeps_every_key(spark):
+    keys = spark.range(0, 5000, 7).selectExpr("string(id) as k").unionByName(spark.createDataFrame([(None,)], "k string"))
+    rows = spark.range(0, 100_000).selectExpr("string(id) as key", "id")
+    chunks, bits = bloom.made(keys, "k")
+    kept = {r.id for r in bloom.possible(rows, "key", chunks, bits).collect()}
+    assert set(range(0, 5000, 7)) <= kept and len(kept) < 10_000
+    assert bloom.possible(spark.createDataFrame([(None,)], "key string"), "key", chunks, bits).count() == 0
+    assert bloom.joinable(rows, "key", keys.limit(0), "k").count() == 0
+
+
 def test_a_load_that_fails_is_tried_again(spark, tmp_path):
     calls = []
 

@@ -316,9 +316,10 @@ UNIT = "lower(trim(regexp_extract(x, '^\\s*([0-9,.]+)\\s*(.*)$', 2)))"
 
 @query(
     f"""WITH {views.SQL['entities']}, {quiz.SQL}, q AS (SELECT *, {WORDS.format('question')} AS said, {WORDS.format('correct_answer')} AS own, flatten(list_transform(incorrect_answers, lambda x: {WORDS.format('x')})) AS shared FROM quiz WHERE correct_answer IS NOT NULL),
- vocab AS (SELECT DISTINCT k FROM (SELECT {K('title')} AS k FROM entities UNION ALL SELECT {K('origin')} FROM entities UNION ALL SELECT {K('correct_answer')} FROM q) WHERE k <> ''),
+ kinds AS (SELECT DISTINCT k FROM (SELECT {K('title')} AS k FROM entities UNION ALL SELECT {K('origin')} FROM entities UNION ALL SELECT {K('correct_answer')} FROM q)),
+ titles AS (SELECT DISTINCT k FROM (SELECT {K("string_split(url, '/')[-1]")} AS k FROM pages) WHERE k <> ''),
  o AS (SELECT id, o, correct_answer FROM (SELECT id, correct_answer, unnest(options) AS o FROM q)),
- lost AS (SELECT id, COUNT(*) FILTER (o <> correct_answer AND a.k IS NULL AND b.k IS NULL) AS lost FROM o LEFT JOIN vocab a ON {K('o')} = a.k LEFT JOIN vocab b ON regexp_replace(lower(regexp_replace(o, '(?i)^the\\s+', '')), '[^a-z0-9]', '', 'g') = b.k GROUP BY id),
+ lost AS (SELECT id, COUNT(*) FILTER (o <> correct_answer AND a.k IS NULL AND b.k IS NULL AND c.k IS NULL) AS lost FROM o LEFT JOIN kinds a ON {K('o')} = a.k LEFT JOIN titles b ON {K('o')} = b.k LEFT JOIN titles c ON regexp_replace({K('o')}, '^the', '') = c.k GROUP BY id),
  f AS (SELECT q.*, lost, list_filter(own, lambda w: NOT list_contains(shared, w)) AS mine, list_distinct(list_transform(options, lambda x: regexp_replace({K('x')}, '[0-9]+', '', 'g'))) AS stems,
  len(list_filter(options, lambda x: NOT {IS_NUM.format(x='x')})) = 0 OR (len(list_filter(options, lambda x: {NUMBER} IS NULL)) = 0 AND len(list_distinct(list_transform(options, lambda x: {UNIT}))) = 1) AS ladder FROM q JOIN lost USING (id)),
  g AS (SELECT *, len(list_filter(options, lambda x: NOT {NAMED})) = 0 AND NOT ladder AND NOT (len(stems) = 1 AND stems[1] <> '' AND len(list_filter(options, lambda x: regexp_matches(x, '[0-9]'))) > 0) AS named FROM f),
@@ -330,8 +331,8 @@ UNIT = "lower(trim(regexp_extract(x, '^\\s*([0-9,.]+)\\s*(.*)$', 2)))"
 def signal_cascade(spark, sf_dir):
     q = quiz.questions(spark, sf_dir).where("correct_answer is not null").withColumn("gloss", F.lit(None).cast("string"))
     e = entities(spark, sf_dir).select("title", F.lit("character").alias("kind"), F.create_map(F.lit("origin"), F.array("origin")).alias("fields"))
-    # titles of the bank attest options, so the answers' own documents count as pages
-    flagged = signals.flags(signals.attested(q, signals.vocabulary(e, q)))
+    titles = table(spark, sf_dir, "pages").select(X.norm_key(F.element_at(F.split("url", "/"), -1)).alias("key")).distinct()
+    flagged = signals.flags(signals.attested(q, signals.vocabulary(e, q, titles, q)))
     return flagged.select("id", F.array_join("flags", ",").alias("flags"), F.array_join("guessability_flags", ",").alias("guessability_flags"))
 
 

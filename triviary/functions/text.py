@@ -189,7 +189,7 @@ def cross_domain(kinds: Column, others: Column) -> Column:
     """kinds: of the answer; others: array of the distractors' kinds. The distractors share a kind that the answer lacks entirely."""
     known = (F.size(kinds) > 0) & F.forall(others, lambda k: F.size(k) > 0)
     apart = ~F.exists(others, lambda k: F.arrays_overlap(kinds, k))
-    return known & apart & (F.size(F.aggregate(others, F.element_at(others, 1), F.array_intersect)) > 0)
+    return known & apart & (F.size(F.aggregate(others, F.get(others, 0), F.array_intersect)) > 0)
 
 
 # -- markup and addresses

@@ -13,27 +13,49 @@ from pyspark.sql import types as T
 
 from ..functions import scores
 from ..functions import text as X
+from . import bloom
 
 # The flags that mean that a question can be answered without knowing the fact.
 GUESSABILITY = ["stem_leak", "lone_canon_option", "weak_distractors", "meta_noise_option", "numeric_ladder", "answer_len_outlier"]
 
 
-def vocabulary(facts: DataFrame, answers: DataFrame) -> DataFrame:
-    """(vkey, kinds, page): every key that a title, a part of a field or a right answer names."""
-    part = lambda v: F.trim(F.regexp_replace(v, r"\([^()]*\)", ""))
-    titles = facts.select(X.norm_key(F.col("title")).alias("vkey"), "kind", F.lit(True).alias("page"))
-    values = facts.select("kind", F.explode(F.flatten(F.map_values("fields"))).alias("v")).select("kind", F.explode(F.split("v", "[;,]")).alias("p")).where(F.length(part(F.col("p"))) >= 2)
-    parts = values.select(X.norm_key(part(F.col("p"))).alias("vkey"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("page"))
-    said = answers.select(X.norm_key(F.col("correct_answer")).alias("vkey"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("page"))
-    return titles.unionByName(parts).unionByName(said).where("vkey <> ''").groupBy("vkey").agg(F.collect_set("kind").alias("kinds"), F.max("page").alias("page"))
+def vocabulary(facts: DataFrame, answers: DataFrame, titles: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(vkey, kinds, page, entity): what is known of every key.
+
+    kinds: what facts and answers know the key as, sorted: the kinds of the facts of this title, `field:name` for each field with a part of this key, `answer`.
+    page: titles (key) of all pages hold it; entity: a page or a fact has it as its title. asked: questions; keys that none of their options has are left out early.
+    """
+    part = F.btrim(F.regexp_replace("p", r"\s*\([^()]*\)", ""), F.lit(" ;,."))
+    of = lambda key, kind, page, entity: (key.alias("vkey"), kind.alias("kind"), F.lit(page).alias("page"), F.lit(entity).alias("entity"))
+    titled = facts.select(*of(X.norm_key(F.col("title")), F.col("kind"), False, True))
+    values = facts.select(F.explode("fields").alias("name", "vs")).select("name", F.explode("vs").alias("v")).select("name", F.explode(F.split("v", "[;,]")).alias("p")).select("name", part.alias("part"))
+    parts = values.where(F.length("part") >= 2).select(*of(X.norm_key(F.col("part")), F.concat(F.lit("field:"), "name"), False, False))
+    said = answers.select(*of(X.norm_key(F.col("correct_answer")), F.lit("answer"), False, False))
+    rows = titled.unionByName(parts).unionByName(said)
+    if titles is not None:
+        rows = rows.unionByName(titles.where("key <> ''").select(*of(F.col("key"), F.lit(None).cast("string"), True, True)))
+    rows = rows.where("vkey is not null")
+    if asked is not None:
+        rows = bloom.joinable(rows, "vkey", _probes(asked), "vkey")
+    return rows.groupBy("vkey").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.max("page").alias("page"), F.max("entity").alias("entity"))
+
+
+def _probes(questions: DataFrame) -> DataFrame:
+    """(id, pos, vkey, own): the key of each option, and that without a leading 'the', which names pages alone."""
+    key = X.norm_key(F.col("o"))
+    both = F.array(F.struct(key.alias("vkey"), F.lit(True).alias("own")), F.struct(F.when(F.startswith(key, F.lit("the")), F.substring(key, 4, 1 << 30)).alias("vkey"), F.lit(False).alias("own")))
+    each = questions.select("id", F.posexplode("options").alias("pos", "o")).select("id", "pos", F.explode(both).alias("p"))
+    return each.select("id", "pos", "p.*").where("own or vkey is not null")
 
 
 def attested(questions: DataFrame, vocab: DataFrame) -> DataFrame:
-    """questions with known: array<struct<known, kinds, page>> in the order of the options (a leading 'the' may be left out)."""
-    each = questions.select("id", F.posexplode("options").alias("pos", "o"))
-    probes = each.select("id", "pos", F.explode(F.array_distinct(F.array(X.norm_key(F.col("o")), X.norm_key(F.regexp_replace("o", r"(?i)^the\s+", ""))))).alias("vkey"))
-    hit = probes.join(vocab, "vkey", "left").groupBy("id", "pos").agg(F.count("kinds").alias("c"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), F.coalesce(F.max("page"), F.lit(False)).alias("page"))
-    known = hit.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("c") > 0).alias("known"), "kinds", "page"))).alias("known"))
+    """questions with known: array<struct<known, kinds, page>> in the order of the options; page: whether the option has a page or fact of its own."""
+    own = F.col("own")
+    # a key of some kind or of a page is known; without its article only a page counts
+    named = F.when(own, (F.size("kinds") > 0) | F.col("page")).otherwise(F.col("page"))
+    hit = _probes(questions).join(vocab, "vkey", "left").groupBy("id", "pos")
+    hit = hit.agg(F.coalesce(F.max(named), F.lit(False)).alias("known"), F.coalesce(F.max(F.when(own, F.col("kinds"))), F.array().cast("array<string>")).alias("kinds"), F.coalesce(F.max(own & F.col("entity")), F.lit(False)).alias("page"))
+    known = hit.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "known", "kinds", "page"))).alias("known"))
     return questions.join(known, "id")
 
 
@@ -63,15 +85,18 @@ def flags(q: DataFrame) -> DataFrame:
     return q.withColumn("flags", all_).withColumn("guessability_flags", F.array_intersect("flags", X.literals(GUESSABILITY)))
 
 
-def with_subjects(questions: DataFrame, facts: DataFrame, subject: str = "subject") -> DataFrame:
-    """questions with article_len, prominence, must_know of their subject, and the gloss of their answer, from facts of the same key."""
-    one = facts.groupBy(X.norm_key(F.col("title")).alias("_k")).agg(F.max("article_len").alias("article_len"))
+def with_subjects(questions: DataFrame, facts: DataFrame, subject: str = "subject", order: str | None = None) -> DataFrame:
+    """questions with article_len, prominence, must_know of their subject, and the gloss of their answer, from facts of the same key.
+
+    Of several facts of one key the last in `order` counts, for all of its fields; without an order keys must be unique.
+    """
+    part = lambda name: F.array_join(F.coalesce(F.try_element_at("fields", F.lit(name)), F.array().cast("array<string>")), " ")
+    own = facts.select(X.norm_key(F.col("title")).alias("_k"), F.struct(F.coalesce("article_len", F.lit(0)).alias("article_len"), F.concat_ws(" ", part("ename"), part("meaning"), part("translation")).alias("gloss")).alias("_f"), *([F.col(order).alias("_o")] if order else []))
+    last = own.groupBy("_k").agg((F.max_by("_f", "_o") if order else F.max("_f")).alias("_f"))
     known = X.must_know(F.col(subject))
-    q = questions.join(one, X.norm_key(F.col(subject)) == one["_k"], "left").drop("_k").withColumn("must_know", known)
+    q = questions.join(last.select("_k", "_f.article_len"), X.norm_key(F.col(subject)) == F.col("_k"), "left").drop("_k").withColumn("must_know", known)
     q = q.withColumn("prominence", F.when(F.col("article_len").isNotNull(), scores.prominence(known, F.col("article_len"))).when(known, 2))
-    part = lambda name: F.array_join(F.coalesce(F.try_element_at("fields", F.lit(name)), F.array().cast("array<string>")), " ")
-    gloss = facts.groupBy(X.norm_key(F.col("title")).alias("_a")).agg(F.min(F.concat_ws(" ", part("ename"), part("meaning"), part("translation"))).alias("gloss"))
-    return q.join(gloss, X.norm_key(F.col("correct_answer")) == gloss["_a"], "left").drop("_a")
+    return q.join(last.select(F.col("_k").alias("_a"), "_f.gloss"), X.norm_key(F.col("correct_answer")) == F.col("_a"), "left").drop("_a")
 
 
 def guessable_share(rows: DataFrame) -> DataFrame:

@@ -256,6 +256,57 @@ def difficulty_scores(spark, sf_dir):
     return ratings.scored(items, r, "id").select("id", "score", "tier", "basis", "spread")
 
 
+# -- what is known of options
+
+SET_QUIZ = """facts AS (SELECT title, ['character', 'location', 'devil_fruit'][1 + ord % 3] AS kind, origin || ' (former), The ' || region AS origin, occupation || '; ' || CASE WHEN ord % 2 = 0 THEN 'Cook' ELSE '.x' END AS occupation FROM entities),
+ asked AS (SELECT ord AS id, CASE WHEN ord % 2 = 0 THEN title ELSE occupation END AS correct_answer,
+  CASE ord % 4 WHEN 0 THEN [origin, 'NATION_1', 'NATION_2'] WHEN 1 THEN ['Zzz' || ord, 'The ' || region, 'Cook'] WHEN 2 THEN ['The Page ' || ord, 'the zzz', 'Yyy ' || ord] ELSE ['Customer#000000001', 'BUILDING', 'the the' || ord] END AS incorrect_answers FROM entities)"""
+KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+PART = "trim(regexp_replace(p, '\\s*\\([^()]*\\)', '', 'g'), ' ;,.')"
+
+
+@query(
+    with_views(
+        "entities",
+        body=f""", {SET_QUIZ},
+ titles AS (SELECT DISTINCT k FROM (SELECT {KEY.format("'Page ' || page_id")} AS k FROM pages) WHERE k <> ''),
+ said AS (SELECT {KEY.format('title')} AS k, kind FROM facts UNION SELECT {KEY.format(PART)}, 'field:' || field FROM (SELECT 'origin' AS field, unnest(string_split_regex(origin, '[;,]')) AS p FROM facts UNION ALL SELECT 'occupation', unnest(string_split_regex(occupation, '[;,]')) FROM facts) WHERE length({PART}) >= 2 UNION SELECT {KEY.format('correct_answer')}, 'answer' FROM asked),
+ kinds AS (SELECT k, list_sort(list(kind)) AS kinds FROM said GROUP BY k),
+ entity AS (SELECT k FROM titles UNION SELECT {KEY.format('title')} FROM facts),
+ o AS (SELECT id, i, options[i] AS o FROM (SELECT id, list_prepend(correct_answer, incorrect_answers) AS options, unnest(range(1, 5)) AS i FROM asked)),
+ seen AS (SELECT id, i, COALESCE(kinds, []) AS kinds, kinds IS NOT NULL OR t.k IS NOT NULL OR b.k IS NOT NULL AS known, e.k IS NOT NULL AS page FROM o LEFT JOIN kinds ON {KEY.format('o')} = kinds.k LEFT JOIN titles t ON {KEY.format('o')} = t.k LEFT JOIN titles b ON regexp_replace({KEY.format('o')}, '^the', '') = b.k LEFT JOIN entity e ON {KEY.format('o')} = e.k),
+ own AS (SELECT id, kinds, page FROM seen WHERE i = 1),
+ others AS (SELECT id, COUNT(*) FILTER (NOT known) AS unattested, list(kinds) AS ks, string_agg(known::VARCHAR, ',' ORDER BY i) AS found FROM seen WHERE i > 1 GROUP BY id)
+ SELECT id, unattested, found, page AS is_entity, array_to_string(kinds, ',') AS as_kinds, len(kinds) > 0 AND len(list_filter(ks, lambda k: len(k) = 0)) = 0 AND len(list_filter(ks, lambda k: len(list_intersect(k, kinds)) > 0)) = 0 AND len(list_intersect(list_intersect(ks[1], ks[2]), ks[3])) > 0 AS cross_domain FROM others JOIN own USING (id)""",
+    )
+)
+def attestation(spark, sf_dir):
+    """What facts, answers and the titles of all pages know of every option, and whether the wrong ones are of another kind."""
+    e = views.entities(spark, sf_dir)
+    o = F.col("ord")
+    fields = F.create_map(F.lit("origin"), F.array(F.concat("origin", F.lit(" (former), The "), "region")), F.lit("occupation"), F.array(F.concat("occupation", F.lit("; "), F.when(o % 2 == 0, "Cook").otherwise(".x"))))
+    f = e.select("title", F.element_at(X.literals(["character", "location", "devil_fruit"]), (1 + o % 3).cast("int")).alias("kind"), fields.alias("fields"))
+    wrong = (
+        F.when(o % 4 == 0, F.array("origin", F.lit("NATION_1"), F.lit("NATION_2")))
+        .when(o % 4 == 1, F.array(F.concat(F.lit("Zzz"), o), F.concat(F.lit("The "), "region"), F.lit("Cook")))
+        .when(o % 4 == 2, F.array(F.concat(F.lit("The Page "), o), F.lit("the zzz"), F.concat(F.lit("Yyy "), o)))
+        .otherwise(F.array(F.lit("Customer#000000001"), F.lit("BUILDING"), F.concat(F.lit("the the"), o)))
+    )
+    q = e.select(o.alias("id"), F.when(o % 2 == 0, F.col("title")).otherwise(F.col("occupation")).alias("correct_answer"), wrong.alias("incorrect_answers"))
+    q = q.withColumn("options", F.concat(F.array("correct_answer"), "incorrect_answers"))
+    titles = table(spark, sf_dir, "pages").select(X.norm_key(F.concat(F.lit("Page "), "page_id")).alias("key")).distinct()
+    seen = signals.attested(q, signals.vocabulary(f, q, titles, q))
+    own, others = F.get("known", 0), F.slice("known", 2, 3)
+    return seen.select(
+        "id",
+        F.size(F.filter(others, lambda k: ~k["known"])).cast("bigint").alias("unattested"),
+        F.array_join(F.transform(others, lambda k: k["known"].cast("string")), ",").alias("found"),
+        own["page"].alias("is_entity"),
+        F.array_join(own["kinds"], ",").alias("as_kinds"),
+        X.cross_domain(own["kinds"], F.transform(others, lambda k: k["kinds"])).alias("cross_domain"),
+    )
+
+
 @query(
     with_views(
         "entities",
