@@ -423,7 +423,7 @@ def coverage_report(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n"), known.alias("covered"), F.round(100 * known / F.count("*"), 1).alias("share"))
 
 
-from . import reports  # noqa: E402, F401  its queries are registered too
+from . import reports, stores  # noqa: E402, F401  their queries are registered too
 
 #: Earlier names.
 for _name in ("question_id", "golden_check", "content_hash", "signal_flags"):

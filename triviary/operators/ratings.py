@@ -19,8 +19,14 @@ def merged(ratings: DataFrame, item: str = "item") -> DataFrame:
     return one.withColumn("penalty", F.bround(30 * F.col("votes") / F.col("raters"), 0).cast("int"))
 
 
+def quoted(c: Column) -> Column:
+    """In single quotes, or double ones if it holds single ones alone, as names are shown in reports."""
+    plain = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(plain, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def scored(items: DataFrame, ratings: DataFrame, key: str) -> DataFrame:
-    """items (key, authored, guessability_flags, must_know) with score, tier, basis and reasons."""
+    """items (key, authored, guessability_flags, must_know and, if there is one, subject) with score, tier, basis and the reasons for it."""
     r = merged(ratings, key)
     rated = F.col("raters").isNotNull()
     joined = items.join(r, key, "left")
@@ -28,12 +34,15 @@ def scored(items: DataFrame, ratings: DataFrame, key: str) -> DataFrame:
     signal = scores.signal_penalty(F.col("guessability_flags"))
     raw = scores.clamp(base - F.coalesce("penalty", F.lit(0)) - signal)
     ceiling = F.col("must_know") & (raw > scores.MEDIUM) & ~(rated & (F.col("median") >= 70))
+    # The sentences that explain a score.
+    flags = F.col("guessability_flags")
+    named = F.lit("None") if "subject" not in items.columns else F.coalesce(quoted(F.col("subject")), F.lit("None"))
     reasons = F.array_compact(
         F.array(
-            F.when(rated, F.concat(F.lit("raters: median "), F.col("median"), F.lit(" of "), F.col("raters"))).otherwise(F.concat(F.lit("no raters: prior "), base)),
-            F.when(F.col("penalty") > 0, F.concat(F.lit("guessable: -"), F.col("penalty"))),
-            F.when(signal > 0, F.concat(F.lit("signals: -"), signal)),
-            F.when(ceiling, F.lit("headline ceiling")),
+            F.when(~rated, F.lit("no ratings; holding the authored tier pending a rating pass")),
+            F.when(F.col("votes") > 0, F.concat(F.col("votes"), F.lit("/"), F.col("raters"), F.lit(" raters called it guessable"))),
+            F.when(signal > 0, F.concat(F.lit("signals: "), F.array_join(flags, ", "), F.lit(" (-"), signal.cast("int"), F.lit(")"))),
+            F.when(ceiling, F.concat(F.lit(f"capped at {scores.MEDIUM}: headline subject ("), named, F.lit(") without strong rater support"))),
         )
     )
     score = F.when(ceiling, scores.MEDIUM).otherwise(raw)

@@ -6,10 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import split
+
 FACT = "title STRING, kind STRING, source STRING, tabbed BOOLEAN, fields MAP<STRING, ARRAY<STRING>>, article_len BIGINT, summary STRING"
 QUESTION = "category STRING, type STRING, difficulty STRING, question STRING, correct_answer STRING, incorrect_answers ARRAY<STRING>, options ARRAY<STRING>, source STRING, explainer STRING, image STRING, saga STRING, sagaOrder INT, authoredDifficulty STRING, difficultyScore INT"
 
@@ -32,10 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Pages of a wiki dump: title, ns and text alone; a limit of 0 or none reads all."""
-    schema = "title STRING, ns STRING, revision STRUCT<text: STRING>"
-    rows = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path).select("title", "ns", F.col("revision.text").alias("text"))
+def pages(spark: SparkSession, path: str, limit: int | None = None, columns: tuple[str, ...] = ("title", "ns", "text")) -> DataFrame:
+    """Pages of a wiki dump, of which only the columns asked for are parsed; a limit of 0 or none reads all, any other stops each task early.
+
+    One dump is read by as many tasks as it has byte ranges.
+    """
+    parsed = ["revision STRUCT<text: STRING>" if c == "text" else f"{c} STRING" for c in columns]
+    rows = split.xml_records(spark, path, "page", ", ".join(parsed))
+    rows = rows.select(*(F.col("revision.text").alias(c) if c == "text" else F.col(c) for c in columns))
     return rows.limit(limit) if limit else rows
 
 
@@ -50,13 +55,13 @@ def as_list(v: Column) -> Column:
 
 
 def json_array(spark: SparkSession, path: str, schema: str = QUESTION) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """The elements of a file that holds one JSON array, read by several tasks."""
+    return split.json_elements(spark, path, schema)
 
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, value) of a file that holds one JSON object; the value's type is a DDL string. Null values stay, unlike absent keys."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string, {value}>")))
+    """(key, value) of a file that holds one JSON object, read by several tasks; the value's type is a DDL string. Null values stay, unlike absent keys."""
+    return split.json_entries(spark, path, value)
 
 
 # The wiki's namespaces that hold no subjects.
@@ -72,24 +77,36 @@ def titles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_array(df: DataFrame, path: str, order: list) -> None:
-    """One file that holds one JSON array, for banks that a browser loads; nulls are left out.
+    """A folder of parts that are one JSON array if they are joined in the order of their names, for banks that a browser loads; nulls are left out.
 
-    Rows are sorted in parallel and pass through the writing task line by line; none holds them all.
+    Sorted and written in parallel. A row only has to know whether it is the first or the last of all: a range that does is told by the counts of the ranges.
     """
     lines = written(df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("value"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")), "lines")
-
-    def listed(batches):
-        before = "["
-        for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                out = []
-                for j in b.column(0).slice(a, 1024).to_pylist():
-                    out.append(before + j)
-                    before = ","
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"], pa.string())], names=["value"])
-
-    lines.orderBy("p", "i").select("value").coalesce(1).mapInArrow(listed, "value string").write.mode("overwrite").text(path)
+    ends = lines.agg(F.min("i").alias("a"), F.max("i").alias("z")).first()
+    if ends["a"] is None:
+        lines.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    before, after = F.when(F.col("i") == ends["a"], "[").otherwise(","), F.when(F.col("i") == ends["z"], "]").otherwise("")
+    lines.repartitionByRange("i").sortWithinPartitions("i").select(F.concat(before, "value", after)).write.mode("overwrite").text(path)
+
+
+def joined(spark: SparkSession, path: str, target: str) -> None:
+    """The parts of a folder as one file, byte by byte, in the order of their names; only a buffer of them is held."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source, to = hadoop.fs.Path(path), hadoop.fs.Path(target)
+    fs, out_fs = source.getFileSystem(conf), to.getFileSystem(conf)
+    parts = sorted((s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    out = out_fs.create(to, True)
+    try:
+        for p in parts:
+            part = fs.open(p)
+            try:
+                hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
