@@ -34,12 +34,11 @@ def test_branches_that_a_host_repeats_are_cut(spark):
     rows += [(100, "http://other.example/", rows[0][2]), (101, None, None), (102, "http://h.example/", ""), (0, *rows[0][1:])]
     assert body
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", __import__("pyspark").sql.functions.lit(1))
-    for held in (1000, 0):  # cut branches sent to all tasks, or joined by page
-        got = {(r.page_id, r.url): (r.text, r.n_chars) for r in extract(df, held=held).collect()}
-        assert all(got[i, f"http://h.example/{i}"] == (f"story number {i}", len(f"story number {i}")) for i in range(12))
-        assert got[100, "http://other.example/"][0] == "story number 0\n\nThe same words on each page"
-        assert got[101, None] == ("", 0) and got[102, "http://h.example/"] == ("", 0)
-        assert extract(df, held=held).count() == len(rows)
+    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in extract(df).collect()}
+    assert all(got[i, f"http://h.example/{i}"] == (f"story number {i}", len(f"story number {i}")) for i in range(12))
+    assert got[100, "http://other.example/"][0] == "story number 0\n\nThe same words on each page"
+    assert got[101, None] == ("", 0) and got[102, "http://h.example/"] == ("", 0)
+    assert extract(df).count() == len(rows)
     assert extract(df.limit(0)).count() == 0
 
 
@@ -98,3 +97,21 @@ def test_against_the_definition(spark):
     # the tree alone removes what a site puts into its articles and beside them, and leaves what one page says
     assert not any("Written for" in t or "Welcome" in t for t in got.values())
     assert any("Guest" in t for t in got.values())
+
+
+def test_parts_of_an_article_stay(spark):
+    html = """<body><div class="discussion">out</div><article><div class="article-header"><h1>Title</h1></div><section class="discussion"><p>Results are discussed.</p></section>
+    <div class="side-by-side"><p>Left and right</p></div><div class="header">Part one</div><section class="comments"><p>me too</p></section><div class="ad">buy</div><nav>menu</nav></article><div class="site-header">x</div></body>"""
+    got = extract(spark.createDataFrame([(1, "http://a.example/1", html, "t")], "page_id long, url string, html string, cut string")).first()
+    assert got.text == "Title\n\nResults are discussed.\n\nLeft and right\n\nPart one"
+
+
+def test_edges(spark):
+    import pytest
+
+    df = spark.createDataFrame([(None, None, None), (None, "u", "<p>a</p>"), (1, "u", "<p>" + "long " * 300_000 + "</p>")], "page_id long, url string, html string")
+    got = {(r.page_id, r.url): r.text for r in extract(df).collect()}
+    assert got[None, None] == "" and got[None, "u"] == "a" and len(got[1, "u"]) == 5 * 300_000 - 1
+    assert extract(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="text"):
+        extract(df.withColumnRenamed("page_id", "text"), key="text")

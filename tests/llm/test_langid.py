@@ -61,7 +61,21 @@ def test_part_of_a_text_that_is_learned_from(spark):
     t = "ab " * 3000
     df = spark.createDataFrame([(1, t, "x")], "doc_id long, text string, lang string")
     size = lambda **kw: len(langid.learn(df, F.lit(True), **kw)[0][1])
-    assert (size(), size(part=300), size(part=9000), size(part=9000, sample=1000)) == (5000, 299, 8999, 1000)
+    assert (size(), size(part=300), size(part=9000), size(part=9000, sample=1000)) == (8999, 299, 8999, 1000)
+
+
+def test_texts_are_learned_from_whole(spark):
+    name = lambda i: "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    rows = [(i, f"q{name(i)} " * 20, "x") for i in range(40)] + [(100 + i, f"long{name(i)} " * 2000, "x") for i in range(3)] + [(200, "alone " * 3000, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = lambda **kw: dict(langid.learn(df, F.lit(True), **kw))
+    some = learned(sample=500)
+    # short texts by their hashes until there are 500 bytes, the last one whole
+    assert len(some["x"]) < 600 and b"long" not in some["x"] and some["y"].count(b"alone") == 3000
+    assert all(n == 20 for n in (some["x"].split().count(w) for w in set(some["x"].split())))
+    every = learned(rows=64)
+    assert b"long" in every["x"] and all(every["x"].split().count(w) in (20, 2000) for w in set(every["x"].split()))
+    assert len(set(learned(rows=5)["x"].split())) == 5
 
 
 def test_columns_of_the_same_name(spark):

@@ -161,3 +161,18 @@ def test_windows_do_not_change_the_result(spark, monkeypatch):
             n = len((t or "").encode())
             starts = sorted(s for a, z in parts.get(i, []) for s in range(a, z - 39))
             assert starts == list(range(max(0, n - 39)))  # every string of 40 bytes has one anchor
+
+
+def test_passages_of_scripts_with_and_without_spaces(spark):
+    rnd = random.Random(9)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n))
+    word = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    shared, short, spaced, few = han(400), han(80), word(60), word(45)
+    texts = [han(50) + shared + han(50), han(30) + shared + han(20), han(40) + short + han(40), han(20) + short + han(60), f"{word(20)} {spaced} {word(20)}", f"{word(30)} {spaced} {word(9)}", f"{word(20)} {few} {word(20)}", f"{word(30)} {few} {word(9)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in substrings.removed(df, length=substrings.LEAST, words=substrings.WORDS, across=True).collect()}
+    for i in (0, 1):
+        assert shared[2:-2] not in left[i] and 60 > len(left[i]) - (len(texts[i]) - 400) >= -4
+    assert all(left[i] == texts[i] for i in (2, 3, 6, 7))  # 40 words, and 45
+    assert all(spaced not in left[i] and len(left[i]) < len(texts[i]) - 350 for i in (4, 5))
+    assert substrings.whole_words("ab 漢字漢字 cd".encode(), 0, 18) == 5

@@ -11,11 +11,15 @@ section have none, as such parts may differ from page to page and then look impo
 page's content and the only one if there is one. The tree judges the elements inside it like all others, so a line that a site puts into
 each of its articles goes too. A block of a page without <article> and <main> that is mostly links is a menu.
 
-Statistics cover all pages of all hosts and are pre-aggregated per task. Cut branches are kept as 64-bit hashes; up to `held` of them go
-to every task, more are joined to the pages by page.
+Statistics cover all pages of all hosts and are pre-aggregated per task. Branches are kept as 64-bit hashes in a table with their pages' keys; those that are cut
+are joined to the pages by key, at any size.
 
-Nulls: a null html is an empty page with an empty text; a null url counts as a host of its own name. Repeated rows are all extracted.
-Unclosed and misnested tags are closed by their ancestors. Whole pages are used.
+Inside <article> and <main> a class or id names noise only if a whole name does (`comments`, not `article-header`); names that an article's own parts may bear,
+such as `discussion` or `header`, don't count there.
+
+Nulls: a null html is an empty page with an empty text; a null url counts as a host of its own name. Repeated rows are all extracted; an empty table gives no rows.
+Unclosed and misnested tags are closed by their ancestors. Whole pages are used. Only key, url and html are read, so other columns can have any name; a key or url
+named like a result raises ValueError.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import free, slices, written
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 # fixed values: HTML's elements by kind
@@ -44,6 +48,11 @@ NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promoted promotion promotions nav navbar navigation navi menu menus breadcrumb breadcrumbs crumbs header masthead topbar footer foot bottombar sidebar side aside widget widgets related recommended recommendations "
     "notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup login form search share sharing social comment comments disqus respond replies reply discussion pagination pager toolbar skip alert banner-ad".split()
 )
+#: Those that count inside an article too, as whole names.
+INNER_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promoted promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar widget widgets related recommended recommendations "
+    "notice notices cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share sharing social comment comments disqus respond replies pagination pager toolbar banner-ad".split()
+)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -60,6 +69,7 @@ class Element:
 
     def __init__(self, tag: str, parent: Element | None, attrs: str, first: int):
         names, noise = "", False
+        inside = bool(parent and parent.main)
         if attrs:
             for m in NAMES.finditer(attrs):
                 value = m[2] or m[3] or m[4] or ""
@@ -68,11 +78,14 @@ class Element:
                     noise |= value.strip().lower() in NOISE_ROLES
                 else:
                     names += f".{value}" if kind == "class" else ""
-                    noise |= any(not NOISE_NAMES.isdisjoint(x.lower() for x in (word, *PARTS.findall(word))) for word in value.split())
+                    if inside:
+                        noise |= any(word.lower() in INNER_NAMES for word in value.split())
+                    else:
+                        noise |= any(not NOISE_NAMES.isdisjoint(x.lower() for x in (word, *PARTS.findall(word))) for word in value.split())
             noise |= bool(HIDDEN.search(attrs))
         self.tag, self.parent, self.kids, self.first, self.last = tag, parent, [], first, first
         self.path = (parent.path if parent else "") + "/" + tag + names
-        self.main = tag in ("article", "main") or bool(parent and parent.main)
+        self.main = tag in ("article", "main") or inside
         self.noise = bool(parent and parent.noise) or tag not in ("html", "body", "article", "main") and (noise or tag in NOISE_TAGS or tag == "header" and not self.main)
         if parent:
             parent.kids.append(tag)
@@ -193,8 +206,9 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def branches(pages: DataFrame, key: str, url: str, html: str, by_page: bool = False) -> DataFrame:
-    """(path, style, kids, content, page) of every judged branch, once per task; with by_page also the page's key."""
+def branches(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """(path, style, kids, content, page, key) of every judged branch of every page."""
+    kind = pages.schema[key].dataType
 
     def run(batches):
         for b in slices(batches, 2):
@@ -203,17 +217,18 @@ def branches(pages: DataFrame, key: str, url: str, html: str, by_page: bool = Fa
                 if h:
                     p, host = Page(h), host_of(u)
                     sig = p.signature()
-                    rows.update((path, style, n, content, sig, *([k] if by_page else [])) for _, path, style, content, n in p.features(host))
+                    rows.update((path, style, n, content, sig, k) for _, path, style, content, n in p.features(host))
             if rows:
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(cols)], names=["path", "style", "kids", "content", "page", *(["key"] if by_page else [])])
+                *cols, keys = zip(*rows)
+                made = [pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(cols)]
+                yield pa.RecordBatch.from_arrays([*made, pa.array(keys, b.schema.types[0])], names=["path", "style", "kids", "content", "page", "key"])
 
-    return pages.select(F.col(key).cast("long"), url, html).mapInArrow(run, "path long, style long, kids int, content long, page long" + ", key long" * by_page)
+    return pages.select(key, url, html).mapInArrow(run, f"path long, style long, kids int, content long, page long, key {kind.simpleString()}")
 
 
 def noise(found: DataFrame, low: float, pages: int) -> DataFrame:
     """(content): hashes of branches whose importance is under `low`."""
-    one = written(found.select("path", "style", "kids", "content", "page").distinct(), "branches")  # pages are parsed once for all that is counted
+    one = written(found.select("path", "style", "kids", "content", "page").distinct(), "branches")  # copies of a page count once
     m = one.groupBy("path", "page").agg(F.lit(1).alias("x")).groupBy("path").agg(F.count("*").alias("m")).where(F.col("m") >= pages)
     styles = one.groupBy("path", "style", "page").agg(F.lit(1).alias("x")).groupBy("path", "style").agg(F.count("*").alias("s"))
     total = styles.groupBy("path").agg(F.sum("s").alias("all"), F.sum(F.col("s") * F.log("s")).alias("slogs"))
@@ -224,31 +239,19 @@ def noise(found: DataFrame, low: float, pages: int) -> DataFrame:
     return contents.join(m, "path").join(total, "path").where((1 - weight) * presentation + weight * content < low).select("content")
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", low: float = 0.3, least_pages: int = 4, held: int = 1_000_000) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", low: float = 0.3, least_pages: int = 4) -> DataFrame:
     """(key, url, text, n_chars) of every page."""
-    bad = noise(branches(pages, key, url, html), low, least_pages)
-    some = bad.limit(held + 1).toPandas()["content"].to_numpy(np.int64)
-    kind = pages.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, {url} string, text string, n_chars long"
-
-    def made(b, cuts):
-        texts = [Page(h).text(host_of(u), c) if h else "" for u, h, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), cuts)]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[key, url, "text", "n_chars"])
-
-    rows = pages.select(key, F.col(url).cast("string").alias(url), F.col(html).alias("html"))
-    if len(some) <= held:
-
-        def run(batches):
-            cut = frozenset(some.tolist())
-            for b in slices(batches, 2):
-                yield made(b, [cut] * b.num_rows)
-
-        return rows.mapInArrow(run, schema)
-    cuts = branches(pages, key, url, html, True).join(bad.distinct(), "content").groupBy("key").agg(F.collect_set("content").alias("cut"))
-    joined = rows.join(cuts, rows[key].cast("long").eqNullSafe(cuts["key"]), "left").select(key, url, "html", "cut")
+    free(pages.select(key, url), "text", "n_chars")
+    found = written(branches(pages, key, url, html), "pages-branches")  # pages are parsed once for all that is counted
+    bad = written(noise(found, low, least_pages).distinct(), "noise")
+    cuts = found.join(bad, "content").groupBy("key").agg(F.collect_set("content").alias("cut")).withColumnRenamed("key", "_page")
+    rows = pages.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("_url"), F.col(html).alias("_html"))
+    joined = rows.join(cuts, F.col("_key").eqNullSafe(F.col("_page")), "left").select("_key", "_url", "_html", "cut")
+    schema = T.StructType([pages.schema[key], T.StructField(url, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for b in slices(batches, 2):
-            yield made(b, [frozenset(c or ()) for c in b.column(3).to_pylist()])
+            texts = [Page(h).text(host_of(u), frozenset(c or ())) if h else "" for u, h, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)

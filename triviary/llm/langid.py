@@ -146,26 +146,30 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
 keeps("langid", parser.cache_clear)
 
 
-def learn(df: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, sample: int = 40_000, part: int | None = None) -> tuple[tuple[str, bytes], ...]:
-    """The languages' samples: at most `rows` texts and `sample` bytes of each, chosen by hash among the rows that `use` allows.
+def learn(df: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, sample: int = 40_000, long: int = 5_000, part: int | None = None) -> tuple[tuple[str, bytes], ...]:
+    """The languages' samples: whole texts of at most `rows` of the rows that `use` allows, for each language, until these have `sample` bytes.
 
-    Of each text the first `part` characters are learned from, an eighth of `sample` if not given, so that no long text fills a sample alone.
-    Rows that are equal in key, text and language count once.
+    The bound is one on rows: texts of up to `long` bytes come first, in the order of their hashes, then longer ones, the shortest first; the text that passes `sample`
+    is the last and is learned whole, the others aren't learned from. So no long text fills a sample alone unless its language has no other.
+    part: of each text only so many characters, and of a sample only `sample` bytes. Rows that are equal in key, text and language count once.
     """
     known = df.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    w = Window.partitionBy("lang").orderBy("h", "bytes")
+    w = Window.partitionBy("lang").orderBy(F.greatest("bytes", F.lit(long)), "h")
     # only the hash and the length are ranked; texts are fetched for the chosen hashes
-    ranked = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text), F.col(lang)).alias("h"), F.octet_length(text).alias("bytes")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)
+    ranked = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text), F.col(lang)).alias("h"), F.octet_length(text).alias("bytes")).distinct()
+    ranked = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)
+    if part is None:
+        ranked = ranked.withColumn("before", F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < sample)
     chosen = {r["h"]: r["r"] for r in ranked.select("h", "r").collect()}
     if not chosen:
         return ()
-    part = max(1, sample // 8) if part is None else part
     h = F.xxhash64(F.col(key), F.col(text), F.col(lang))
-    got = known.where(h.isin(list(chosen))).select(h.alias("h"), F.col(lang).alias("lang"), F.substring(text, 1, part).alias("t")).dropDuplicates(["h"]).collect()
+    learned = F.col(text) if part is None else F.substring(text, 1, part)
+    got = known.where(h.isin(list(chosen))).select(h.alias("h"), F.col(lang).alias("lang"), learned.alias("t")).dropDuplicates(["h"]).collect()
     texts: dict[str, list[tuple[int, bytes]]] = {}
     for r in got:
         texts.setdefault(r["lang"], []).append((chosen[r["h"]], normal(r["t"])))
-    join = lambda x: b" ".join(b" ".join(t for _, t in sorted(x)).split())[:sample]
+    join = lambda x: b" ".join(b" ".join(t for _, t in sorted(x)).split())[: None if part is None else sample]
     return tuple((name, s) for name in sorted(texts) if (s := join(texts[name])))
 
 

@@ -24,6 +24,7 @@ like others; an empty table gives no rows. Columns of any name pass through `rem
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -349,9 +350,18 @@ def kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+#: Letters of scripts that put no space between words (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han); two of them make a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def whole_words(raw: bytes, s: int, e: int) -> int:
-    """The words that lie whole in raw[s:e]."""
+    """The words that lie whole in raw[s:e]: between spaces, and of two letters each in scripts without spaces."""
     part = raw[s:e]
+    letters = len(UNSPACED.findall(part.decode("utf-8", "ignore"))) if not part.isascii() else 0
+    return letters // 2 + _spaced(raw, part, s, e)
+
+
+def _spaced(raw: bytes, part: bytes, s: int, e: int) -> int:
     n = len(part.split())
     if n and s and not raw[s - 1 : s].isspace() and not part[:1].isspace():
         n -= 1
@@ -393,10 +403,10 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     return rows.mapInArrow(run, schema)
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, per_shard: int = 2000, words: int = 0, across: bool = False) -> DataFrame:
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, per_shard: int = 2000, words: int = 0, across: bool = False, enough: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes cut from the text (broken characters at the cuts are dropped); null texts stay null.
 
-    words: runs of fewer whole words stay; across: what a text repeats only of itself stays.
+    words: runs of fewer whole words stay unless they have `enough` bytes; across: what a text repeats only of itself stays.
     """
     u, own = unused(docs, "u", "spans")
     spans = repeated(docs, key, text, length, gram, per_shard, across).toDF(u, own)
@@ -407,7 +417,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         if not spans:
             return t
         raw = t.encode()
-        return kept(raw, [(s, e) for s, e in merged(spans) if not words or whole_words(raw, s, e) >= words]).decode("utf-8", "ignore")
+        return kept(raw, [(s, e) for s, e in merged(spans) if not words or e - s >= enough or whole_words(raw, s, e) >= words]).decode("utf-8", "ignore")
 
     def run(batches):
         for b in slices(batches, at):
