@@ -5,7 +5,7 @@ All but the last keep the columns of documents. ORACLE_SQL is None: SQL can't ex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triviary.llm import bpe, decontaminate, langid, neardup, queries, substrings
@@ -24,19 +24,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one of least doc_id; repeated rows count as one."""
+    """Keeps one document of each group of near-duplicates: the one of least doc_id.
+
+    Rows of one doc_id and text count as one, of which that with the least hash of its other columns stays.
+    """
     found = neardup.near_duplicates(docs, width=5)
     least = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
     one, th = unused(docs, "id", "th")
     keep = least.unionByName(found.where("group is null").select("doc_id", "th")).distinct().toDF(one, th)
     same = docs.join(keep, docs.doc_id.eqNullSafe(keep[one]) & F.xxhash64(docs.text).eqNullSafe(keep[th]), "left_semi").select(*docs.columns)
-    return same if found.groupBy("doc_id", "th").count().where("count > 1").isEmpty() else same.dropDuplicates()
+    if found.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        return same
+    place = unused(docs, "place")[0]
+    alike = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    return same.withColumn(place, F.row_number().over(alike)).where(F.col(place) == 1).select(*docs.columns)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of over 50 words that stand in another document too; every document stays, with what is left of its text.
+    """Cuts passages that stand in another document too and have over 50 words or 400 bytes; every document stays, with what is left of its text.
 
-    Passages are made of repeated strings of 200 bytes and more: 51 words of natural text are longer.
+    In scripts without spaces two letters count as a word. Passages are made of repeated strings of 200 bytes and more: 51 words of natural text are longer.
+    Every copy is cut, none is kept, and a character that a cut would break goes with it.
     """
     return substrings.removed(docs, length=substrings.LEAST, words=substrings.WORDS, across=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
