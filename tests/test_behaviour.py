@@ -89,6 +89,43 @@ def test_streaks_break_and_return(spark):
     assert (s.seen, s.correct, s.wrong, s.streak, s.mastered, s.times_mastered) == (6, 5, 1, 3, True, 2)
 
 
+def plain_state(points):
+    streak = times = 0
+    for p in points:
+        was, streak = streak >= 2, streak + 1 if p else 0
+        times += streak >= 2 and not was
+    return len(points), sum(points), streak, streak >= 2, times
+
+
+def test_summaries_merge_in_any_grouping(spark):
+    rnd = random.Random(0)
+    rows, want = [], {}
+    for q in range(60):
+        points = [int(rnd.random() < rnd.choice([0.2, 0.7, 0.95])) for _ in range(rnd.choice([1, 2, 3, 30, 90]))]
+        want[q] = plain_state(points)
+        rows += [(1, q, p, i // 2, i) for i, p in enumerate(points)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "profile int, qid int, point int, ts int, seq int")
+    for size in (7, 100, 1 << 16):
+        got = {r.qid: (r.seen, r.correct, r.streak, r.mastered, r.times_mastered) for r in play.progress(df, size=size).collect()}
+        assert got == want
+    parts = play.summarised(df, size=50).cache()
+    left, right = (play.folded(parts.where(f"chunk {x} 5")).withColumn("chunk", F.lit(x)) for x in ("<", ">="))
+    halves = play.folded(left.unionByName(right).withColumn("chunk", F.when(F.col("chunk") == "<", 0).otherwise(1)))
+    assert {r.qid: (r.seen, r.correct, r.streak, r.mastered, r.times_mastered) for r in play.states(halves).collect()} == want
+    assert play.progress(df.limit(0)).count() == 0
+
+
+def test_a_hot_question_is_spread_over_tasks(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("profile"), F.lit(7).alias("qid"), (F.col("id") % 3 != 0).cast("int").alias("point"), F.col("id").alias("ts"), F.col("id").alias("seq"))
+    parts = play.summarised(df)
+    assert parts.count() >= 15 and parts.select(F.max("s.seen")).first()[0] < 90_000
+    s = play.progress(df).first()
+    assert (s.seen, s.correct, s.streak, s.times_mastered) == (1_000_000, 666_666, 0, 333_333)
+    plan = play.progress(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_caps_equal_the_ordered_pass(spark):
     keys = {"a": "ca", "b": "cb", "c": "cc"}
     for seed in range(3):

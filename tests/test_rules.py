@@ -182,6 +182,16 @@ def test_raters_and_offenders(spark):
     assert [r.id for r in signals.offenders(rows, 5, "b").collect()] == [2, 4]
 
 
+def test_missing_pairs_of_many_raters(spark):
+    raters = spark.range(1500).selectExpr("concat('r', id) as rater")
+    items = spark.createDataFrame([(1,), (2,), (3,), (3,)], "item int")
+    done = raters.selectExpr("1 as item", "rater").unionByName(raters.where("rater <> 'r7' and rater <> 'r1499'").selectExpr("2 as item", "rater")).unionByName(spark.createDataFrame([(2, "stranger"), (9, "r1")], "item int, rater string"))
+    got = ratings.unrated(items, raters, done.unionByName(done.limit(50)))
+    assert sorted(map(tuple, got.where("item < 3").collect())) == [(2, "r1499"), (2, "r7")]
+    assert got.where("item = 3").select("rater").distinct().count() == got.where("item = 3").count() == 1500
+    assert ratings.unrated(items, raters.limit(0), done).count() == 0
+
+
 def test_gloss_leaks_reach_the_cascade(spark):
     q = spark.createDataFrame([(1, "Which fruit lets one create clothing?", "Fuku Fuku no Mi", ["Bara Bara no Mi", "Gomu Gomu no Mi", "Hana Hana no Mi"], ["Fuku Fuku no Mi", "Bara Bara no Mi", "Gomu Gomu no Mi", "Hana Hana no Mi"], "Nami")], "id int, question string, correct_answer string, incorrect_answers array<string>, options array<string>, subject string")
     f = facts(spark, ("Fuku Fuku no Mi", "devil_fruit", {"ename": ["Clothes Fruit"]}, 100, None), ("Bara Bara no Mi", "devil_fruit", {}, 1, None), ("Gomu Gomu no Mi", "devil_fruit", {}, 1, None))

@@ -393,16 +393,15 @@ def question_id(spark, sf_dir):
 
 @query(with_views("answers", body=f", {STATE} SELECT * FROM state"))
 def streaming_mastery(spark, sf_dir):
-    """The events as a stream of files; the last row of each question equals mastery_state."""
+    """The events as a stream of files, merged into a keyed state that equals mastery_state."""
     from uuid import uuid4
 
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     out = f"{shared_dir(spark)}/mastery-{uuid4().hex}"
-    mastery.run_to_table(mastery.progress(views.answers_of(raw)), f"{out}/rows", f"{out}/checkpoint")
-    rows = spark.read.parquet(f"{out}/rows")
-    last = rows.groupBy("profile", "qid").agg(F.max_by(F.struct("seen", "correct", "wrong", "streak", "mastered", "times_mastered", "last_seen"), "batch").alias("x"))
-    return last.select("profile", "qid", "x.*").withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+    state = mastery.store(spark, f"{out}/state")
+    mastery.keep(views.answers_of(raw), state, f"{out}/checkpoint")
+    return mastery.progress(state).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
 @query("SELECT page_id, md5(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g')) AS digest FROM pages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import ranges, scores
 
 
 def category_stats(answers: DataFrame, by: list[str]) -> DataFrame:
@@ -20,29 +20,62 @@ def weakest(stats: DataFrame, by: list[str]) -> DataFrame:
     return stats.groupBy(*by).agg(F.min_by("category", F.struct("accuracy", "category")).alias("weakest"), F.min("accuracy").alias("weakest_accuracy"))
 
 
-def streaks(answers: DataFrame, keys: tuple[str, ...] = ("profile", "qid")) -> DataFrame:
-    """Each answer with the run of right answers that it ends, and whether the question is mastered after and before it."""
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    rows = answers.withColumn("island", F.sum(1 - F.col("point")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hits = Window.partitionBy(*keys, "island").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("streak", F.sum("point").over(hits)).withColumn("mastered", F.col("streak") >= scores.MASTERED)
-    return rows.withColumn("newly", F.col("mastered") & ~F.coalesce(F.lag("mastered").over(w), F.lit(False)))
+#: Answers in a range of time; a question's answers in one range are summarised together.
+CHUNK = 1 << 16
 
 
-def progress(answers: DataFrame, keys: tuple[str, ...] = ("profile", "qid")) -> DataFrame:
-    """The state of every question of every profile after all its answers."""
-    at = F.struct("ts", "seq")
-    return streaks(answers, keys).groupBy(*keys).agg(
-        F.count("*").alias("seen"),
-        F.sum("point").alias("correct"),
-        F.sum(1 - F.col("point")).alias("wrong"),
-        F.max_by("streak", at).alias("streak"),
-        F.max_by("mastered", at).alias("mastered"),
-        F.max("ts").alias("last_seen"),
-        F.sum(F.col("newly").cast("int")).alias("times_mastered"),
+def summarised(answers: DataFrame, keys: tuple[str, ...] = ("profile", "qid"), size: int = CHUNK) -> DataFrame:
+    """(*keys, chunk, s): the answers of each question in each range of time, as a summary that can be merged with those before and after it.
+
+    s: seen, correct, lead and trail (right answers before the first and after the last wrong one; all of them if none is wrong), inner (runs in between that are
+    long enough for mastery) and last_seen. Ranges are cut at percentiles of the time, so a question with any number of answers is spread over tasks.
+    """
+    at = ranges.whole(answers, "ts")
+    cuts = ranges.bounds(answers.select("ts"), at, size)
+    rows = answers.select(*keys, ranges.number(at, cuts).alias("chunk"), "ts", "seq", "point")
+    said = rows.groupBy(*keys, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "point"))), lambda x: F.when(x["point"] == 1, "1").otherwise("0")), "").alias("p"), F.max("ts").alias("last_seen"))
+    p, one = F.col("p"), F.lit("1")
+    lead, trail = F.length(p) - F.length(F.ltrim(p, one)), F.length(p) - F.length(F.rtrim(p, one))
+    inner = F.regexp_count(F.btrim(p, one), F.lit("1{%d,}" % scores.MASTERED))
+    whole = [F.length(p).alias("seen"), (F.length(p) - F.length(F.replace(p, one, F.lit("")))).alias("correct"), lead.alias("lead"), trail.alias("trail"), inner.alias("inner")]
+    return said.select(*keys, "chunk", F.struct(*(c.cast("bigint").alias(n) for c, n in zip(whole, ("seen", "correct", "lead", "trail", "inner"))), F.col("last_seen")).alias("s"))
+
+
+def merged_summaries(a: Column, b: Column) -> Column:
+    """The summary of the answers of a followed by those of b. Associative, so summaries can be merged in any grouping."""
+    all_a, all_b = a["lead"] == a["seen"], b["lead"] == b["seen"]
+    # the run over the border counts if it is inside, that is, if both sides have a wrong answer
+    border = F.when(~all_a & ~all_b & (a["trail"] + b["lead"] >= scores.MASTERED), 1).otherwise(0).cast("bigint")
+    return F.struct(
+        (a["seen"] + b["seen"]).alias("seen"),
+        (a["correct"] + b["correct"]).alias("correct"),
+        F.when(all_a, a["seen"] + b["lead"]).otherwise(a["lead"]).alias("lead"),
+        F.when(all_b, a["trail"] + b["seen"]).otherwise(b["trail"]).alias("trail"),
+        (a["inner"] + b["inner"] + border).alias("inner"),
+        F.greatest(a["last_seen"], b["last_seen"]).alias("last_seen"),
     )
 
 
+def folded(summaries: DataFrame, keys: tuple[str, ...] = ("profile", "qid")) -> DataFrame:
+    """(*keys, s): one summary per question, of its summaries in the order of their chunks."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "s"))), lambda x: x["s"])
+    return summaries.groupBy(*keys).agg(parts.alias("parts")).select(*keys, F.aggregate(F.slice("parts", 2, F.greatest(F.lit(0), F.size("parts") - 1)), F.get("parts", 0), merged_summaries).alias("s"))
+
+
+def states(rows: DataFrame, keys: tuple[str, ...] = ("profile", "qid")) -> DataFrame:
+    """The state of every question from its summary s."""
+    s = F.col("s")
+    enough = lambda n: (n >= scores.MASTERED).cast("bigint")
+    # the runs at both ends; one run is both if nothing was wrong
+    times = s["inner"] + F.when(s["lead"] == s["seen"], enough(s["seen"])).otherwise(enough(s["lead"]) + enough(s["trail"]))
+    return rows.select(*keys, s["seen"].alias("seen"), s["correct"].alias("correct"), (s["seen"] - s["correct"]).alias("wrong"), s["trail"].alias("streak"), (s["trail"] >= scores.MASTERED).alias("mastered"), s["last_seen"].alias("last_seen"), times.alias("times_mastered"))
+
+
+def progress(answers: DataFrame, keys: tuple[str, ...] = ("profile", "qid"), size: int = CHUNK) -> DataFrame:
+    """The state of every question of every profile after all its answers."""
+    return states(folded(summarised(answers, keys, size), keys), keys)
+
+
 def summary(answers: DataFrame, state: DataFrame) -> DataFrame:
     """Per profile: mastered questions, answers, right ones and the accuracy to two places."""
     a = answers.groupBy("profile").agg(F.count("*").alias("answered"), F.sum("point").alias("correct"))

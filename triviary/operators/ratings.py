@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..sources.tables import written
+from .bank import batches
 
 
 def merged(ratings: DataFrame, item: str = "item") -> DataFrame:
@@ -66,13 +68,36 @@ def flag_counts(rows: DataFrame, flags: str = "flags") -> DataFrame:
     return rows.select("authored", F.explode(flags).alias("flag")).groupBy("flag", "authored").agg(F.count("*").alias("n"))
 
 
+#: Raters in one word of a set of bits.
+WORD = 62
+
+
+def numbered(names: DataFrame, name: str) -> DataFrame:
+    """Distinct names with a number n from 0 on, in their order."""
+    first = names.select(name).where(F.col(name).isNotNull()).distinct()
+    return batches(first, [name], WORD).select(name, (F.substring("batch", 2, 20).cast("bigint") * WORD + F.col("n") - 1).alias("n"))
+
+
 def unrated(items: DataFrame, raters: DataFrame, ratings: DataFrame) -> DataFrame:
-    """(item, rater) pairs that are missing; raters: a handful of names, exploded onto the items as an array."""
-    names = [r[0] for r in raters.select("rater").distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 raters")
-    pairs = items.select("item").distinct().withColumn("rater", F.explode(F.array(*map(F.lit, sorted(names)))))
-    return pairs.join(ratings.select("item", "rater").distinct(), ["item", "rater"], "left_anti")
+    """(item, rater) pairs that are missing.
+
+    The raters of an item are a set of bits, 62 of them to a word, made by bitwise aggregates with partial aggregation; what is missing are the bits of the full set that
+    it lacks. So a pair that is rated costs a bit and no row, and raters are known by their numbers alone until the missing ones get their names.
+    """
+    names = written(numbered(raters, "rater"), "raters")
+    count = names.count()
+    if not count:
+        return items.select("item").limit(0).withColumn("rater", F.lit(None).cast(raters.schema["rater"].dataType))
+    own = ratings.join(names, "rater").groupBy("item", F.floor(F.col("n") / WORD).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(n % {WORD}))")).alias("bits"))
+    sets = own.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("sets"))
+    words = F.sequence(F.lit(0).cast("bigint"), F.lit((count - 1) // WORD).cast("bigint"))
+    each = items.select("item").distinct().join(sets, "item", "left").select("item", "sets", F.explode(words).alias("w"))
+    # the last word may be shorter
+    full = F.when(F.col("w") == (count - 1) // WORD, (1 << ((count - 1) % WORD + 1)) - 1).otherwise((1 << WORD) - 1)
+    lacking = F.coalesce(F.try_element_at("sets", F.col("w")), F.lit(0).cast("bigint")).bitwiseXOR(full)
+    bits = each.select("item", "w", lacking.alias("lacking")).where("lacking <> 0")
+    place = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("lacking", b) == 1)
+    return bits.select("item", F.explode(place).alias("b"), "w").select("item", (F.col("w") * WORD + F.col("b")).alias("n")).join(names, "n").select("item", "rater")
 
 
 def cost(pending: DataFrame, batch: int = 20) -> DataFrame:

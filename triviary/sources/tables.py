@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import split
+from .keyed import KeyedStore
 
 FACT = "title STRING, kind STRING, source STRING, tabbed BOOLEAN, fields MAP<STRING, ARRAY<STRING>>, article_len BIGINT, summary STRING"
 QUESTION = "category STRING, type STRING, difficulty STRING, question STRING, correct_answer STRING, incorrect_answers ARRAY<STRING>, options ARRAY<STRING>, source STRING, explainer STRING, image STRING, saga STRING, sagaOrder INT, authoredDifficulty STRING, difficultyScore INT"
@@ -122,22 +123,19 @@ def write_keyed(df: DataFrame, key: str, path: str) -> None:
 def upserted(spark: SparkSession, path: str, batches: list[DataFrame], keys: list[str]) -> DataFrame:
     """A keyed table after each of the batches has been merged in and saved, so that a run that is killed goes on with the batches that are left.
 
-    A state is a folder of its own and counts once it is written whole; the newest is the table.
+    A batch writes to the buckets of its keys alone.
     """
-    now, done = state_of(spark, path)
-    for i, new in enumerate(batches[done:], done + 1):
-        (new if now is None else merged(now, new, keys)).write.mode("overwrite").parquet(f"{path}/state={i}")
-        now, _ = state_of(spark, path)
-    return now
-
-
-def state_of(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    """The newest whole state below path and its number."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
-    whole = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("state=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return (spark.read.parquet(f"{path}/state={max(whole)}"), max(whole)) if whole else (None, 0)
+    store = KeyedStore(spark, path, keys)
+    for i, new in enumerate(batches, 1):
+        store.upsert(new, str(i))
+    store.compact()
+    return store.read()
+
+
+def state_of(spark: SparkSession, path: str, keys: tuple[str, ...] = ("k",)) -> tuple[DataFrame | None, int]:
+    """The table below path and how many batches it holds."""
+    store = KeyedStore(spark, path, list(keys))
+    return store.read(), len(store.state["done"])
 
 
 def looked_up(asked: DataFrame, store: DataFrame, key: str, value: str, default: Column) -> DataFrame:

@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import scores
+from ..operators import play
+from ..sources.keyed import KeyedStore
+
+KEYS = ["profile", "qid"]
+
+
+def store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedStore:
+    """The state of a stream of answers: one summary per question of each profile."""
+    return KeyedStore(spark, path, KEYS, buckets)
 
-OUT = "profile long, qid int, seen long, correct long, wrong long, streak long, mastered boolean, times_mastered long, last_seen timestamp"
-STATE = "seen long, correct long, streak long, times_mastered long, last_seen timestamp"
 
+def keep(events: DataFrame, state: KeyedStore, checkpoint: str) -> None:
+    """Reads all that is there: answers (profile, qid, point, ts, seq) are merged into the state, micro-batch by micro-batch in the order of their arrival.
+
+    A batch's answers are summarised first, in any number of tasks, so a question costs one row however often it was answered; only the buckets of the batch's questions are
+    read and written. With a column `removed` rows of true take their profile out, with all that was answered before; answers of the same batch come after them.
+    A batch that runs again after a failure changes nothing, as its number is published with its rows.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            answers = batch
+            if "removed" in batch.columns:
+                if not batch.where("removed").isEmpty():
+                    state.remove(batch.where("removed").select("profile"), ["profile"], f"{number} removed")
+                answers = batch.where("removed is null or not removed")
+            answers = answers.select(*KEYS, "point", F.col("ts").cast("timestamp").alias("ts"), "seq").where("qid is not null")
+            state.merge(play.folded(play.summarised(answers)), "s", play.merged_summaries, f"{number} answers")
+            state.compact()
+        finally:
+            batch.unpersist()
 
-def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A question's state after the answers of one micro-batch, taken in the order of (ts, seq)."""
-    seen, correct, streak, times, last = state.get if state.exists else (0, 0, 0, 0, None)
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    for point, ts in zip(rows["point"].tolist(), rows["ts"].tolist()):
-        was = streak >= scores.MASTERED
-        seen, correct, streak = seen + 1, correct + point, streak + 1 if point else 0
-        times += int(streak >= scores.MASTERED and not was)
-        last = ts
-    state.update((seen, correct, streak, times, last))
-    yield pd.DataFrame({"profile": [key[0]], "qid": [key[1]], "seen": [seen], "correct": [correct], "wrong": [seen - correct], "streak": [streak], "mastered": [streak >= scores.MASTERED], "times_mastered": [times], "last_seen": [last]})
+    events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
-def progress(answers: DataFrame) -> DataFrame:
-    """Update stream of every touched question's state; answers: (profile, qid, point, ts TIMESTAMP, seq)."""
-    rows = answers.select("profile", "qid", "point", F.col("ts").cast("timestamp").alias("ts"), "seq")
-    return rows.groupBy("profile", "qid").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def progress(state: KeyedStore) -> DataFrame | None:
+    """Every question's state."""
+    rows = state.read()
+    return None if rows is None else play.states(rows)
 
 
 def counters(answers: DataFrame, by: str) -> DataFrame:
