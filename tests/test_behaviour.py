@@ -139,8 +139,11 @@ def test_caps_equal_the_ordered_pass(spark):
                 want.append(r[0])
                 for k in own:
                     used[k[:2]] = used.get(k[:2], 0) + 1
-        assert sorted(r.ord for r in items.capped(df, keys, "ord").collect()) == want
-        assert sorted(r.ord for r in items.capped_in_order(df, keys, "ord").collect()) == want
+        read = []
+        assert sorted(r.ord for r in items.capped(df, keys, "ord", read).collect()) == want
+        # later rounds read undecided rows alone, fewer each time
+        assert read[0] == len(rows) and all(a > b for a, b in zip(read, read[1:]))
+    assert items.capped(df.limit(0), keys, "ord").count() == 0
 
 
 def test_distractors_beyond_the_prefix(spark):

@@ -137,46 +137,34 @@ def filled(shape: str, subject: Column, answer: Column) -> Column:
     return F.concat(*parts)
 
 
-def capped(rows: DataFrame, keys: dict[str, str], order: str) -> DataFrame:
+def capped(rows: DataFrame, keys: dict[str, str], order: str, read: list[int] | None = None) -> DataFrame:
     """The rows that a pass in `order` accepts: each accepted row uses up one of each of its keys, whose caps are columns.
 
-    keys: key column -> cap column. Exact and distributed: a row's state is unknown, accepted or rejected; with `low` the number of accepted
-    and `high` that of not rejected rows before it that share a key, it is rejected if some low reaches its cap and accepted if no high
-    does. Every round settles at least the first unknown row. Caps bound how many rows of a key can be accepted, so rounds are few; each is
-    written to the shared folder.
+    keys: key column -> cap column. Exact and distributed, by rounds over the frontier, the rows that aren't decided yet. Each of them carries, for each of its keys, how
+    many rows before it are accepted; as many as that and the undecided rows before it can be at most. A row whose first number reaches a cap is rejected, one whose second
+    numbers all stay under their caps is accepted, and both leave the frontier; what was accepted in a round is added to the numbers of the rows behind it. So a round reads and
+    writes undecided rows alone. Every round decides the first row at least, and caps bound how many rows of a key can be accepted, so rounds are few.
+    read: takes the size of the frontier in each round.
     """
-    state = written(rows.withColumn("_s", F.lit("U")), "caps")
-    while not state.where("_s = 'U'").isEmpty():
-        reject, accept = F.lit(False), F.lit(True)
-        for key, cap in keys.items():
-            w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-            low = F.coalesce(F.sum(F.when(F.col("_s") == "A", 1).otherwise(0)).over(w), F.lit(0))
-            state = state.withColumn(f"_l_{key}", low).withColumn(f"_h_{key}", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
-            reject, accept = reject | (F.col(f"_l_{key}") >= F.col(cap)), accept & (F.col(f"_h_{key}") < F.col(cap))
-        state = state.withColumn("_s", F.when(F.col("_s") != "U", F.col("_s")).when(reject, "R").when(accept, "A").otherwise("U"))
-        # rejected rows count for nothing, so later rounds don't carry them
-        state = written(state.where("_s <> 'R'").drop(*[f"_{x}_{key}" for x in "lh" for key in keys]), "caps")
-    return state.where("_s = 'A'").drop("_s")
-
-
-def capped_in_order(rows: DataFrame, keys: dict[str, str], order: str) -> DataFrame:
-    """What capped() gives, in one task: for inputs that are known to be a few thousand rows."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        keep = []
-        for r in pdf.sort_values(order).to_dict("records"):
-            own = [(k, r[k]) for k in keys]
-            ok = all(used.get(o, 0) < r[c] for o, c in zip(own, keys.values()))
-            if ok:
-                for o in own:
-                    used[o] = used.get(o, 0) + 1
-                keep.append(r)
-        return pd.DataFrame(keep, columns=rows_columns)
-
-    rows_columns = rows.columns
-    return rows.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, rows.schema)
+    low = {k: f"_l_{k}" for k in keys}
+    over = lambda k: Window.partitionBy(k).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    frontier = written(rows.withColumns({c: F.lit(0).cast("bigint") for c in low.values()}), "caps")
+    taken = frontier.limit(0).select(*rows.columns)
+    while n := frontier.count():
+        if read is not None:
+            read.append(n)
+        undecided = {f"_u_{k}": F.count("*").over(over(k)) for k in keys}
+        reject = accept = None
+        for k, cap in keys.items():
+            full, free = F.col(low[k]) >= F.col(cap), F.col(low[k]) + F.col(f"_u_{k}") < F.col(cap)
+            reject, accept = (full, free) if reject is None else (reject | full, accept & free)
+        judged = frontier.withColumns(undecided).withColumn("_s", F.when(reject, "R").when(accept, "A").otherwise("U")).drop(*undecided)
+        # rejected rows count for nothing
+        judged = written(judged.where("_s <> 'R'"), "caps")
+        taken = taken.unionByName(judged.where("_s = 'A'").select(*rows.columns))
+        more = {low[k]: F.col(low[k]) + F.coalesce(F.sum(F.when(F.col("_s") == "A", 1).otherwise(0)).over(over(k)), F.lit(0)) for k in keys}
+        frontier = written(judged.withColumns(more).where("_s = 'U'").drop("_s"), "caps")
+    return taken
 
 
 def members(rows: DataFrame, crew: str, member: str) -> DataFrame:
