@@ -114,3 +114,15 @@ def test_toxic_documents_are_held_out_and_found(spark):
     share = got.join(labels, "doc_id").groupBy("toxic", "quality").agg(F.avg(F.col("selected").cast("int")).alias("x")).collect()
     by = {(r.toxic, r.quality): r.x for r in share}
     assert by[0, 1] > 0.98 and by[1, 1] < 0.1
+
+
+def test_of_repeated_keys_the_least_grade_and_text_count(spark):
+    words = ["good fine nice", "bad poor dull"]
+    rows = [(i, f"{words[i % 2]} {i}") for i in range(60)]
+    more = [(i, f"zzz other {i}") for i in range(0, 60, 3)]
+    grades = [(i, 2 - i % 2) for i in range(60)] + [(i, 3) for i in range(0, 60, 5)]
+    table = lambda x, s: spark.createDataFrame(x, s)
+    once = Q.learn(table(rows, "doc_id long, text string"), table(grades[:60], "doc_id long, grade int"))
+    for order in (1, -1):
+        many = Q.learn(table((rows + more)[::order], "doc_id long, text string").repartition(5), table(grades[::order], "doc_id long, grade int"))
+        assert np.array_equal(once.weights, many.weights)

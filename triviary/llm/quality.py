@@ -119,7 +119,8 @@ def fit(texts: list[bytes], grades: np.ndarray, buckets: int = 1 << 18, steps: i
         gc[1:] *= np.exp(c[1:])
         g = np.concatenate([gw, gc])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        # steps shrink over the second half, so that the end is no moment of an oscillation
+        move = rate * min(1.0, 2 * (1 - step / (steps + 1))) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, c = w - move[: len(w)], c - move[len(w) :]
     weights = np.zeros(buckets + 3 * BINS)
     weights[used] = w
@@ -127,10 +128,10 @@ def fit(texts: list[bytes], grades: np.ndarray, buckets: int = 1 << 18, steps: i
 
 
 def learn(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", use: Column | None = None, rows: int = 8000, **options) -> Model:
-    """Fits on the rated documents of least hash; `use` chooses among the ratings."""
+    """Fits on the rated documents of least hash; `use` chooses among the ratings. Of a key's several grades and texts the least one counts."""
     rated = ratings.where(F.col(grade).isNotNull() & F.col(key).isNotNull() & (F.lit(True) if use is None else use))
     some = rated.groupBy(F.col(key).alias("_k")).agg(F.min(grade).cast("int").alias("_g")).orderBy(F.xxhash64("_k"), "_k").limit(rows)
-    got = docs.where(F.col(text).isNotNull()).join(F.broadcast(some), docs[key] == some["_k"]).select("_k", "_g", F.col(text).alias("_t")).dropDuplicates(["_k"]).collect()
+    got = docs.where(F.col(text).isNotNull()).join(F.broadcast(some), docs[key] == some["_k"]).groupBy("_k", "_g").agg(F.min(text).alias("_t")).collect()
     got.sort(key=lambda r: r[0])
     return fit([r[2].encode() for r in got], np.array([r[1] for r in got], np.int64), **options)
 
