@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from triviary.functions import scores
 from triviary.functions import text as X
 from triviary.operators import bank, items, markup, play, ratings, signals
+from triviary.operators.containment import holds
 from triviary.sources import tables
 
 
@@ -155,6 +156,43 @@ def test_distractors_beyond_the_prefix(spark):
     assert len(got) == 3 and {"bb", "cc"} < set(got)
 
 
+def test_keys_inside_keys(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("xyz"), "".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 30])))) for _ in range(300)]
+    long = "".join(rng.choice("abc") for _ in range(500))
+    rows += [("x", long), ("x", long[100:400]), ("x", long[100:399] + "d"), ("x", long[3:67]), ("x", long[-63:]), ("y", long[5:80]), ("x", ""), ("x", None), (None, "q"), (None, "pq")]
+    df = spark.createDataFrame(rows, "g string, key string")
+    got = sorted(holds(df, df, ["g"]).collect(), key=repr)
+    keys = {(g, k) for g, k in rows if k}
+    assert sorted(map(tuple, got), key=repr) == sorted([(g, a, b) for g, a in keys for h, b in keys if g == h and a != b and b in a], key=repr)
+    assert holds(df.limit(0), df, ["g"]).count() == holds(df, df.limit(0), ["g"]).count() == 0
+
+
+def test_nearest_equals_whole_pools(spark):
+    rng = random.Random(8)
+    words = [a + b for a in ("ka", "lo", "mi", "tor", "fen") for b in ("ra", "dun", "vel", "sil", "gar", "")]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 2, 3])))
+    values = {(rng.choice("pq"), name()): None for _ in range(400)}
+    pool = spark.createDataFrame([(p, v, v.replace(" ", ""), rng.choice([0, 1, 2, None]), rng.choice([1, 2, 5, 9, None]), i) for i, (p, v) in enumerate(values)], "pool string, v string, norm_v string, tier int, saga int, ord long")
+    asked = [(i, rng.choice("pqr"), name(), rng.choice([None, "", name()]), rng.choice([0, 1, 2, None]), rng.choice([1, 2, 5, 9, None])) for i in range(150)]
+    asked += [(150, "p", "", "x", 1, 1), (151, None, "x", "x", 1, 1), (152, "p", None, "kara", 1, 1)]
+    q = spark.createDataFrame(asked, "id long, pool string, answer string, leak_ref string, tier int, saga int")
+    lists = lambda d: {r.id: r.distractors for r in d.collect()}
+    want = lists(items.distractors(items.candidates(q, pool, "s")))
+    met = []
+    assert lists(items.nearest(q, pool, "s", least=8, read=met)) == want
+    assert met[0] < items.candidates(q, pool, "s").count() / 2
+    # a test that leaves few candidates makes questions go on to further cells
+    few = lambda c: c.where(F.pmod(F.xxhash64("v"), F.lit(23)) == 0)
+    met = []
+    assert lists(items.nearest(q, pool, "s", keep=few, least=2, read=met)) == lists(items.distractors(few(items.candidates(q, pool, "s"))))
+    assert len(met) > 1
+    assert not lists(items.nearest(q.limit(0), pool, "s")) and not lists(items.nearest(q, pool.limit(0), "s"))
+    covered = items.covering(items._prepared(q), items._values(pool))
+    by_hand = items.candidates(q, pool, "s").where("rank_key.cover < 0").select("id", "v")
+    assert by_hand.count() > 20 and by_hand.join(covered, ["id", "v"], "left_anti").isEmpty()
+
+
 def test_sample_size(spark):
     b = spark.createDataFrame([(i, "easy" if i < 2 else "hard") for i in range(40)], "id long, difficulty string")
     got = play.sample(b, 10, {"easy": 0.25, "medium": 0.5, "hard": 0.25}, F.col("id"), F.md5(F.col("id").cast("string"))).collect()

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .functions import scores
 from .functions import text as X
 from .operators import bank, items, markup, play, ratings, signals, views
+from .operators.containment import holds
 from .operators.views import answers, entities, table, with_views
 from .plans import quiz
 from .registry import ORACLES, QUERIES, query
-from .sources.tables import shared_dir
+from .sources.tables import shared_dir, written
 from .streaming import mastery
 
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
@@ -259,10 +260,48 @@ def _asked(e):
 )
 def distractor_candidates(spark, sf_dir):
     e = entities(spark, sf_dir)
-    d = items.distractors(items.candidates(_asked(e), items.pool(e, "origin", "origin", "ord"), SEED))
+    d = items.nearest(_asked(e), items.pool(e, "origin", "origin", "ord"), SEED)
     return d.select("id", F.array_join("distractors", "|").alias("distractors"))
 
 
+LEAK_TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({v}), '[a-z0-9]+')), lambda t: length(t) >= 3)"
+LEAKED = "list_filter(" + LEAK_TOKENS.format(v="{ref}") + ", lambda t: len(list_filter(" + LEAK_TOKENS.format(v="{v}") + ", lambda s: s = t OR (length(t) >= 4 AND contains(s, t)))) > 0)"
+
+
+@query(
+    with_views(
+        "entities",
+        body=f""", named AS (SELECT *, title || ' of ' || region AS ref, replace(origin, '_', ' ') || ' ' || region || CASE WHEN ord % 2 = 0 THEN 'n' ELSE '' END AS place FROM entities),
+ pool AS (SELECT place AS v, {K('place')} AS norm_v, prominence AS p_tier, saga AS p_saga FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K('place')} ORDER BY ord) AS r FROM named) WHERE r = 1),
+ asked AS (SELECT ord AS id, place AS answer, prominence, saga, {LEAKED.format(ref="ref", v="place")} AS leak, ref FROM named),
+ cands AS (SELECT id, v, leak, {LEAKED.format(ref="ref", v="v")} AS shown, ABS(p_tier - prominence) AS g, GREATEST(0, p_saga - saga) AS h FROM asked JOIN pool ON NOT {NEAR.format(a=K('answer'), b='norm_v')}),
+ ranked AS (SELECT id, v, ROW_NUMBER() OVER (PARTITION BY id ORDER BY -len(list_intersect(leak, shown)), g, h, md5('{SEED}' || id || '|' || v)) AS r FROM cands),
+ lists AS (SELECT id, list(v ORDER BY r) AS l FROM ranked GROUP BY id)
+ SELECT id, array_to_string(list_reduce(list_transform(l, lambda v: [v]), lambda a, c: CASE WHEN len(a) < 3 AND len(list_filter(a, lambda x: {NEAR.format(a=K('x'), b=K('c[1]'))})) = 0 THEN a || c ELSE a END), '|') AS distractors FROM lists""",
+    )
+)
+def leak_covering(spark, sf_dir):
+    """Distractors where answers leak tokens of the question: values that show these too come first."""
+    place = F.concat(F.replace("origin", F.lit("_"), F.lit(" ")), F.lit(" "), F.col("region"), F.when(F.col("ord") % 2 == 0, "n").otherwise(""))
+    e = written(entities(spark, sf_dir).withColumn("place", place), "entities")
+    q = e.select(F.col("ord").alias("id"), F.lit("place").alias("pool"), F.col("place").alias("answer"), F.concat("title", F.lit(" of "), "region").alias("leak_ref"), F.col("prominence").alias("tier"), "saga")
+    d = items.nearest(q, items.pool(e, "place", "place", "ord"), SEED)
+    return d.select("id", F.array_join("distractors", "|").alias("distractors"))
+
+
+@query(
+    f"""WITH keys AS (SELECT 'benchmark' AS pool, {K('w')} AS key FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) UNION SELECT 'brand', {K('p_brand')} FROM part UNION SELECT 'nation', {K('n_name')} FROM nation UNION SELECT 'page', {K("string_split(url, '/')[-1]")} FROM pages)
+ SELECT a.pool, a.key AS outer_key, b.key AS inner_key FROM keys a JOIN keys b ON a.pool = b.pool AND a.key <> b.key AND b.key <> '' AND contains(a.key, b.key)"""
+)
+def nested_keys(spark, sf_dir):
+    """The keys of each pool that lie inside other keys of it: words of the benchmark, brands, nations, titles of pages."""
+    named = lambda pool, name, value: table(spark, sf_dir, name).select(F.lit(pool).alias("pool"), X.norm_key(value).alias("key"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).select(F.lit("benchmark").alias("pool"), X.norm_key(F.col("w")).alias("key"))
+    keys = words.unionByName(named("brand", "part", F.col("p_brand"))).unionByName(named("nation", "nation", F.col("n_name")))
+    keys = written(keys.unionByName(named("page", "pages", F.element_at(F.split("url", "/"), -1))).distinct(), "keys")
+    return holds(keys, keys, ["pool"]).toDF("pool", "outer_key", "inner_key")
+
+
 @query(
     "WITH RECURSIVE "
     + views.SQL["entities"]

@@ -45,8 +45,12 @@ def words(c: Column) -> Column:
 
 def leaked(ref: Column, value: Column) -> Column:
     """Tokens of ref that value shows again, whole or, from four characters, inside a token."""
-    seen = tokens(value)
-    return F.filter(tokens(ref), lambda t: F.array_contains(seen, t) | ((F.length(t) >= 4) & F.exists(seen, lambda s: F.contains(s, t))))
+    return shown(tokens(ref), tokens(value))
+
+
+def shown(of: Column, seen: Column) -> Column:
+    """The tokens of `of` that are in `seen` or, from four characters, inside a token of it."""
+    return F.filter(of, lambda t: F.array_contains(seen, t) | ((F.length(t) >= 4) & F.exists(seen, lambda s: F.contains(s, t))))
 
 
 def strip_quals(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.tables import written
+from .containment import holds
 
 # How often a value, an entity and a template may be asked for.
 ENTITY_CAPS = {2: 10, 1: 5, 0: 2}
@@ -33,21 +35,106 @@ def pool(rows: DataFrame, name: str, value: str, order: str, least: int | None =
 def candidates(questions: DataFrame, pools: DataFrame, seed: str, saga_bound: bool = False) -> DataFrame:
     """Questions (id, pool, answer, leak_ref, tier, saga) with the pool values that may stand beside the answer.
 
-    An equi-join on the pool with the near-duplicate test as residual; rank_key orders a question's candidates: leaked tokens covered, tier gap, saga gap, hash.
+    Every question meets its whole pool: an equi-join on the pool with the near-duplicate test as residual. nearest() gives the same distractors from a part of these rows.
     A pool has as many questions as there are entities, so questions are dealt to several tasks and the pools, one row per distinct value, are copied to each.
     """
     n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = questions.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    p = pools.select("pool", F.col("v").alias("v"), "norm_v", F.col("tier").alias("p_tier"), F.col("saga").alias("p_saga"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_deal"))
-    j = q.join(p, ["pool", "_deal"]).drop("_deal").where(~X.near_dupe(X.norm_key(F.col("answer")), F.col("norm_v")))
+    j = _dealt(_prepared(questions), n).join(_copied(_values(pools), n), ["pool", "_deal"]).drop("_deal")
+    return _judged(j, seed, saga_bound)
+
+
+def _values(pools: DataFrame) -> DataFrame:
+    return pools.select("pool", "v", "norm_v", F.col("tier").alias("p_tier"), F.col("saga").alias("p_saga"), X.tokens(F.col("v")).alias("_tokens"))
+
+
+def _dealt(questions: DataFrame, n: int) -> DataFrame:
+    return questions.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+
+
+def _copied(rows: DataFrame, n: int) -> DataFrame:
+    return rows.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def _gaps() -> tuple[Column, Column]:
+    """How far a value's tier, and its saga beyond the question's, are off."""
+    return F.coalesce(F.abs(F.col("p_tier") - F.col("tier")), F.lit(0)).cast("long"), F.coalesce(F.greatest(F.lit(0), F.col("p_saga") - F.col("saga")), F.lit(0)).cast("long")
+
+
+def _prepared(questions: DataFrame) -> DataFrame:
+    """questions with what ranking needs of each: the answer's key and the tokens that it leaks."""
+    return questions.withColumn("_key", X.norm_key(F.col("answer"))).withColumn("_leak", X.leaked(F.col("leak_ref"), F.col("answer")))
+
+
+def _judged(j: DataFrame, seed: str, saga_bound: bool = False) -> DataFrame:
+    """Prepared questions beside values, without those near the answer, with rank_key: leaked tokens covered, tier gap, saga gap, hash."""
+    j = j.where(~X.near_dupe(F.col("_key"), F.col("norm_v")))
     if saga_bound:
         j = j.where(F.col("p_saga").isNull() | F.col("saga").isNull() | (F.col("p_saga") <= F.col("saga")))
-    leak = X.leaked(F.col("leak_ref"), F.col("answer"))
-    cover = F.size(F.array_intersect(leak, X.leaked(F.col("leak_ref"), F.col("v"))))
-    tier_gap = F.coalesce(F.abs(F.col("p_tier") - F.col("tier")), F.lit(0))
-    saga_gap = F.coalesce(F.greatest(F.lit(0), F.col("p_saga") - F.col("saga")), F.lit(0))
-    key = F.struct((-cover).cast("long").alias("cover"), tier_gap.cast("long").alias("tier_gap"), saga_gap.cast("long").alias("saga_gap"), F.md5(F.concat(F.lit(seed), F.col("id").cast("string"), F.lit("|"), F.col("v"))).alias("h"))
-    return j.withColumn("rank_key", key)
+    cover = F.when(F.size("_leak") > 0, F.size(X.shown(F.col("_leak"), F.col("_tokens")))).otherwise(0)
+    tier_gap, saga_gap = _gaps()
+    key = F.struct((-cover).cast("long").alias("cover"), tier_gap.alias("tier_gap"), saga_gap.alias("saga_gap"), F.md5(F.concat(F.lit(seed), F.col("id").cast("string"), F.lit("|"), F.col("v"))).alias("h"))
+    return j.withColumn("rank_key", key).drop("_key", "_leak", "_tokens")
+
+
+def covering(questions: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, v, norm_v, p_tier, p_saga, _tokens): the values of a pool (see _values()) that show a token which a question's answer leaks (see _prepared()).
+
+    An inverted index: leaked tokens lead to the tokens of values that are equal or, from four characters, hold them, and these to their values.
+    """
+    leak = questions.select("id", "pool", F.explode("_leak").alias("key"))
+    shown = written(values.select("*", F.explode("_tokens").alias("outer")), "tokens")
+    asked, said = leak.select("pool", "key").distinct(), shown.select("pool", F.col("outer").alias("key")).distinct()
+    inside = holds(said, asked.where(F.length("key") >= 4), ["pool"]).select("pool", F.col("inner").alias("key"), "outer")
+    known = inside.unionByName(asked.withColumn("outer", F.col("key")))
+    return leak.join(known, ["pool", "key"]).join(shown, ["pool", "outer"]).select("id", *[c for c in values.columns if c != "pool"]).distinct()
+
+
+def nearest(questions: DataFrame, pools: DataFrame, seed: str, n: int = 3, keep: Callable[[DataFrame], DataFrame] = lambda c: c, least: int = 64, read: list[int] | None = None) -> DataFrame:
+    """(id, distractors): distractors(candidates(...)), without meeting every question with its whole pool.
+
+    Of the four parts of a rank only the cover and the hash depend on the question itself; the gaps depend on its tier and saga. So a pool is kept in cells of equal tier and saga, and the
+    cells of a question come by their gaps, known from the cells' sizes alone. A question takes whole levels of equal gaps until these hold `least` values, and besides them all values that cover
+    a leaked token (covering()). Whatever it didn't take ranks behind all of that, so the greedy choice among it is the choice among all. Only questions that are still short take further cells, eight
+    times as many values in each round, until they have n or their whole pool. A level is taken whole, as the hash orders it anew for every question.
+    keep: takes candidates and leaves out some, each judged by itself; read: takes the number of candidates met in each round.
+    """
+    spark = questions.sparkSession
+    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    questions, values = written(_prepared(questions), "questions"), written(_values(pools), "values")
+    place = ["pool", "tier", "saga"]
+    sizes = values.groupBy("pool", "p_tier", "p_saga").agg(F.count("*").alias("_n"))
+    tier_gap, saga_gap = _gaps()
+    levels = questions.select(*place).distinct().join(sizes, "pool").withColumn("_g", F.struct(tier_gap.alias("t"), saga_gap.alias("s")))
+    # values of all nearer levels: a running sum takes all rows of a level together
+    upto = F.sum("_n").over(Window.partitionBy(*place).orderBy("_g"))
+    levels = levels.withColumn("_before", upto - F.sum("_n").over(Window.partitionBy(*place, "_g"))).drop("_n", "_g")
+    levels = written(levels, "levels")
+    largest = levels.agg(F.max("_before")).first()[0] or 0
+    cells, covers = written(_copied(values, deals), "cells"), written(covering(questions, values), "covers")
+    open_, out, bound = questions, None, least
+    while True:
+        last = bound > largest
+        some = levels.where(F.col("_before") < bound)
+        match = F.lit(True)
+        for c in place:
+            match = match & open_[c].eqNullSafe(some[c])
+        taken = open_.join(some, match).select(*[open_[c] for c in open_.columns], "p_tier", "p_saga")
+        dealt = _dealt(taken, deals)
+        match = (dealt["pool"] == cells["pool"]) & (dealt["_deal"] == cells["_deal"]) & dealt["p_tier"].eqNullSafe(cells["p_tier"]) & dealt["p_saga"].eqNullSafe(cells["p_saga"])
+        met = dealt.join(cells, match).select(*[dealt[c] for c in open_.columns], cells["v"], cells["norm_v"], cells["p_tier"], cells["p_saga"], cells["_tokens"])
+        met = met.unionByName(open_.join(covers, "id").select(*open_.columns, "v", "norm_v", "p_tier", "p_saga", "_tokens"))
+        if read is not None:
+            read.append(met.count())
+        found = written(distractors(keep(_judged(met, seed)), n), "nearest")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            break
+        out = out.where(F.size("distractors") == n)
+        open_ = written(open_.join(out.select("id"), "id", "left_anti"), "short")
+        if open_.isEmpty():
+            break
+        bound *= 8
+    return out
 
 
 def distractors(cands: DataFrame, n: int = 3, prefix: int = 64) -> DataFrame:

@@ -147,12 +147,15 @@ def generated(facts: DataFrame, seed: str = "bank|", must_multi: list[str] = X.M
     """Every question that has three distractors and doesn't give its answer away, before the caps."""
     f = written(prepared(facts, must_multi, must_single), "facts")
     q, p = written(asked(f), "asked"), written(pools(f), "pools")
-    c = items.candidates(q, p, seed).where(~F.col("saga_bound") | F.col("p_saga").isNull() | F.col("saga").isNull() | (F.col("p_saga") <= F.col("saga")))
-    c = c.where(~F.array_contains("own", F.col("norm_v")))
-    # who belongs to the crew can't stand beside the answer
     m = memberships(facts)
-    c = c.join(m, F.col("members") & (X.norm_key(F.col("leak_ref")) == m["_crew"]) & (F.col("norm_v") == m["_member"]), "left_anti")
-    d = items.distractors(c).where(F.size("distractors") == 3)
+
+    def fit(c: DataFrame) -> DataFrame:
+        c = c.where(~F.col("saga_bound") | F.col("p_saga").isNull() | F.col("saga").isNull() | (F.col("p_saga") <= F.col("saga")))
+        c = c.where(~F.array_contains("own", F.col("norm_v")))
+        # who belongs to the crew can't stand beside the answer
+        return c.join(m, F.col("members") & (X.norm_key(F.col("leak_ref")) == m["_crew"]) & (F.col("norm_v") == m["_member"]), "left_anti")
+
+    d = items.nearest(q, p, seed, keep=fit).where(F.size("distractors") == 3)
     made = q.join(d, "id").where(items.unleaked(F.col("answer"), F.col("leak_ref"), F.col("distractors")))
     return made.withColumn("answer_key", F.concat_ws("|", "category", X.norm_key(F.col("answer")))).withColumn("entity", F.col("title"))
 
