@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +158,52 @@ def test_distractors_beyond_the_prefix(spark):
     assert len(got) == 3 and {"bb", "cc"} < set(got)
 
 
+def test_templates_in_one_pass():
+    leaf = re.compile(r"\{\{((?:(?!\{\{|\}\}).)*)\}\}", re.DOTALL)
+
+    def in_passes(text):
+        for _ in range(markup.PASSES):
+            text = leaf.sub(lambda m: markup.rendered(m[1]), text)
+        return text
+
+    def nested(tokens):
+        """The tokens after the innermost pairs are rendered, level by level; what is rendered is a token that is no brace."""
+        for _ in range(markup.PASSES):
+            new = []
+            for t in tokens:
+                new.append(t)
+                at = max((i for i, x in enumerate(new[:-1]) if x in ("{{", "}}") or x is None), default=None) if t == "}}" else None
+                if at is not None and new[at] == "{{":
+                    new[at:] = [(markup.rendered("".join(x[0] if isinstance(x, tuple) else x for x in new[at + 1 : -1])),), None]
+            tokens = [x for x in new if x is not None]
+        return "".join(x[0] if isinstance(x, tuple) else x for x in tokens)
+
+    rng = random.Random(3)
+    words = ["|", "a", "w|", "Ruby|", "Qref|", "k=", "[[", "]]", " ", "\n"]
+    for _ in range(20000):
+        # pairs apart from each other and no single braces: the passes see the same pairs
+        text = "".join(rng.choice(["{{" + rng.choice(words), rng.choice(words) + "}}", *words]) for _ in range(rng.randrange(1, 25)))
+        assert markup.render(text) == in_passes(text), text
+    for _ in range(5000):
+        text = "".join(rng.choice(["{{", "}}", "{{", "}}", "{", "}", *words]) for _ in range(rng.randrange(1, 20)))
+        assert markup.render(text) == nested(re.findall(r"\{\{|\}\}|.", text, re.DOTALL)), text
+    for depth in (1, 11, 12, 13, 14, 30):
+        for text in ("{{w|" * depth + "x" + "}}" * depth, "{{w|y {{Ref|1}}" * depth + "x" + "}}" * depth, "{{w|" * depth + "x" + "}}" * (depth // 2)):
+            assert markup.render(text) == in_passes(text)
+    assert markup.render("{{{{w|x}}|y}}") == "y" and markup.render("") == "" and markup.render("}}{{") == "}}{{"
+
+
+def test_templates_cost_as_much_as_their_text():
+    cost = {}
+    for n in (20000, 80000):
+        nested = "{{w|a " * n + "x" + " b}}" * n
+        began = time.process_time()
+        assert len(markup.spans(nested)) == n and "x" in markup.render(nested)
+        cost[n] = time.process_time() - began
+    # four times the text; work per level of nesting would make it sixteen
+    assert cost[80000] < 10 * cost[20000] + 0.2
+
+
 def test_keys_inside_keys(spark):
     rng = random.Random(5)
     rows = [(rng.choice("xyz"), "".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 30])))) for _ in range(300)]

@@ -19,7 +19,7 @@ SKIPPED = frozenset(["root", "colorscheme", "color scheme", "image", "imagename"
 HATNOTES = frozenset(["you may", "for", "about", "main", "distinguish", "redirect", "see also", "seealso", "otheruses", "merge", "note", "spoiler", "expand", "cleanup"])
 CONNECTIVES = "a an the of to in on for with and as by from into being is was were are known called named serving designated nicknamed".split()
 WINDOW, LONGEST, BLOCK_LENGTH = 12000, 240, 120
-LEAF = re.compile(r"\{\{((?:(?!\{\{|\}\}).)*)\}\}", re.DOTALL)
+BRACES = re.compile(r"\{\{|\}\}")
 PASSES = 12
 
 
@@ -44,40 +44,60 @@ def parts(body: str) -> tuple[str, list[str], dict[str, str]]:
     return out[0].strip().lower(), place, named
 
 
-def rendered(m: re.Match) -> str:
-    name, place, _ = parts(m[1])
+def rendered(body: str) -> str:
+    """What a template stands for; those inside it are rendered before."""
+    name, place, _ = parts(body)
     if name in CITATIONS or name in ("b", "-") or not place:
         return ""
     return place[0] if name in FIRST else place[-1]
 
 
 def render(text: str) -> str:
-    """text with its templates rendered, the innermost first."""
-    for _ in range(PASSES):
-        new = LEAF.sub(rendered, text)
-        if new == text:
-            break
-        text = new
-    return text
-
-
-def templates(text: str):
-    """The bodies of all templates, outer ones before those inside."""
-    starts = []
-    found = []
-    for m in re.finditer(r"\{\{|\}\}", text):
+    """text with its templates rendered, the innermost first, to a height of PASSES; higher ones stay as they are around rendered ones.
+
+    One pass: a template is rendered when it closes, as all inside it have closed by then, so a character is copied once per level and PASSES times at most.
+    Braces are paired as they are read from the left, so what stands for a template opens and closes nothing: of {{{{a}}|b}} the inner one is {{a}}.
+    """
+    out, starts, at = [], [], 0
+    for m in BRACES.finditer(text):
+        if m.start() > at:
+            out.append(text[at : m.start()])
+        at = m.end()
+        if m[0] == "{{":
+            out.append("{{")
+            starts.append([len(out), 0])
+        elif not starts:
+            out.append("}}")
+        else:
+            start, below = starts.pop()
+            if starts:
+                starts[-1][1] = max(starts[-1][1], below + 1)
+            if below >= PASSES:
+                out.append("}}")
+                continue
+            value = rendered("".join(out[start:]))
+            del out[start - 1 :]
+            if value:
+                out.append(value)
+    out.append(text[at:])
+    return "".join(out)
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the bodies of all templates begin and end, outer ones before those inside."""
+    starts, found = [], []
+    for m in BRACES.finditer(text):
         if m[0] == "{{":
             starts.append(m.end())
         elif starts:
-            at = starts.pop()
-            found.append((at, text[at : m.start()]))
-    return [body for _, body in sorted(found)]
+            found.append((starts.pop(), m.start()))
+    return sorted(found)
 
 
 def outermost(text: str):
     """(start, end) of the templates that lie in no other."""
     depth, at = 0, 0
-    for m in re.finditer(r"\{\{|\}\}", text):
+    for m in BRACES.finditer(text):
         if m[0] == "{{":
             if not depth:
                 at = m.start()
@@ -118,17 +138,21 @@ def ordered(pages: DataFrame) -> DataFrame:
 def infoboxes(pages: DataFrame, kinds: dict[str, str] = KINDS) -> DataFrame:
     """(title, ns, kind, root, tabbed, raw, ord) of every infobox in page order; raw: map of its parameters, templates rendered; pages: (title, ns, text, ord).
 
-    The cheap test on namespace and text comes first, below the Python stage.
+    The cheap test on namespace and text comes first, below the Python stage; of the templates only those that begin with a kind's name are taken apart.
     """
     some = ordered(pages).where(F.col("ns").isin("0", "10") & F.contains("text", F.lit("Box"))).select("title", "ns", "text", "ord")
     schema = pa.schema([("title", pa.string()), ("ns", pa.string()), ("kind", pa.string()), ("root", pa.string()), ("tabbed", pa.bool_()), ("raw", pa.map_(pa.string(), pa.string())), ("ord", pa.int64())])
 
+    head = re.compile(rf"\s*(?:{'|'.join(map(re.escape, kinds))})\s*(?:\||\Z)", re.IGNORECASE)
+
     def run(batches):
         for b in batches:
             rows = []
             for title, ns, text, at in zip(*(c.to_pylist() for c in b.columns)):
-                for i, t in enumerate(templates(text)):
-                    name, _, named = parts(t)
+                for i, (start, end) in enumerate(spans(text)):
+                    if not head.match(text, start, end):
+                        continue
+                    name, _, named = parts(text[start:end])
                     if name in kinds:
                         root = named.get("root")
                         raw = {k: render(v) for k, v in named.items() if k not in SKIPPED}
