@@ -104,6 +104,15 @@ def test_planted_runs(spark):
     assert sum(r[1] for r in got) >= 10
 
 
+def test_planted_runs_of_texts_without_words(spark):
+    path = new_path(spark, "tables")
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    rows = list(zip(ids, [None, "", " \t\n ", "one", "one two three"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op11_periodic(spark, path).collect())
+    assert got == sorted(expected(k, t, planted=True) for k, t in rows)
+
+
 def test_a_long_text(spark):
     rnd = random.Random(4)
     phrase = [str(rnd.random()) for _ in range(20_000)]

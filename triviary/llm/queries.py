@@ -82,7 +82,7 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string"))
     words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     rows = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
-    rows = rows.withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("int(1 + floor((n - a) / (3 + g % 8)))"))
+    rows = rows.withColumn("a", F.expr("if(n > 0, int(g % n), 0)")).withColumn("p", F.expr("int(1 + floor((n - a) / (3 + g % 8)))"))
     again = "array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)), ' ')"
     return rows.select("doc_id", F.expr(f"if(n > 0, {again}, text)").alias("text"))
 
