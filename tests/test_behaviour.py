@@ -340,3 +340,13 @@ def test_whole_texts_that_begin_alike(spark, tmp_path):
     hashes = {r.id: r.hash for r in get("content_hash_whole")}
     assert hashes[0] == hashes[2] and len(set(hashes.values())) == 4
     assert len(get("signal_flags_whole")) == len(texts)
+
+
+def test_nearest_lets_few_values_of_a_large_level_out_of_the_join(spark):
+    pool = spark.range(1500).selectExpr("'p' as pool", "concat('v', hex(id * 7919 + 100000)) as v", "concat('v', lower(hex(id * 7919 + 100000))) as norm_v", "cast(1 as int) as tier", "cast(1 as int) as saga", "id as ord")
+    q = spark.range(20).selectExpr("id", "'p' as pool", "concat('answer', id) as answer", "'x' as leak_ref", "cast(1 as int) as tier", "cast(1 as int) as saga")
+    kept = []
+    got = items.nearest(q, pool, "s", keep=lambda c: kept.append(c.count()) or c)
+    lists = lambda d: {r.id: r.distractors for r in d.collect()}
+    assert lists(got) == lists(items.distractors(items.candidates(q, pool, "s")))
+    assert kept[0] < 20 * 64

@@ -155,7 +155,9 @@ def generated(facts: DataFrame, seed: str = "bank|", must_multi: list[str] = X.M
         # who belongs to the crew can't stand beside the answer
         return c.join(m, F.col("members") & (X.norm_key(F.col("leak_ref")) == m["_crew"]) & (F.col("norm_v") == m["_member"]), "left_anti")
 
-    d = items.nearest(q, p, seed, keep=fit).where(F.size("distractors") == 3)
+    # what ranking and fit() need of a question: each meets many values
+    asks = q.select("id", "pool", "answer", "leak_ref", "tier", "saga", "saga_bound", "own", "members")
+    d = items.nearest(asks, p, seed, keep=fit).where(F.size("distractors") == 3)
     made = q.join(d, "id").where(items.unleaked(F.col("answer"), F.col("leak_ref"), F.col("distractors")))
     return made.withColumn("answer_key", F.concat_ws("|", "category", X.norm_key(F.col("answer")))).withColumn("entity", F.col("title"))
 
