@@ -350,3 +350,11 @@ def test_nearest_lets_few_values_of_a_large_level_out_of_the_join(spark):
     lists = lambda d: {r.id: r.distractors for r in d.collect()}
     assert lists(got) == lists(items.distractors(items.candidates(q, pool, "s")))
     assert kept[0] < 20 * 64
+
+
+def test_a_lead_is_made_once(spark):
+    text = "'''A''' x\n\n: No lead , but an indented one of many letters.\n\nFirst one , and of the. Second ( ) sentence here;. Third.\n\nAnother paragraph of many letters."
+    df = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(markup.lead_summary(F.col("t")).alias("s"))
+    assert [r.s for r in df.collect()] == ["First one. Second sentence here.", None, None]
+    # a paragraph is cleaned at one place of the expression, however often its lead is looked at
+    assert df._jdf.queryExecution().analyzed().toString().count("array_join") == 1

@@ -192,6 +192,11 @@ def facts(boxes: DataFrame, base: str, about: DataFrame | None = None) -> DataFr
     return one.join(about, "title", "left").withColumn("article_len", F.coalesce("article_len", F.lit(0).cast("long")))
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value computed once however often it stands in there."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def tidy(s: Column) -> Column:
     """A sentence without spaces before punctuation, empty parentheses and last clauses that end on a connective, until none does."""
     dangling = rf"(?i)[,;]?\s+(?:{'|'.join(CONNECTIVES)})$"
@@ -199,8 +204,12 @@ def tidy(s: Column) -> Column:
     t = F.btrim(F.regexp_replace(t, "[ \\t\u00a0]+", " "), F.lit(" ,;."))
     # from the last clause back: what is left once a clause doesn't dangle is kept
     cut = lambda a: F.when(a.rlike("[,;]"), F.btrim(F.regexp_replace(a, "[,;][^,;]*$", ""), F.lit(" ,;"))).otherwise("")
-    clauses = F.sequence(F.lit(1), F.size(F.split(t, "[,;]")))
-    return F.aggregate(clauses, t, lambda a, _: F.when(a.rlike(dangling), cut(a)).otherwise(a))
+
+    def undangled(t):
+        clauses = F.sequence(F.lit(1), F.size(F.split(t, "[,;]")))
+        return F.when(t.rlike(dangling), F.aggregate(clauses, t, lambda a, _: F.when(a.rlike(dangling), cut(a)).otherwise(a))).otherwise(t)
+
+    return _let(t, undangled)
 
 
 def lead_summary(c: Column, window: int = WINDOW, most: int = LONGEST, bold: bool = True) -> Column:
@@ -215,11 +224,12 @@ def lead_summary(c: Column, window: int = WINDOW, most: int = LONGEST, bold: boo
 
     def summary(p):
         value = F.trim(F.regexp_replace(F.array_join(X.clean_field(p), " "), "[ \\t\u00a0]+", " "))
-        sentences = F.filter(F.transform(F.split(value, r"(?<=[.!?])\s+"), tidy), lambda s: s != "")
-        first = F.get(sentences, 0)
-        return F.when((F.length(first) < 120) & (F.size(sentences) > 1), F.concat(first, F.lit(". "), F.get(sentences, 1))).otherwise(first)
-
-    got = F.get(F.filter(F.transform(good, summary), lambda s: letters(s) >= 20), 0)
-    short = F.concat(F.regexp_replace(F.regexp_replace(F.substring(got, 1, most), r"\s\S*$", ""), "[ ,;]+$", ""), F.lit("…"))
-    out = F.when(F.length(got) > most, short).otherwise(F.concat(got, F.lit(".")))
+        # a sentence behind the first two counts for nothing
+        two = F.aggregate(F.split(value, r"(?<=[.!?])\s+"), F.array().cast("array<string>"), lambda a, s: F.when(F.size(a) < 2, _let(tidy(s), lambda t: F.when(t != "", F.array_append(a, t)).otherwise(a))).otherwise(a))
+        return _let(two, lambda two: F.when((F.length(F.get(two, 0)) < 120) & (F.size(two) > 1), F.concat(F.get(two, 0), F.lit(". "), F.get(two, 1))).otherwise(F.get(two, 0)))
+
+    # nothing behind the first paragraph that counts is cleaned
+    got = F.aggregate(good, F.lit(None).cast("string"), lambda a, p: F.when(a.isNotNull(), a).otherwise(_let(summary(p), lambda s: F.when(letters(s) >= 20, s))))
+    short = lambda s: F.concat(F.regexp_replace(F.regexp_replace(F.substring(s, 1, most), r"\s\S*$", ""), "[ ,;]+$", ""), F.lit("…"))
+    out = _let(got, lambda s: F.when(F.length(s) > most, short(s)).otherwise(F.concat(s, F.lit("."))))
     return F.when(F.contains(F.substring(c, 1, window), F.lit("'''")), out) if bold else out
