@@ -243,6 +243,16 @@ def test_bloom_filter_keeps_every_key(spark):
     assert bloom.joinable(rows, "key", keys.limit(0), "k").count() == 0
 
 
+def test_bits_of_a_bloom_filter_are_hashed_not_sorted(spark):
+    keys = spark.range(0, 50_000, 7, 4).selectExpr("string(id) as k")
+    chunks, bits = bloom.made(keys, "k")
+    # a sort would hold every key's bits in one task
+    assert "SortAggregate" not in chunks._jdf.queryExecution().executedPlan().toString()
+    n = bits // bloom.CHUNK
+    assert n > 1 and [(r.chunk, len(r.bits)) for r in chunks.orderBy("chunk").collect()] == [(i, bloom.CHUNK // bloom.WORD) for i in range(n)]
+    assert bloom.possible(keys, "k", chunks, bits).count() == keys.count()
+
+
 def test_a_load_that_fails_is_tried_again(spark, tmp_path):
     calls = []
 
