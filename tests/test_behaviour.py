@@ -216,6 +216,17 @@ def test_keys_inside_keys(spark):
     assert holds(df.limit(0), df, ["g"]).count() == holds(df, df.limit(0), ["g"]).count() == 0
 
 
+def test_pieces_of_keys_are_not_broadcast(spark):
+    keys = tables.written(spark.range(2000).selectExpr("'p' as g", "string(id * 7919) as key"), "keys")
+    got = holds(keys, keys, ["g"])
+    rows = got.collect()
+    # the plan as it ran: neither the first choice nor a later one sends a side to all executors
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    all_ = [str(i * 7919) for i in range(2000)]
+    assert sorted((r.outer, r.inner) for r in rows) == sorted((a, b) for a in all_ for b in all_ if a != b and b in a)
+
+
 def test_nearest_equals_whole_pools(spark):
     rng = random.Random(8)
     words = [a + b for a in ("ka", "lo", "mi", "tor", "fen") for b in ("ra", "dun", "vel", "sil", "gar", "")]

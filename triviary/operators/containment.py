@@ -20,6 +20,7 @@ def holds(outer: DataFrame, inner: DataFrame, by: list[str], key: str = "key") -
     A key is known by its anchor, its first 1, 2, 4 ... characters, as many as fit. Whoever holds the key has the anchor at some place, so every key gives its pieces of these
     lengths (seven for each of its characters at most) and pieces meet anchors in an equi-join; the rest of the key is compared there. Rows grow with the characters of all keys and with the pairs
     whose anchors agree, not with the product. A pair comes once, as a key has one anchor and pieces are distinct. Keys that are null or empty are in no pair; repeated keys count once.
+    The join is a merge of sorted shares of both sides: pieces are far more than the size of the keys' files lets Spark expect, so it would send all of them to every executor.
     """
     o = outer.select(*by, F.col(key).alias("outer")).where("outer <> ''").distinct().withColumn("_most", _width("outer"))
     i = inner.select(*by, F.col(key).alias("inner")).where("inner <> ''").distinct().withColumn("_w", _width("inner"))
@@ -29,5 +30,5 @@ def holds(outer: DataFrame, inner: DataFrame, by: list[str], key: str = "key") -
     same = F.lit(True)
     for c in [*by, "_w", "_piece"]:
         same = same & pieces[c].eqNullSafe(i[c])
-    j = pieces.join(i, same & (F.col("outer") != F.col("inner")) & F.contains("outer", F.col("inner")))
+    j = pieces.hint("merge").join(i, same & (F.col("outer") != F.col("inner")) & F.contains("outer", F.col("inner")))
     return j.select(*[pieces[c] for c in by], "outer", "inner")
