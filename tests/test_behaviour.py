@@ -149,6 +149,29 @@ def test_caps_equal_the_ordered_pass(spark):
     assert items.capped(df.limit(0), keys, "ord").count() == 0
 
 
+def test_caps_ask_of_few_rows_whether_they_stand(spark):
+    keys = {"a": "ca", "b": "cb", "c": "cc"}
+    for seed, falls in ((0, lambda i: False), (1, lambda i: i % 3 == 0), (2, lambda i: i % 7 > 0), (3, lambda i: i < 380), (4, lambda i: True)):
+        rnd = random.Random(seed)
+        rows = [(i, rnd.randrange(8), 3, rnd.randrange(15), rnd.choice([2, 5]), rnd.randrange(3), 12, falls(i)) for i in range(400)]
+        df = spark.createDataFrame(rows, "ord long, a int, ca int, b int, cb int, c int, cc int, falls boolean")
+        used, want = {}, []
+        for r in rows:
+            own = [("a", r[1], r[2]), ("b", r[3], r[4]), ("c", r[5], r[6])]
+            if not r[7] and all(used.get(k[:2], 0) < k[2] for k in own):
+                want.append(r[0])
+                for k in own:
+                    used[k[:2]] = used.get(k[:2], 0) + 1
+        asked = []
+        stand = lambda d: asked.extend(r.ord for r in d.collect()) or d.where("not falls").withColumn("more", F.col("ord") + 1)
+        got = items.capped(df, keys, "ord", check=stand).collect()
+        assert sorted(r.ord for r in got) == want and all(r.more == r.ord + 1 for r in got)
+        assert len(asked) == len(set(asked))
+        if seed < 2:
+            assert len(asked) < 100
+    assert "more" in items.capped(df.limit(0), keys, "ord", check=stand).columns
+
+
 def test_distractors_beyond_the_prefix(spark):
     pool = spark.createDataFrame([("p", v, v, None, None, i) for i, v in enumerate(["aa", "aab", "aac", "bb", "cc"])], "pool string, v string, norm_v string, tier int, saga int, ord long")
     q = spark.createDataFrame([(1, "p", "zz", None, None, None)], "id long, pool string, answer string, leak_ref string, tier int, saga int")

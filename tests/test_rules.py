@@ -269,3 +269,20 @@ def test_a_load_that_fails_is_tried_again(spark, tmp_path):
     tables.remembered(spark, "bank", load).unpersist()
     (tmp_path / "f").write_bytes(b"abc")
     assert tables.file_md5(spark, str(tmp_path / "f")).first().md5 == "900150983cd24fb0d6963f7d28e17f72"
+
+
+def test_equal_questions_of_two_entities_have_distractors_of_their_own(spark):
+    low, high = (dict(zip(["Ann", *x], ["Harbour", *y])) for x, y in ((("Bert", "Carl", "Dora"), ("Lodge", "Mill", "Valley")), (("Emil", "Fina", "Gerd"), ("Tower", "Garden", "Castle"))))
+    rows = [hero(n, 10, residence=r) for n, r in low.items()] + [hero(n, 30000, residence=r) for n, r in high.items()]
+    made = bank.generated(facts(spark, *rows)).where("template = 'char_residence' and title = 'Ann'").collect()
+    assert {r.tier: set(r.distractors) for r in made} == {0: {"Lodge", "Mill", "Valley"}, 2: {"Tower", "Garden", "Castle"}}
+
+
+def test_questions_behind_full_caps_meet_no_values(spark, monkeypatch):
+    rows = [hero(f"Hero{chr(97 + i % 26)}{chr(97 + i // 26)}", 5000 - i, occupation=["Cook", "Doctor", "Sniper", "Helmsman"][i % 4], origin=f"{['North', 'South', 'East', 'West'][i // 4 % 4]} Sea", bounty=f"{i + 1},000,000") for i in range(600)]
+    f, met, nearest = facts(spark, *rows), [], bank.items.nearest
+    want = {r.question: r.incorrect_answers for r in bank.bank(f).collect()}
+    monkeypatch.setattr(bank.items, "nearest", lambda q, *a, **b: met.append(q.count()) or nearest(q, *a, **b))
+    got = {r.question: r.incorrect_answers for r in bank.bank(f).collect()}
+    assert got == want and len(got) <= sum(met) <= 2 * len(got)
+    assert bank.asked(bank.prepared(f)).count() > 3 * sum(met)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,28 +145,42 @@ def memberships(facts: DataFrame) -> DataFrame:
     return rows.select(X.norm_key(F.col("c")).alias("_crew"), "_member").where("_crew <> ''").distinct()
 
 
-def generated(facts: DataFrame, seed: str = "bank|", must_multi: list[str] = X.MUST_KNOW_MULTI, must_single: list[str] = X.MUST_KNOW_SINGLE) -> DataFrame:
-    """Every question that has three distractors and doesn't give its answer away, before the caps."""
+def _askable(facts: DataFrame, seed: str, must_multi: list[str], must_single: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """All questions, not written yet, with the keys of their caps; what gives those of some of them that stand: with three distractors, and not giving their answer away."""
     f = written(prepared(facts, must_multi, must_single), "facts")
-    q, p = written(asked(f), "asked"), written(pools(f), "pools")
-    m = memberships(facts)
+    p, m = items.values_of(pools(f)), written(memberships(facts), "members")
+    # questions that agree in all that is hashed are still questions of their own, each with its own tier and saga
+    q = asked(f).withColumnRenamed("id", "salt").withColumn("id", F.monotonically_increasing_id())
+    q = q.withColumn("answer_key", F.concat_ws("|", "category", X.norm_key(F.col("answer")))).withColumn("entity", F.col("title"))
 
     def fit(c: DataFrame) -> DataFrame:
         c = c.where(~F.col("saga_bound") | F.col("p_saga").isNull() | F.col("saga").isNull() | (F.col("p_saga") <= F.col("saga")))
         c = c.where(~F.array_contains("own", F.col("norm_v")))
-        # who belongs to the crew can't stand beside the answer
-        return c.join(m, F.col("members") & (X.norm_key(F.col("leak_ref")) == m["_crew"]) & (F.col("norm_v") == m["_member"]), "left_anti")
+        # who belongs to the crew can't stand beside the answer; members are many, so they are never sent to all executors
+        return c.join(m.hint("merge"), F.col("members") & (X.norm_key(F.col("leak_ref")) == m["_crew"]) & (F.col("norm_v") == m["_member"]), "left_anti")
 
-    # what ranking and fit() need of a question: each meets many values
-    asks = q.select("id", "pool", "answer", "leak_ref", "tier", "saga", "saga_bound", "own", "members")
-    d = items.nearest(asks, p, seed, keep=fit).where(F.size("distractors") == 3)
-    made = q.join(d, "id").where(items.unleaked(F.col("answer"), F.col("leak_ref"), F.col("distractors")))
-    return made.withColumn("answer_key", F.concat_ws("|", "category", X.norm_key(F.col("answer")))).withColumn("entity", F.col("title"))
+    def standing(some: DataFrame) -> DataFrame:
+        # what ranking and fit() need of a question: each meets many values
+        asks = some.select("id", "salt", "pool", "answer", "leak_ref", "tier", "saga", "saga_bound", "own", "members")
+        d = items.nearest(asks, p, seed, keep=fit).where(F.size("distractors") == 3)
+        return some.join(d, "id").where(items.unleaked(F.col("answer"), F.col("leak_ref"), F.col("distractors")))
+
+    return q, standing
+
+
+def generated(facts: DataFrame, seed: str = "bank|", must_multi: list[str] = X.MUST_KNOW_MULTI, must_single: list[str] = X.MUST_KNOW_SINGLE) -> DataFrame:
+    """Every question that has three distractors and doesn't give its answer away, before the caps."""
+    q, standing = _askable(facts, seed, must_multi, must_single)
+    return standing(written(q, "asked"))
 
 
 def bank(facts: DataFrame, seed: str = "bank|", must_multi: list[str] = X.MUST_KNOW_MULTI, must_single: list[str] = X.MUST_KNOW_SINGLE) -> DataFrame:
-    """The generated questions, with options in hash order."""
-    kept = items.capped(generated(facts, seed, must_multi, must_single), {"answer_key": "answer_cap", "entity": "entity_cap", "template": "template_cap"}, "ord")
+    """The generated questions within their caps, with options in hash order.
+
+    Distractors are looked for as caps are spent: a question behind a full cap can't enter the bank whatever stands beside it, so it meets no values.
+    """
+    q, standing = _askable(facts, seed, must_multi, must_single)
+    kept = items.capped(q, {"answer_key": "answer_cap", "entity": "entity_cap", "template": "template_cap"}, "ord", check=standing)
     options = items.shuffled(F.array_append("distractors", F.col("answer")), F.concat(F.lit(seed), F.col("question")))
     return kept.select(
         "category", F.lit("multiple").alias("type"), "difficulty", "question", F.col("answer").alias("correct_answer"), F.col("distractors").alias("incorrect_answers"), options.alias("options"), "source",
